@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .jaccard_join import op10_ngram_jaccard
 from .mixing import op2_mixing
 from .packing import op9_packing
 from .sharding import op7_sharding
@@ -10,5 +11,6 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op7_sharding": op7_sharding,
     "op9_packing": op9_packing,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL}
