@@ -2,13 +2,17 @@
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .jaccard_join import op10_ngram_jaccard
+from .line_dedup import op6_line_dedup
 from .mixing import op2_mixing
 from .packing import op9_packing
 from .sharding import op7_sharding
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
     "op9_packing": op9_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
