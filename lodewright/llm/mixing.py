@@ -15,7 +15,7 @@ from ._store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 256
-GROUP_ROWS = 200_000
+GROUP_ROWS = 5_000
 
 
 @dataclass(frozen=True)
@@ -192,7 +192,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 
     drawn = table.mapInPandas(slots, "shard int, source_index int, slot long, epoch int, block long, limit long")
     stop = F.least(F.col("_to"), F.col("block") * block_words + F.col("limit"))
-    draws = pieces.join(drawn, ["source_index", "block"]).withColumn("_stop", stop).where("_stop > _from").select("doc_id", "source", "text_hash", "start", "epoch", "shard", "slot", (F.col("_from") - F.col("start")).alias("low"), (F.col("_stop") - F.col("start")).alias("high"))
+    draws = pieces.join(drawn.hint("merge"), ["source_index", "block"]).withColumn("_stop", stop).where("_stop > _from").select("doc_id", "source", "text_hash", "start", "epoch", "shard", "slot", (F.col("_from") - F.col("start")).alias("low"), (F.col("_stop") - F.col("start")).alias("high"))
     return Mix(sized, sources, draws, catalog)
 
 
