@@ -6,6 +6,7 @@ from .jaccard_join import op10_ngram_jaccard
 from .line_dedup import op6_line_dedup
 from .mixing import op2_mixing
 from .packing import op9_packing
+from .secret_scan import op4_secret_scan
 from .sharding import op7_sharding
 from .toxicity import op5_toxicity
 from .warc import OP8_SQL, op8_warc
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_ann_tree": op1_ann_tree,
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,

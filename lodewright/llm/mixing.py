@@ -111,9 +111,15 @@ def draw_counts(slots: Sequence[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def with_keys(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    """Adds k1 and k2, which only rows with equal id, source and text have in common."""
+    own = [F.col(id_column), F.col(source_column), F.coalesce(F.col(text_column), F.lit(""))]
+    return docs.withColumns({"k1": F.xxhash64(F.lit(1), *own), "k2": F.xxhash64(F.lit(2), *reversed(own))})
+
+
 def _sized(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
+    columns = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    return with_keys(columns, "doc_id", "text", "source").select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), "k1", "k2")
 
 
 def placed(sized: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
@@ -125,19 +131,19 @@ def placed(sized: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
     dealt = sized.where("size > 0").withColumn("_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
     sums = dealt.groupBy("source", "_group").agg(F.sum("size").alias("_n"))
     starts = sums.withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("source").alias("_source"), F.col("_group").alias("_g"), "_start")
-    inside = Window.partitionBy("source", "_group").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_group").orderBy("doc_id", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
     with_sum = dealt.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     at = with_sum.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_group") == F.col("_g")))
     indexed = at.join(sources.select(F.col("source").alias("_name"), "source_index"), F.col("source").eqNullSafe(F.col("_name")))
-    return indexed.select("doc_id", "source", "source_index", "size", "text_hash", (F.col("_start") + F.col("_inside")).cast("long").alias("start"))
+    return indexed.select("doc_id", "source", "source_index", "size", "k1", "k2", (F.col("_start") + F.col("_inside")).cast("long").alias("start"))
 
 
 @dataclass
 class Mix:
-    """sized: doc_id, source, size, text_hash. sources: the targets. draws: what is taken of each row.
+    """sized: doc_id, source, size, k1, k2. sources: the targets. draws: what is taken of each row.
 
-    A draw: doc_id, source, text_hash, start (the row's first word in its source), epoch, shard, slot,
-    low and high (the words of the row from low up to high).
+    A draw: doc_id, k1, k2, start (the row's first word in its source), epoch, shard, slot, low and high (the
+    words of the row from low up to high).
     """
 
     sized: DataFrame
@@ -167,7 +173,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     at = placed(sized, sources, sum(x["rows"] for x in totals))
     block = F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)))
     pieces = at.select("*", block.alias("block")).select(
-        "doc_id", "source", "text_hash", "start", "source_index", "block",
+        "doc_id", "k1", "k2", "start", "source_index", "block",
         F.greatest(F.col("start"), F.col("block") * block_words).alias("_from"),
         F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words).alias("_to"),
     )
@@ -176,7 +182,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     first = np.cumsum(counts, axis=0) - counts
     dealt = [(i, x.index, int(first[i, j]), int(counts[i, j]), x.blocks(block_words), planned[j][0] - 1, planned[j][1]) for i in range(shards) for j, x in enumerate(catalog) if counts[i, j]]
     schema = "shard int, source_index int, first long, count long, blocks long, last_slot long, last_words long"
-    table = spark.createDataFrame(dealt, schema).repartition(max(1, min(len(dealt), shards)), "shard", "source_index")
+    table = spark.createDataFrame(dealt, schema).repartition(max(1, min(len(dealt), spark.sparkContext.defaultParallelism)), "shard", "source_index")
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -192,20 +198,18 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 
     drawn = table.mapInPandas(slots, "shard int, source_index int, slot long, epoch int, block long, limit long")
     stop = F.least(F.col("_to"), F.col("block") * block_words + F.col("limit"))
-    draws = pieces.join(drawn.hint("merge"), ["source_index", "block"]).withColumn("_stop", stop).where("_stop > _from").select("doc_id", "source", "text_hash", "start", "epoch", "shard", "slot", (F.col("_from") - F.col("start")).alias("low"), (F.col("_stop") - F.col("start")).alias("high"))
+    draws = pieces.join(drawn.hint("merge"), ["source_index", "block"]).withColumn("_stop", stop).where("_stop > _from").select("doc_id", "k1", "k2", "start", "epoch", "shard", "slot", (F.col("_from") - F.col("start")).alias("low"), (F.col("_stop") - F.col("start")).alias("high"))
     return Mix(sized, sources, draws, catalog)
 
 
 def taken_words(mix: Mix) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, source."""
-    taken = mix.draws.groupBy("doc_id", "source", "text_hash", "start").agg(F.sum(F.col("high") - F.col("low")).alias("taken"))
+    taken = mix.draws.groupBy("k1", "k2", "start").agg(F.sum(F.col("high") - F.col("low")).alias("taken"))
     # Rows with equal id, source and text are interchangeable: the n-th of them gets the n-th sum.
-    turn = lambda *order: F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy(*order))
-    rows = mix.sized.withColumn("_turn", turn("size"))
-    sums = taken.withColumn("_turn", turn("start")).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), F.col("_turn").alias("_t"), "taken")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("text_hash") == F.col("_h")) & (F.col("_turn") == F.col("_t"))
-    joined = rows.join(sums, same, "left").join(mix.sources.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name")))
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    turn = lambda order: F.row_number().over(Window.partitionBy("k1", "k2").orderBy(order))
+    joined = mix.sized.withColumn("_turn", turn("size")).join(taken.withColumn("_turn", turn("start")).drop("start"), ["k1", "k2", "_turn"], "left")
+    named = joined.join(mix.sources.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name")))
+    return named.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -215,10 +219,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     line break stands. n_chars, where there, is counted anew.
     """
     mix = mix_sources(docs, **options)
-    spans = mix.draws.groupBy("doc_id", "source", "text_hash", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), "spans")
-    keyed = docs.withColumn("_h0", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "source", "_h0"])
-    both = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_h0") == F.col("_h"))).drop("_d", "_s", "_h", "_h0")
+    own = Window.partitionBy("k1", "k2")
+    spans = mix.draws.groupBy("k1", "k2", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans")).withColumn("_of", F.dense_rank().over(own.orderBy("start")))
+    turned = with_keys(docs, "doc_id", "text", "source").withColumn("_turn", F.row_number().over(own.orderBy("k1")))
+    both = turned.join(spans, ["k1", "k2"]).where("_turn - _of = 0")  # the n-th of interchangeable rows gets the n-th draws
     kept = both.select(*docs.columns, F.col("spans.low").alias("_low"), F.col("spans.high").alias("_high"))
 
     def cut(batches: Iterator) -> Iterator:
