@@ -16,7 +16,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +71,7 @@ class Scheme:
     def __init__(self, num: int, den: int, boundary: int):
         self.num, self.den, self.boundary = num, den, boundary
         self.tops: list[int] = [boundary]
+        self._groups: dict[int, tuple[int, int, int]] = {}
 
     def least_common(self, n: int) -> int:
         return -(-self.num * n // self.den)
@@ -90,13 +91,28 @@ class Scheme:
         own = bisect_left(self.tops, n)
         return (1,) if own == 0 else (own, own + 1)
 
-    def groups(self, cls: int) -> tuple[int, int]:
-        """How many groups the lists of a class use, and how many of them may be empty in both sets."""
+    def groups(self, cls: int) -> tuple[int, int, int]:
+        """For the lists of a class: groups, how many of them may be weak, and the shingles from which one is strong.
+
+        Strong groups say more: a passage that many documents share fills few groups of three by itself. The most
+        shingles are asked for that leave weak groups few enough, by their mean and spread in the smallest sets.
+        """
+        if cls in self._groups:
+            return self._groups[cls]
         while len(self.tops) <= cls:
             self.tops.append(self.largest_partner(self.tops[-1] + 1))
         differ = 2 * self.tops[cls] * (self.den - self.num) // (self.den + self.num)
-        spare = 2 + (differ + 1) // 16
-        return differ + 1 + spare, spare
+        smallest = max(self.least_common(self.tops[cls - 1] + 1), 1)
+        for strong in (3, 2, 1):
+            for spare in range(1, (differ + 1) // 3 + 4):
+                m = differ + 1 + spare
+                mean = smallest / m
+                weak = sum(exp(-mean) * mean**i / factorial(i) for i in range(strong))
+                if m * weak + 2 * sqrt(m * weak * (1 - weak)) <= spare:
+                    self._groups[cls] = m, spare, strong
+                    return self._groups[cls]
+        self._groups[cls] = differ + 4 + differ // 8, 3 + differ // 8, 1
+        return self._groups[cls]
 
     def list_keys(self, n: int) -> int:
         return sum(self.groups(c)[0] for c in self.classes(n))
@@ -105,27 +121,29 @@ class Scheme:
         """The contents of a set's groups in the lists of a class.
 
         Of two sets that link, at least spare + 1 groups are the same; if one of the sets has no more than spare
-        empty groups, one of those isn't empty. Where a set has more, it is grouped anew by another hash as well,
-        and in the end by its empty groups: if that comes to pass for both sets, both have those keys.
+        weak groups, one of those is strong, and strong groups are keys. Where a set has more weak ones, it is grouped
+        anew by another hash as well, and in the end by all its groups, empty ones too: if that comes to pass for
+        both sets, both have those keys.
         """
-        m, spare = self.groups(cls)
+        m, spare, strong = self.groups(cls)
         out = []
         for turn in range(REGROUP):
-            h = found
+            h, own = found, mixed
             if turn:
                 h = mix(found + U(turn))
                 order = np.argsort(h)
-                h, mixed = h[order], mix(found ^ U(0xA0761D6478BD642F))[order]
+                h, own = h[order], mixed[order]
             at = ((h >> U(32)) * U(m)) >> U(32)
             starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            sizes = np.diff(np.r_[starts, len(h)]).astype(U)
+            sizes = np.diff(np.r_[starts, len(h)])
             salt = U(mix_int(cls * 7919 + turn * 104_729 + 5))
-            out.append(mix(np.add.reduceat(mixed, starts) + (at[starts] + U(1)) * U(0x8EBC6AF09C88C6E3) + sizes * U(0x589965CC75374CC3) + salt))
-            if m - len(starts) <= spare:
+            all_ = mix(np.add.reduceat(own, starts) + (at[starts] + U(1)) * U(0x8EBC6AF09C88C6E3) + sizes.astype(U) * U(0x589965CC75374CC3) + salt)
+            good = sizes >= strong
+            out.append(all_[good])
+            if m - int(good.sum()) <= spare:
                 return out
         empty = np.setdiff1d(np.arange(m), at[starts].astype(np.int64))
-        out.append(mix(empty.astype(U) * U(0xE7037ED1A0B428DB) + salt + U(77)))
-        return out
+        return [*out, all_[~good], mix(empty.astype(U) * U(0xE7037ED1A0B428DB) + salt + U(77))]
 
     def keys(self, found: np.ndarray) -> np.ndarray:
         n = len(found)
@@ -313,7 +331,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
                 blobs = pa.array([x.tobytes() for x, ok in zip(found, right, strict=True) if ok], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(1, 5)] + [blobs], ["d1", "copies", "cluster", "blocks", "shingles"])
 
-    with_text = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "d1", "copies", "cluster", "blocks")
+    with_text = texts.join(placed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "d1", "copies", "cluster", "blocks")
     with_sets = with_text.mapInArrow(sets, "d1 long, copies long, cluster long, blocks int, shingles binary")
     block = F.pmod(F.hash("d1"), F.col("blocks"))
     dealt = with_sets.withColumn("block", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
