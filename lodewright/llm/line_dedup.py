@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._hashing import U, mix, mix_int, row_chunks, utf8, words
+from ._hashing import U, mix, row_chunks, utf8, words
 from ._store import forget, written
 
 LEAST_WORDS = 5
@@ -32,18 +32,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.r_[U(1), np.full(n, x, U)]) for x in (_G, _GI))
 
 
-def _line_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row: its index, the word hashes of the whole text, and how many words lie before each line's end."""
+def _lines(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For chunks of rows: the word hashes, and of each line its row, its number in it, its first word and the word after its last."""
     data, offsets = utf8(texts)
     for low, high in row_chunks(offsets):
-        base = offsets[low]
-        part, cuts = data[base : offsets[high]], offsets[low : high + 1] - base
-        starts, _, hashes, first = words(part, cuts, lower=True)
+        part, cuts = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        starts, _, hashes, _ = words(part, cuts, lower=True)
         breaks = np.flatnonzero(part == 10)
-        for i in range(high - low):
-            own = breaks[np.searchsorted(breaks, cuts[i]) : np.searchsorted(breaks, cuts[i + 1])]
-            mine = slice(first[i], first[i + 1])
-            yield low + i, hashes[mine], np.r_[np.searchsorted(starts[mine], own), first[i + 1] - first[i]]
+        order = np.argsort(np.r_[2 * breaks, 2 * cuts[1:] - 1], kind="stable")  # a row's end comes before a break at the next row's first byte
+        ends = np.searchsorted(starts, np.r_[breaks, cuts[1:]][order])
+        row = np.r_[np.searchsorted(cuts, breaks, side="right") - 1, np.arange(high - low)][order]
+        first = np.searchsorted(row, np.arange(high - low))
+        yield hashes, row + low, np.arange(len(row)) - first[row], np.r_[0, ends[:-1]], ends
 
 
 def _sequence_hash(total: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -59,18 +59,15 @@ def line_rows(docs: DataFrame, least_words: int, id_column: str, text_column: st
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 out: list[list[np.ndarray]] = [[] for _ in range(9)]
-                for row, hashes, ends in _line_words(batch.column(2)):
-                    begins = np.r_[0, ends[:-1]]
+                for hashes, row, number, begins, ends in _lines(batch.column(2)):
                     line = np.flatnonzero(ends - begins >= least_words)
-                    if not len(line):
-                        continue
                     up, down = _powers(len(hashes))
                     total = np.r_[U(0), np.cumsum(hashes * up[:-1])]
                     second = np.r_[U(0), np.cumsum(mix(hashes + U(0x632BE59BD9B4E019)) * up[:-1])]
                     a, b = begins[line], ends[line]
                     n = b - a
-                    out[0].append(np.full(len(line), row))
-                    out[1].append(line)
+                    out[0].append(row[line])
+                    out[1].append(number[line])
                     out[2].append(n)
                     out[3].append(_sequence_hash(total, down, a, b))
                     out[4].append(_sequence_hash(second, down, a, b))
@@ -109,19 +106,22 @@ def near_lines(texts: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
                 batch = whole.slice(at, 512)
                 ids, lines, h1s = (batch.column(i).to_pylist() for i in (0, 2, 3))
                 keys, spots, owners, heads = [], [], [], []
-                for row, hashes, ends in _line_words(batch.column(1)):
+                for hashes, row, number, begins, ends in _lines(batch.column(1)):
                     up, down = _powers(len(hashes))
                     total = np.r_[U(0), np.cumsum(hashes * up[:-1])]
-                    for line, h1 in zip(lines[row], h1s[row], strict=True):
-                        a, b = (int(ends[line - 1]) if line else 0), int(ends[line])
-                        n = b - a
-                        gone = np.arange(a, b)
-                        rest = (total[gone] - total[a]) * down[a] + (total[b] - total[gone + 1]) * down[a + 1]
-                        whole = (total[b : b + 1] - total[a : a + 1]) * down[a : a + 1]
-                        keys.append(np.r_[whole, rest] + np.r_[n, np.full(n, n - 1)].astype(U) * U(0xD6E8FEB86659FD93))
-                        spots.append(np.r_[-1, gone - a].astype(np.int32))
-                        owners.append(np.full(n + 1, len(heads), np.uint32))
-                        heads.append((h1, _LAST if ids[row] is None else ids[row], line))
+                    at_row = np.flatnonzero(number == 0)
+                    for zero in at_row.tolist():
+                        r = int(row[zero])
+                        for line, h1 in zip(lines[r], h1s[r], strict=True):
+                            a, b = int(begins[zero + line]), int(ends[zero + line])
+                            n = b - a
+                            gone = np.arange(a, b)
+                            as_is = (total[b : b + 1] - total[a : a + 1]) * down[a : a + 1]
+                            rest = (total[gone] - total[a]) * down[a] + (total[b] - total[gone + 1]) * down[a + 1]
+                            keys.append(np.r_[as_is, rest] + np.r_[n, np.full(n, n - 1)].astype(U) * U(0xD6E8FEB86659FD93))
+                            spots.append(np.r_[-1, gone - a].astype(np.int32))
+                            owners.append(np.full(n + 1, len(heads), np.uint32))
+                            heads.append((h1, _LAST if ids[r] is None else ids[r], line))
                 if not keys:
                     continue
                 key, spot, owner = mix(np.concatenate(keys)), np.concatenate(spots), np.concatenate(owners)
