@@ -90,7 +90,7 @@ def _tables(args) -> list[dict]:
     if args.ontology:
         from lodewright.sources.turtle import parse_turtle
 
-        onto = parse_turtle(spark.read.option("wholetext", True).text(args.ontology).selectExpr("'ontology' AS graph_id", "value AS text")).cache()
+        onto = parse_turtle(spark.read.text(args.ontology, wholetext=True).selectExpr("'ontology' AS graph_id", "value AS text")).cache()
     g = evaluation.load(spark, args.index, args.texts, args.golds, args.predictions, args.domain, onto)
     if args.command == "evaluate":
         out = evaluation.summary(evaluation.evaluate(g, onto), g.items, g.systems)
