@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import written
+
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 BLOCK = 64
@@ -42,23 +44,44 @@ def text_terms(text: str | None) -> Counter:
 
 @dataclass
 class Vocabulary:
+    """The chosen terms, and an automaton over them that finds the words which may have some."""
+
     terms: dict[str, int]
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    _finder: object = None
+
+    def _find(self, text: str) -> set[int]:
+        if self._finder is None:
+            import ahocorasick
+
+            self._finder = ahocorasick.Automaton()
+            for term in self.terms:
+                self._finder.add_word(term.removesuffix("$"), len(term.removesuffix("$")))
+            self._finder.make_automaton()
+        return {end - n + 1 for end, n in self._finder.iter(text)}
 
     def counts(self, text: str | None) -> dict[int, int]:
-        """How often each chosen term is in a whole text."""
+        """How often each chosen term is in a whole text; terms are words or their beginnings."""
         out: dict[int, int] = {}
-        known, terms = self.known, self.terms
-        for word, n in text_words(text).items():
-            at = known.get(word)
+        if not text or not self.terms:
+            return out
+        low = text.lower()
+        for start in self._find(low):
+            if start and WORD.match(low, start - 1):
+                continue
+            word = WORD.match(low, start)[0]
+            at = self.known.get(word)
             if at is None:
-                at = known[word] = tuple(terms[t] for t in word_terms(word) if t in terms)
+                if len(self.known) > 500_000:
+                    self.known.clear()
+                at = self.known[word] = tuple(self.terms[t] for t in word_terms(word) if t in self.terms)
             for t in at:
-                out[t] = out.get(t, 0) + n
-        if len(known) > 2_000_000:
-            known.clear()
+                out[t] = out.get(t, 0) + 1
         return out
 
+    def __getstate__(self) -> dict:
+        return {"terms": self.terms, "known": {}, "_finder": None}
+
 
 class Index:
     """Labelled examples as unit TF-IDF vectors, in blocks; for each term its greatest weight in each block."""
@@ -181,11 +204,12 @@ def _examples(labels: DataFrame, most: int) -> tuple[DataFrame, tuple[float, flo
     return parts[0].unionByName(parts[1]), weights
 
 
-def train(docs: DataFrame, labels: DataFrame, most_examples: int = 9000, most_terms: int = 512, least_chi2: float = 30.0, least_docs: int = 5) -> tuple[Vocabulary, Index]:
+def train(docs: DataFrame, labels: DataFrame, most_examples: int = 9000, most_terms: int = 512, least_chi2: float = 30.0, least_docs: int = 4, least_lift: float = 4.0) -> tuple[Vocabulary, Index, DataFrame]:
     """Learns from labelled rows that aren't held out, a sample of at most ``most_examples``.
 
-    Terms are those that depend on the label by chi-squared; their document frequencies are counted over all
-    ``docs``. Everything that reaches the driver is bounded by ``most_examples`` and ``most_terms``.
+    Terms are those that depend on the label by chi-squared and are ``least_lift`` times as frequent with label 1;
+    their document frequencies are counted over all ``docs``. Everything that reaches the driver is bounded by
+    ``most_examples`` and ``most_terms``. The third result is a table of all rows' term counts: doc_id, terms, counts.
     """
     spark = docs.sparkSession
     chosen, weights = _examples(labels.select("doc_id", "toxic"), most_examples)
@@ -209,43 +233,64 @@ def train(docs: DataFrame, labels: DataFrame, most_examples: int = 9000, most_te
     p, n = (float(sums["a"]), float(sums["b"])) if sums else (0.0, 0.0)
     both = F.col("a") + F.col("b")
     chi2 = F.pow(F.col("a") * n - F.col("b") * p, F.lit(2)) * (p + n) / (F.lit(max(p * n, 1.0)) * both * F.greatest(F.lit(p + n) - both, F.lit(1.0)))
-    best = counted.where((F.col("term") != "") & (both >= least_docs)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2).orderBy(F.col("chi2").desc(), "term").limit(most_terms).collect()
+    best = counted.where((F.col("term") != "") & (both >= least_docs)).withColumn("chi2", chi2).where((F.col("chi2") >= least_chi2) & (F.col("a") * n >= least_lift * p * F.col("b"))).orderBy(F.col("chi2").desc(), "term").limit(most_terms).collect()
     vocabulary = Vocabulary({r["term"]: i for i, r in enumerate(best)})
     sent = spark.sparkContext.broadcast(vocabulary)
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = 0, Counter()
-        for batch in batches:
-            total += batch.num_rows
-            for at in range(0, batch.num_rows, 1024):
-                for text in batch.column(0).slice(at, 1024).to_pylist():
-                    seen.update(sent.value.counts(text).keys())
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *seen], pa.int64()), pa.array([total, *seen.values()], pa.int64())], ["term", "n"])
-
-    df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log((1.0 + df.get(-1, 0)) / (1.0 + df.get(i, 0))) + 1.0 for i in range(len(best))])
-
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sent.value.counts(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(v.keys()) for v in found], pa.list_(pa.int64())), pa.array([list(v.values()) for v in found], pa.list_(pa.int64()))], ["doc_id", "toxic", "terms", "counts"])
-
-    rows = sorted(examples.mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, counts array<long>").collect(), key=lambda r: (r["doc_id"], r["terms"]))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                found = [sent.value.counts(x) for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(v.keys()) for v in found], pa.list_(pa.int64())), pa.array([list(v.values()) for v in found], pa.list_(pa.int64()))], ["doc_id", "terms", "counts"])
+
+    table, _ = written(texts.select("doc_id", "text").mapInArrow(vectors, "doc_id long, terms array<long>, counts array<long>"), "toxicity-terms")
+    df = {r["term"]: r["n"] for r in table.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # most_terms rows
+    total = table.count()
+    idf = np.array([np.log((1.0 + total) / (1.0 + df.get(i, 0))) + 1.0 for i in range(len(best))])
+    own = table.join(F.broadcast(picked), "doc_id")  # most_examples rows
+
+    rows = sorted(own.collect(), key=lambda r: (r["doc_id"], r["terms"]))
     found = [dict(zip(r["terms"], r["counts"], strict=True)) for r in rows]
     y, ids = [r["toxic"] for r in rows], [r["doc_id"] for r in rows]
     index = Index(found, y, ids, weights, idf)
     index.calibrate(found, y, ids)
-    return vocabulary, index
+    return vocabulary, index, table
 
 
-def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` with toxicity (0 to 1), evidence_ids (its nearest labelled examples) and evidence_terms.
+def _answers(index: Index, names: list[str], vectors: list[dict[int, int]]) -> list[pa.Array]:
+    got = [index.score(v) for v in vectors]
+    terms = [[names[t] for t in sorted(v)][:5] if ids else [] for v, (_, ids) in zip(vectors, got, strict=True)]
+    return [pa.array([x for x, _ in got], pa.float64()), pa.array([x for _, x in got], pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))]
+
+
+_ANSWERS = "toxicity double, evidence_ids array<long>, evidence_terms array<string>"
+
+
+def scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """One row per input row: doc_id, toxicity (0 to 1), evidence_ids (nearest labelled examples), evidence_terms.
 
     Only the text decides. Null and empty texts, and texts without any chosen term, get the rate of label 1
-    among such examples. Without usable labels that is near 0. Other columns pass through; columns of those three
-    names are replaced.
+    among such examples. Without usable labels that is near 0. Ids are whole numbers or null; repeated rows have a
+    row each; extra columns aren't read; an empty table gives an empty table. Whole texts are read once for all rows.
     """
-    vocabulary, index = train(docs, labels, **options)
+    vocabulary, index, table = train(docs, labels, **options)
+    sent = docs.sparkSession.sparkContext.broadcast((index, list(vocabulary.terms)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [dict(zip(t, c, strict=True)) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_answers(*sent.value, vectors)], ["doc_id", "toxicity", "evidence_ids", "evidence_terms"])
+
+    return table.mapInArrow(run, f"doc_id long, {_ANSWERS}")
+
+
+def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``docs`` with toxicity, evidence_ids and evidence_terms, as in ``scores``; columns of those names are replaced.
+
+    Rows are scored where they lie, in a second reading of the texts, so that no text is shuffled.
+    """
+    vocabulary, index, _ = train(docs, labels, **options)
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, index, list(vocabulary.terms)))
     base = docs.drop("toxicity", "evidence_ids", "evidence_terms")
     at = base.columns.index("text")
@@ -255,16 +300,10 @@ def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         for whole in batches:
             for low in range(0, whole.num_rows, 1024):
                 batch = whole.slice(low, 1024)
-                score, ids, terms = [], [], []
-                for text in batch.column(at).to_pylist():
-                    counts = vocabulary.counts(text)
-                    got, near = index.score(counts)
-                    score.append(got)
-                    ids.append(near)
-                    terms.append([names[t] for t in sorted(counts)][:5] if near else [])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(ids, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))], [*batch.schema.names, "toxicity", "evidence_ids", "evidence_terms"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "toxicity double, evidence_ids array<long>, evidence_terms array<string>"])
+                vectors = [vocabulary.counts(text) for text in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *_answers(index, names, vectors)], [*batch.schema.names, "toxicity", "evidence_ids", "evidence_terms"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), _ANSWERS])
     return base.mapInArrow(run, schema)
 
 
@@ -276,4 +315,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, reject: float = REJECT, **
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return scored(docs, labels).select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= REJECT, 1).otherwise(0).alias("predicted"), "evidence_ids", "evidence_terms")
+    return scores(docs, labels).select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= REJECT, 1).otherwise(0).alias("predicted"), "evidence_ids", "evidence_terms")
