@@ -117,13 +117,14 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, segment_bytes:
     exceeds ``segment_bytes`` goes on in continuation records. Extra columns aren't read.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha", F.when(F.octet_length("payload") >= least_bytes, F.sha2("payload", 256)))
-    ids, _ = written(rows.where("sha is not null").groupBy("page_id", "sha").agg(F.lit(1).alias("one")).select("page_id", "sha"), "warc-ids")
-    first = ids.groupBy(F.col("sha").alias("_sha")).agg(F.min("page_id").alias("_first"))
-    decided = ids.join(first, F.col("sha") == F.col("_sha")).select(F.col("page_id").alias("_id"), "_sha", "_first")
-    both = rows.join(decided, F.col("page_id").eqNullSafe(F.col("_id")) & F.col("sha").eqNullSafe(F.col("_sha")), "left")
-    turned = both.withColumn("turn", F.row_number().over(Window.partitionBy("page_id", "sha").orderBy("url")))
-    revisit = F.col("_sha").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("_first")) | (F.col("turn") > 1))
+    sha = F.sha2("payload", 256)
+    key = F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), sha)  # never null, so that join and window share one shuffle
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("key", key)
+    ids, _ = written(rows.select("key", "page_id", sha.alias("sha"), (F.octet_length("payload") >= least_bytes).alias("large")).distinct(), "warc-ids")
+    first = ids.where("large").groupBy(F.col("sha").alias("_sha")).agg(F.min("page_id").alias("_first"))
+    decided = ids.join(first, (F.col("sha") == F.col("_sha")) & F.col("large"), "left").select("key", "large", "_first")
+    turned = rows.join(decided.hint("merge"), "key").withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("url")))
+    revisit = F.col("large") & (~F.col("page_id").eqNullSafe(F.col("_first")) | (F.col("turn") > 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
