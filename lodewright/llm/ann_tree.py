@@ -21,6 +21,7 @@ from ._store import forget, written
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
+FIRST_LEAVES = 4
 
 
 @dataclass
@@ -69,7 +70,7 @@ class Tree:
         return out
 
 
-def fit_tree(sample: np.ndarray, branch: int = 8, leaf_rows: int = 256, rounds: int = 8, seed: int = 1) -> Tree:
+def fit_tree(sample: np.ndarray, branch: int = 8, leaf_rows: int = 1024, rounds: int = 8, seed: int = 1) -> Tree:
     longest = float(np.sqrt((sample * sample).sum(1).max(initial=0.0)))
     tree = Tree(np.zeros((1, sample.shape[1] + 1)), [[]], [-1], longest)
     lifted, random = tree.lifted(sample), np.random.default_rng(seed)
@@ -133,7 +134,7 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).where(F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull())
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95, sample_rows: int = 16_384, trial_queries: int = 128, branch: int = 8, leaf_rows: int = 256, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95, sample_rows: int = 16_384, trial_queries: int = 128, branch: int = 8, leaf_rows: int = 1024, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the nearest found to each query, its own row left out.
 
     The tree is fit on at most ``sample_rows`` rows, by hash of their id; all rows are indexed. Up to
@@ -167,15 +168,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     visits = _calibrated(placed, tree, trial_ids, trial_vectors, k, recall) if len(trial_ids) else tree.leaves
     sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # a row a leaf of the bounded tree
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = _matrix(batch.column(1))
-            leaves = [sent.value.visit(x, visits) for x in q]
-            at = np.repeat(np.arange(len(q)), [len(x) for x in leaves])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.concatenate(leaves).astype(np.int32))], ["query_id", "q", "leaf"])
+    first = min(visits, FIRST_LEAVES)
+
+    def route(low: int, high: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                q, bar = _matrix(batch.column(1)), batch.column(2)
+                leaves = [sent.value.visit(x, high)[low:] for x in q]
+                at = pa.array(np.repeat(np.arange(len(q)), [len(x) for x in leaves]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), bar.take(at), pa.array(np.concatenate(leaves).astype(np.int32))], ["query_id", "q", "bar", "leaf"])
+
+        return run
 
-    routed = asked.mapInArrow(route, "query_id long, q array<double>, leaf int")
-    split = routed.join(F.broadcast(sizes), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "q")
     dealt = placed.join(F.broadcast(sizes), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -190,15 +194,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
             own, scores = part["query_id"].to_numpy(), exact_dots(_matrix(part["q"]), v)
             scores[own[:, None] == ids[None, :]] = -np.inf
             best = best_k(scores, ids, k)
-            who = np.repeat(own, best.shape[1])
-            value = np.take_along_axis(scores, best, 1).ravel()
-            real = value > -np.inf
-            out.append(pa.table({"query_id": who[real], "vec_id": ids[best.ravel()][real], "score": value[real]}, none.schema))
+            value = np.take_along_axis(scores, best, 1)
+            real = (value > -np.inf) & (value >= part["bar"].to_numpy()[:, None])
+            out.append(pa.table({"query_id": np.repeat(own, real.sum(1)), "vec_id": ids[best[real]], "score": value[real]}, none.schema))
         return pa.concat_tables(out)
 
-    found = split.groupBy("leaf", "block").cogroup(dealt.groupBy("leaf", "block")).applyInArrow(nearest, "query_id long, vec_id long, score double")
-    top = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("near"))  # k a leaf visited
-    cut = top.select("query_id", F.posexplode(F.slice("near", 1, k)).alias("at", "x"))
+    def visited(queries: DataFrame, low: int, high: int) -> DataFrame:
+        routed = queries.mapInArrow(route(low, high), "query_id long, q array<double>, bar double, leaf int")
+        split = routed.join(F.broadcast(sizes), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "q", "bar")
+        return split.groupBy("leaf", "block").cogroup(dealt.groupBy("leaf", "block")).applyInArrow(nearest, "query_id long, vec_id long, score double")
+
+    near = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k)
+    start = asked.withColumns({"q": F.col("v"), "bar": F.lit(float("-inf"))}).select("vec_id", "q", "bar")
+    found, _ = written(visited(start, 0, first).groupBy("query_id").agg(near.alias("near")), "ann-first")
+    if visits > first:
+        # In further leaves only what reaches the k-th score so far can count.
+        bar = F.when(F.size("near") >= k, -F.element_at("near", k)["far"]).otherwise(F.lit(float("-inf")))
+        bars = found.select(F.col("query_id").alias("vec_id"), bar.alias("_bar"))
+        again = asked.join(bars, "vec_id", "left").select("vec_id", F.col("v").alias("q"), F.coalesce("_bar", F.lit(float("-inf"))).alias("bar"))
+        more = visited(again, first, visits).unionByName(found.select("query_id", F.explode("near").alias("x")).select("query_id", "x.vec_id", (-F.col("x.far")).alias("score")))
+        found = more.groupBy("query_id").agg(near.alias("near"))
+    cut = found.select("query_id", F.posexplode("near").alias("at", "x"))
     return cut.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
 
 
