@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,18 +37,30 @@ def _by_system(joint: DataFrame) -> DataFrame:
     return joint.withColumns({"system": parts[0], "graph_id": parts[1]})
 
 
-def read_graphs(items: DataFrame, outputs: DataFrame, ontology: DataFrame | None = None, today: str = "2000-01-01") -> Graphs:
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder: read once by every metric, with a short plan, and there if an executor is lost."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodewright-"))
+    return df.checkpoint()
+
+
+def read_graphs(items: DataFrame, outputs: DataFrame, ontology: DataFrame | None = None, today: str = "2000-01-01", keep: Callable[[DataFrame], DataFrame] = checkpointed) -> Graphs:
     """items: text_id, domain, text, gold. outputs: system, text_id, output (not empty).
 
-    The strict reading cleans an output fully; the reading up to the first error only strips fences.
+    The strict reading cleans an output fully; the reading up to the first error only strips fences. What several
+    metrics use goes through ``keep``.
     """
+    items, outputs = keep(items), keep(outputs)
     gold = turtle.parse_turtle(items.select(F.col("text_id").alias("graph_id"), F.col("gold").alias("text")))
+    gold = keep(gold)
     joint = outputs.select(F.concat_ws("|", "system", "text_id").alias("graph_id"), "output")
     cleaned = joint.select("graph_id", clean_turtle(F.col("output")).alias("text"))
-    strict, status = turtle.parse_turtle(cleaned), turtle.turtle_status(cleaned)
+    strict, status = keep(turtle.parse_turtle(cleaned)), keep(turtle.turtle_status(cleaned))
     prefix = turtle.parse_turtle(joint.select("graph_id", strip_fences(F.col("output")).alias("text")), turtle.PREFIX)
+    prefix = keep(prefix)
     form = normalize_dates(today)
-    labels = lambda t: matching.normalized_once(graphs.label_triples(t, ontology), form)
+    labels = lambda t: keep(matching.normalized_once(keep(graphs.label_triples(t, ontology)), form))
     gold_labels = labels(gold).withColumnRenamed("graph_id", "text_id")
     pred_labels = _by_system(labels(strict)).withColumnRenamed("graph_id", "text_id")
     systems = outputs.select("system").distinct()
@@ -56,7 +70,8 @@ def read_graphs(items: DataFrame, outputs: DataFrame, ontology: DataFrame | None
 def evaluate(g: Graphs, ontology: DataFrame | None = None) -> DataFrame:
     """A row a scored text and system: p, r, f1, oc, sh, rh, oh, entity_recall, type_f1, predicate_coverage, counts."""
     own = matching.on_schema(g.pred_labels, g.gold_labels)
-    triple = matching.match_counts(g.gold_labels, own, matching.greedy_matches(g.gold_labels, own), g.systems)
+    own = checkpointed(own)
+    triple = checkpointed(matching.match_counts(g.gold_labels, own, checkpointed(matching.greedy_matches(g.gold_labels, own)), g.systems))
     to_text = lambda d: d.withColumnRenamed("graph_id", "text_id")
     per = lambda f, *c: to_text(_by_system(f(g.prefix.withColumn("graph_id", F.concat_ws("|", "system", "graph_id")).drop("system"))).select("graph_id", "system", *c))
     entities = matching.entity_recall(to_text(graphs.labelled_entities(g.gold)).select("text_id", "label"), per(graphs.labelled_entities, "label"), g.systems)
@@ -107,9 +122,9 @@ def link_rows(g: Graphs) -> DataFrame:
     """Entity-link sensitivity by text and system, with parsed."""
 
     def matcher(gold: DataFrame, pred: DataFrame) -> DataFrame:
-        return matching.greedy_matches(gold, pred)
+        return checkpointed(matching.greedy_matches(gold, pred))
 
-    own = matching.on_schema(g.pred_labels, g.gold_labels)
+    own = checkpointed(matching.on_schema(g.pred_labels, g.gold_labels))
     rows = metrics.link_sensitivity(g.gold_labels, own, g.systems, matcher).drop("n_pred", "n_pred_sameas")
     link = F.regexp_replace(F.lower("rel"), "[ _]", "").isin("sameas", "owl:sameas")
     counted = g.pred_labels.groupBy("text_id", "system").agg(F.count("*").alias("n_pred"), F.count_if(link).alias("n_pred_sameas"))
@@ -118,12 +133,9 @@ def link_rows(g: Graphs) -> DataFrame:
 
 
 def load(spark: SparkSession, index: str, texts: str, golds: str, predictions: str, domain: str | None = None, ontology: DataFrame | None = None) -> Graphs:
-    """Graphs from files; each table is read once and kept, since every metric uses it."""
+    """Graphs from files."""
     from lodewright.sources.files import read_items, read_predictions
 
-    items = read_items(spark, index, texts, golds, domain).cache()
+    items = read_items(spark, index, texts, golds, domain)
     outputs = read_predictions(spark, predictions).where(F.length(F.coalesce("output", F.lit(""))) > 0).join(items.select("text_id"), "text_id").select("system", "text_id", "output")
-    g = read_graphs(items, outputs.cache(), ontology)
-    for name in ("gold", "strict", "status", "prefix", "gold_labels", "pred_labels"):
-        setattr(g, name, getattr(g, name).cache())
-    return g
+    return read_graphs(items, outputs, ontology)

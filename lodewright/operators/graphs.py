@@ -86,22 +86,30 @@ def lower_label(kind: Column, node: Column, label: Column) -> Column:
     return F.when(kind == "literal", F.lower(F.trim(node))).when(kind == "bnode", "").otherwise(F.lower(F.trim(F.coalesce(label, F.regexp_replace(local_name(node), "_", " ")))))
 
 
+def _readable(uri: Column) -> Column:
+    return F.regexp_replace(local_name(uri), "[_-]", " ")
+
+
 def labelled_entities(triples: DataFrame) -> DataFrame:
-    """(graph_id, label, uri): URI subjects by label, or by last part; the last URI of a label."""
-    subjects = triples.where("s_kind = 'uri'").groupBy("graph_id", F.col("s").alias("node")).agg(F.min("seq").alias("seq"))
-    named = triples.where(F.col("p") == RDFS_LABEL).groupBy("graph_id", F.col("s").alias("node")).agg(F.max_by("o", "seq").alias("label"))
-    both = subjects.join(named, ["graph_id", "node"], "left")
-    label = F.coalesce("label", F.regexp_replace(local_name(F.col("node")), "[_-]", " "))
-    return both.withColumn("label", label).groupBy("graph_id", "label").agg(F.max_by("node", "seq").alias("uri"), F.min("seq").alias("seq"))
+    """(graph_id, label, uri, seq): URI subjects by each of their labels, or else by last part; the last URI of a label.
+
+    A last part that is itself some label in the graph doesn't count.
+    """
+    subjects = triples.where("s_kind = 'uri'").groupBy("graph_id", F.col("s").alias("uri")).agg(F.min("seq").alias("seq"))
+    labels = triples.where((F.col("p") == RDFS_LABEL) & (F.col("s_kind") == "uri")).select("graph_id", F.col("s").alias("uri"), F.trim("o").alias("label"), "seq").where("label <> ''")
+    bare = subjects.join(labels.select("graph_id", "uri").distinct(), ["graph_id", "uri"], "left_anti").withColumn("local", local_name(F.col("uri")))
+    free = bare.where("local <> ''").join(labels.select("graph_id", F.col("label").alias("local")).distinct(), ["graph_id", "local"], "left_anti")
+    both = labels.unionByName(free.select("graph_id", "uri", _readable(F.col("uri")).alias("label"), "seq"))
+    return both.groupBy("graph_id", "label").agg(F.max_by("uri", "seq").alias("uri"), F.min("seq").alias("seq"))
 
 
 def type_sets(triples: DataFrame) -> DataFrame:
-    """(graph_id, label, types, seq): the type names of each label, sorted."""
-    named = triples.where(F.col("p") == RDFS_LABEL).groupBy("graph_id", F.col("s").alias("node")).agg(F.max_by("o", "seq").alias("label"))
-    typed = triples.where((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "uri")).select("graph_id", F.col("s").alias("node"), local_name(F.col("o")).alias("type"), "seq")
+    """(graph_id, label, types, seq): the type names of each label, sorted; a URI goes by its last label, or its last part."""
+    named = triples.where((F.col("p") == RDFS_LABEL) & (F.col("s_kind") == "uri")).groupBy("graph_id", F.col("s").alias("node")).agg(F.trim(F.max_by("o", "seq")).alias("label"))
+    typed = triples.where((F.col("p") == RDF_TYPE) & (F.col("s_kind") == "uri") & (F.col("o_kind") == "uri")).select("graph_id", F.col("s").alias("node"), local_name(F.col("o")).alias("type"), "seq")
     both = typed.join(named, ["graph_id", "node"], "left")
-    label = F.coalesce("label", F.regexp_replace(local_name(F.col("node")), "[_-]", " "))
-    return both.withColumn("label", label).groupBy("graph_id", "label").agg(F.array_sort(F.collect_set("type")).alias("types"), F.min("seq").alias("seq"))
+    label = F.coalesce("label", _readable(F.col("node")))
+    return both.withColumn("label", label).where("label <> ''").groupBy("graph_id", "label").agg(F.array_sort(F.collect_set("type")).alias("types"), F.min("seq").alias("seq"))
 
 
 def predicate_names(triples: DataFrame) -> DataFrame:

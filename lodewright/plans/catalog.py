@@ -351,7 +351,7 @@ def _entities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 _TYPES = """{1}_named AS (SELECT graph_id, {0}s AS node, arg_max(o, seq) AS label FROM {1} WHERE p = '""" + RDFS_LABEL + """' GROUP BY ALL),
 {1}_types AS (SELECT t.graph_id, {2} coalesce(n.label, regexp_replace(regexp_extract(t.s, '[^/#]*$', 0), '[_-]', ' ', 'g')) AS label, list_sort(list(DISTINCT regexp_extract(t.o, '[^/#]*$', 0))) AS types, min(t.seq) AS seq
-  FROM {1} t LEFT JOIN {1}_named n ON n.graph_id = t.graph_id AND n.node = t.s {3} WHERE t.p = '""" + RDF_TYPE + """' GROUP BY ALL)"""
+  FROM {1} t LEFT JOIN {1}_named n ON n.graph_id = t.graph_id AND n.node = t.s {3} WHERE t.p = '""" + RDF_TYPE + """' AND t.s_kind = 'uri' GROUP BY ALL)"""
 _TYPES_SQL = f"""{RDF_SQL}, {_TYPES.format("", "grdf", "", "")}, {_TYPES.format("system, ", "prdf", "t.system,", "AND n.system = t.system")},
 ranked AS (SELECT g.graph_id, p.system, g.label, g.types AS gt, p.types AS pt, row_number() OVER (PARTITION BY g.graph_id, p.system, g.label ORDER BY CASE WHEN g.label = p.label THEN 0 ELSE 1 END, p.seq, p.label) AS n FROM grdf_types g JOIN prdf_types p ON p.graph_id = g.graph_id AND lower(p.label) = lower(g.label)),
 own AS (SELECT g.graph_id, s.system, CASE WHEN pt IS NULL THEN 0 ELSE len(list_intersect(g.types, pt)) END AS tp, CASE WHEN pt IS NULL THEN 0 ELSE len(list_filter(pt, lambda x: NOT list_contains(g.types, x))) END AS fp, len(g.types) - CASE WHEN pt IS NULL THEN 0 ELSE len(list_intersect(g.types, pt)) END AS fn FROM grdf_types g CROSS JOIN systems s LEFT JOIN ranked r ON r.graph_id = g.graph_id AND r.system = s.system AND r.label = g.label AND r.n = 1),
@@ -455,8 +455,8 @@ def fm6_injection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _FM7_SQL = f"""spans AS (SELECT DISTINCT graph_id, system, s AS node FROM prdf WHERE p = '{RDF_TYPE}' AND {local_sql("o")} IN ({_IN(fm.TIME_SPANS)})),
-att AS (SELECT graph_id, system, o AS node FROM prdf WHERE {local_sql("p")} IN ({_IN(fm.HAS_TIME_SPAN)}) UNION SELECT graph_id, system, s FROM prdf WHERE {local_sql("p")} IN ({_IN(fm.IS_TIME_SPAN_OF)})),
-fm7 AS (SELECT t.graph_id, s.system, count(x.node) AS total, count(*) FILTER (WHERE x.node IS NOT NULL AND a.node IS NULL) AS detached FROM {_GRID} LEFT JOIN spans x ON x.graph_id = t.graph_id AND x.system = s.system LEFT JOIN att a ON a.graph_id = x.graph_id AND a.system = x.system AND a.node = x.node GROUP BY t.graph_id, s.system)"""
+att AS (SELECT graph_id, system, unnest([s, o]) AS node FROM prdf WHERE p IN ({_IN(fm.TIME_SPAN_EDGES)})),
+fm7 AS (SELECT t.graph_id, s.system, count(x.node) AS total, count(*) FILTER (WHERE x.node IS NOT NULL AND a.node IS NULL) AS detached FROM {_GRID} LEFT JOIN spans x ON x.graph_id = t.graph_id AND x.system = s.system LEFT JOIN (SELECT DISTINCT * FROM att) a ON a.graph_id = x.graph_id AND a.system = x.system AND a.node = x.node GROUP BY t.graph_id, s.system)"""
 
 
 @query(f"{RDF_SQL}, {_FM7_SQL} SELECT *, CASE WHEN total > 0 THEN detached / total ELSE 0.0 END AS rate FROM fm7")
