@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._columns import set_aside
 from ._hashing import U, mix, row_chunks, utf8, words
 from ._store import forget, written
 
@@ -213,8 +214,9 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = True, **options) -> DataFr
     blank texts stay as they are.
     """
     gone = dropped_lines(docs, **options).groupBy(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_h")).agg(F.collect_set("line_no").alias("_gone"))
-    keyed = docs.withColumns({"_id0": F.col("doc_id").cast("long"), "_h0": F.xxhash64(F.coalesce("text", F.lit("")))})
-    both = keyed.join(gone, F.col("_id0").eqNullSafe(F.col("_d")) & (F.col("_h0") == F.col("_h")), "left").select(*docs.columns, "_gone")
+    plain, back = set_aside(docs, "doc_id", "text", "n_chars")
+    keyed = plain.withColumns({"_id0": F.col("doc_id").cast("long"), "_h0": F.xxhash64(F.coalesce("text", F.lit("")))})
+    both = keyed.join(gone, F.col("_id0").eqNullSafe(F.col("_d")) & (F.col("_h0") == F.col("_h")), "left").select(*(f"`{c}`" for c in plain.columns), "_gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,8 +233,8 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = True, **options) -> DataFr
             at = out.schema.get_field_index("text")
             yield from out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type)).filter(pa.array(keep)).to_batches()
 
-    out = both.mapInArrow(cut, docs.schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = both.mapInArrow(cut, plain.schema)
+    return back(out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._columns import set_aside
 from ._hashing import mix, mix_int, utf8_at, words
 from ._store import written
 
@@ -219,11 +220,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     line break stands. n_chars, where there, is counted anew.
     """
     mix = mix_sources(docs, **options)
+    plain, back = set_aside(docs, "doc_id", "text", "source", "n_chars")
     own = Window.partitionBy("k1", "k2")
     spans = mix.draws.groupBy("k1", "k2", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans")).withColumn("_of", F.dense_rank().over(own.orderBy("start")))
-    turned = with_keys(docs, "doc_id", "text", "source").withColumn("_turn", F.row_number().over(own.orderBy("k1")))
+    turned = with_keys(plain, "doc_id", "text", "source").withColumn("_turn", F.row_number().over(own.orderBy("k1")))
     both = turned.join(spans, ["k1", "k2"]).where("_turn - _of = 0")  # the n-th of interchangeable rows gets the n-th draws
-    kept = both.select(*docs.columns, F.col("spans.low").alias("_low"), F.col("spans.high").alias("_high"))
+    kept = both.select(*(f"`{c}`" for c in plain.columns), F.col("spans.low").alias("_low"), F.col("spans.high").alias("_high"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -247,8 +249,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             at = out.schema.get_field_index("text")
             yield from out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type)).to_batches()
 
-    out = kept.mapInArrow(cut, docs.schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = kept.mapInArrow(cut, plain.schema)
+    return back(out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

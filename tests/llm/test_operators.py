@@ -18,12 +18,12 @@ from lodewright.llm._hashing import utf8, words
 from lodewright.llm.exact_dedup import exact_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DOCS = "doc_id long, text string, source string, kept string, turn int"
+DOCS = "doc_id long, text string, source string, kept string, k1 int, _turn int, toxicity string"
 
 
 def docs(spark, rows):
     """Rows (doc_id, text, source) with extra columns whose names the operators use too."""
-    return spark.createDataFrame([(*r, "odd", 1) for r in rows], DOCS)
+    return spark.createDataFrame([(*r, "odd", 1, 7, "own") for r in rows], DOCS)
 
 
 def corpus(n=60, seed=3):
@@ -143,6 +143,7 @@ def test_mix(spark):
     assert mixed.columns == table.columns
     counted = Counter()
     for r in mixed.collect():
+        assert (r["k1"], r["_turn"]) == (1, 7)
         counted[r["doc_id"]] += len(WORD.findall(r["text"]))
     wanted = Counter()
     for r in got:
@@ -239,7 +240,7 @@ def test_toxicity_learns_and_holds_out(spark):
     held = [(g["toxicity"] >= 0.7, labels[g["doc_id"]][1]) for g in got if g["doc_id"] is not None and g["doc_id"] < 700 and zlib.crc32(str(g["doc_id"]).encode()) % 3 == 1]
     assert sum(a == b for a, b in held) / len(held) > 0.97
     kept = toxicity.without_toxic(table, y)
-    assert kept.columns == table.columns
+    assert kept.columns == table.columns and {r["toxicity"] for r in kept.collect()} == {"own"}
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(g["doc_id"] for g in got if g["toxicity"] < 0.7)
     assert toxicity.scores(table, y.where("false")).where("toxicity > 0.1").count() == 0
     assert toxicity.scores(table.where("false"), y).count() == 0
