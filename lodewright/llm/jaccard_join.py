@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._columns import set_aside
 from ._components import connected_components
 from ._hashing import U, mix, mix_int, utf8_at, words
 from ._store import forget, written
@@ -30,6 +31,8 @@ from ._store import forget, written
 BLOCK_ROWS = 384
 BLOCK_SHINGLES = 2_000_000
 REGROUP = 4
+COMMON_SETS = 4
+MOST_COMMON = 500_000
 BUCKET_KEYS = 1_000_000
 MOST_SMALL = 24
 
@@ -66,10 +69,15 @@ def set_digests(found: np.ndarray) -> tuple[int, int]:
 
 
 class Scheme:
-    """Keys of a set for links of num/den; sizes over ``boundary`` fall into classes for the lists."""
+    """Keys of a set for links of num/den; sizes over ``boundary`` fall into classes for the lists.
 
-    def __init__(self, num: int, den: int, boundary: int):
+    ``common``: sorted hashes of shingles that many sets have. A group of such shingles alone is weak. Which
+    shingles these are bears on the number of candidates only: whatever they are, no link is lost.
+    """
+
+    def __init__(self, num: int, den: int, boundary: int, common: np.ndarray | None = None):
         self.num, self.den, self.boundary = num, den, boundary
+        self.common = np.zeros(0, U) if common is None else common
         self.tops: list[int] = [boundary]
         self._groups: dict[int, tuple[int, int, int]] = {}
 
@@ -127,18 +135,22 @@ class Scheme:
         """
         m, spare, strong = self.groups(cls)
         out = []
+        rare = np.ones(len(found), np.int64)
+        if len(self.common):
+            near = np.minimum(np.searchsorted(self.common, found), len(self.common) - 1)
+            rare = (self.common[near] != found).astype(np.int64)
         for turn in range(REGROUP):
-            h, own = found, mixed
+            h, own, new = found, mixed, rare
             if turn:
                 h = mix(found + U(turn))
                 order = np.argsort(h)
-                h, own = h[order], mixed[order]
+                h, own, new = h[order], mixed[order], rare[order]
             at = ((h >> U(32)) * U(m)) >> U(32)
             starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             sizes = np.diff(np.r_[starts, len(h)])
             salt = U(mix_int(cls * 7919 + turn * 104_729 + 5))
             all_ = mix(np.add.reduceat(own, starts) + (at[starts] + U(1)) * U(0x8EBC6AF09C88C6E3) + sizes.astype(U) * U(0x589965CC75374CC3) + salt)
-            good = sizes >= strong
+            good = (sizes >= strong) & (np.add.reduceat(new, starts) > 0)
             out.append(all_[good])
             if m - int(good.sum()) <= spare:
                 return out
@@ -219,28 +231,41 @@ def _linked(sets: list[np.ndarray], left: int, num: int, den: int) -> tuple[np.n
 
 
 def shingle_rows(docs: DataFrame, n: int, id_column: str, text_column: str, only: str | None = None) -> DataFrame:
-    """doc_id, d1, d2 (digests of the set), n_shingles; for empty sets the digests are null."""
+    """doc_id, d1, d2 (digests of the set), n_shingles, often; for empty sets the digests are null.
+
+    often: for the first row of a batch, the shingles that COMMON_SETS of the batch's different sets have.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two, size = [], [], []
+            one, two, size, sets, seen = [], [], [], [], set()
             for found in shingle_sets(batch.column(1), n):
                 d1, d2 = set_digests(found) if len(found) else (None, None)
                 one.append(d1), two.append(d2), size.append(len(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "d1", "d2", "n_shingles"])
+                if d1 is not None and d1 not in seen:
+                    seen.add(d1)
+                    sets.append(found)
+            often = np.zeros(0, U)
+            if sets:
+                every = np.sort(np.concatenate(sets))
+                again = every[COMMON_SETS - 1 :] == every[: len(every) - COMMON_SETS + 1]
+                often = np.unique(every[: len(again)][again])
+            lists = [often.view(np.int64).tolist()] + [None] * (len(one) - 1) if one else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(size, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "n_shingles", "often"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return _texts(docs, id_column, text_column).mapInArrow(run, f"doc_id {kind}, d1 long, d2 long, n_shingles long")
+    return _texts(docs, id_column, text_column).mapInArrow(run, f"doc_id {kind}, d1 long, d2 long, n_shingles long, often array<long>")
 
 
 def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
 
-def candidate_edges(texts: DataFrame, n: int, scheme: Scheme, buckets: int) -> DataFrame:
-    """(a, b): digests of sets that share a key, as chains along each key's sets by size; linear in the keys."""
+def candidate_edges(texts: DataFrame, n: int, sent, buckets: int) -> DataFrame:
+    """(a, b): digests of sets that share a key, as chains along each key's sets by size; linear in the keys. ``sent``: a Scheme, broadcast."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = sent.value
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 keys, digests, sizes = [], [], []
@@ -269,6 +294,8 @@ def candidate_edges(texts: DataFrame, n: int, scheme: Scheme, buckets: int) -> D
                     out.append((int(i), key[part].tobytes(), place.astype(np.uint16).tobytes(), head[0][own].tobytes(), head[1][own].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], ["bucket", "key", "owner", "digest", "size"])
 
+    num, den = sent.value.num, sent.value.den
+
     def scan(_: tuple, table: pa.Table) -> pa.Table:
         key = np.frombuffer(b"".join(table["key"].to_pylist()), U)
         digest, size = [], []
@@ -284,7 +311,7 @@ def candidate_edges(texts: DataFrame, n: int, scheme: Scheme, buckets: int) -> D
         key, digest, size = key[order], digest[order], size[order]
         order = np.lexsort((digest, size, key))
         key, digest, size = key[order], digest[order], size[order]
-        link = np.flatnonzero((key[1:] == key[:-1]) & (digest[1:] != digest[:-1]) & (scheme.den * size[:-1].astype(np.int64) >= scheme.num * size[1:])) if len(key) else np.zeros(0, int)
+        link = np.flatnonzero((key[1:] == key[:-1]) & (digest[1:] != digest[:-1]) & (den * size[:-1].astype(np.int64) >= num * size[1:])) if len(key) else np.zeros(0, int)
         names, at = np.unique(digest, return_inverse=True)
         root = _forest(len(names), at[link], at[link + 1])
         moved = np.flatnonzero(root != np.arange(len(names)))
@@ -309,17 +336,24 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     spark = docs.sparkSession
     rows, _ = written(shingle_rows(docs, n, id_column, text_column), "jaccard-rows")
     counted = rows.groupBy(F.least("n_shingles", F.lit(MOST_SMALL + 1)).alias("size")).agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("all")).collect()  # at most MOST_SMALL + 2 rows
-    scheme = Scheme(num, den, choose_boundary({r["size"]: r["rows"] for r in counted if 0 < r["size"] <= MOST_SMALL}, num, den))
+    often = rows.select(F.explode("often").alias("x")).groupBy("x").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "x").limit(MOST_COMMON).toArrow()  # 8 MB at most
+    common = np.sort(often["x"].to_numpy().astype(np.int64).view(U))
+    scheme = Scheme(num, den, choose_boundary({r["size"]: r["rows"] for r in counted if 0 < r["size"] <= MOST_SMALL}, num, den), common)
     per_shingle = scheme.list_keys(1000) / 1000
     buckets = max(spark.sparkContext.defaultParallelism, int(sum(r["all"] or 0 for r in counted) * per_shingle) // BUCKET_KEYS + 1)
     texts = _texts(docs, id_column, text_column)
-    edges, edges_at = written(candidate_edges(texts.select("text"), n, scheme, buckets), "jaccard-candidates")
+    edges, edges_at = written(candidate_edges(texts.select("text"), n, spark.sparkContext.broadcast(scheme), buckets), "jaccard-candidates")
     clusters = connected_components(edges, "jaccard-clusters")
     members = clusters.select(F.col("node").alias("d1"), F.col("label").alias("cluster")).unionByName(clusters.select(F.col("label").alias("d1"), F.col("label").alias("cluster")).distinct())
     classes = rows.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
     chosen = classes.join(members, "d1")
-    sizes = chosen.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed, placed_at = written(chosen.join(sizes, "cluster").select("first", "d1", "copies", "cluster", "blocks"), "jaccard-members")
+    # Large clusters are split by size too: sets that link are in the same range of sizes, or in the next.
+    step = float(np.log(den / num))
+    whole = chosen.groupBy("cluster").agg((F.greatest(F.count("*") / block_rows, F.sum("n_shingles") / BLOCK_SHINGLES) > 1).alias("large"))
+    ranged = chosen.join(whole, "cluster").withColumn("bin", F.when(F.col("large"), F.floor(F.log("n_shingles") / step)).otherwise(0).cast("int"))
+    bins = ranged.groupBy("cluster", "bin").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    shape = bins.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("bin", "blocks"))).alias("bins"))  # an entry a range of sizes
+    placed, placed_at = written(ranged.join(shape, "cluster").select("first", "d1", "copies", "cluster", "bin", "bins"), "jaccard-members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -329,19 +363,20 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
                 right = [bool(len(x)) and set_digests(x)[0] == d for x, d in zip(found, batch.column(1).to_pylist(), strict=True)]  # ids may repeat with other texts
                 keep = pa.array(right)
                 blobs = pa.array([x.tobytes() for x, ok in zip(found, right, strict=True) if ok], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(1, 5)] + [blobs], ["d1", "copies", "cluster", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(1, 6)] + [blobs], ["d1", "copies", "cluster", "bin", "bins", "shingles"])
 
-    with_text = texts.join(placed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "d1", "copies", "cluster", "blocks")
-    with_sets = with_text.mapInArrow(sets, "d1 long, copies long, cluster long, blocks int, shingles binary")
-    block = F.pmod(F.hash("d1"), F.col("blocks"))
-    dealt = with_sets.withColumn("block", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "d1", "copies", "shingles")
+    with_text = texts.join(placed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "d1", "copies", "cluster", "bin", "bins")
+    with_sets = with_text.mapInArrow(sets, "d1 long, copies long, cluster long, bin int, bins map<int,int>, shingles binary")
+    own = F.struct("bin", F.pmod(F.hash("d1"), F.col("bins")[F.col("bin")]).alias("block"))
+    others = F.expr("flatten(transform(array(bin - 1, bin, bin + 1), b -> if(bins[b] IS NULL, array(), transform(sequence(0, bins[b] - 1), j -> named_struct('bin', b, 'block', j)))))")
+    dealt = with_sets.withColumns({"own": own, "other": F.explode(others)})
+    pairs = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"), "d1", "copies", "shingles")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         _, i, j = (x.as_py() for x in key)
         _, once = np.unique(table["d1"].to_numpy(), return_index=True)  # a repeated row comes again
-        table = table.take(pa.array(once)).sort_by([("block", "ascending"), ("d1", "ascending")])
-        left = int((table["block"].to_numpy() == i).sum()) if i != j else 0
+        table = table.take(pa.array(once)).sort_by([("right", "ascending"), ("d1", "ascending")])
+        left = int((~table["right"].to_numpy(zero_copy_only=False)).sum()) if i != j else 0
         digest, copies = table["d1"].to_numpy(), table["copies"].to_numpy()
         found = [np.frombuffer(x, U) for x in table["shingles"].to_pylist()]
         if i != j and left in (0, len(found)) or not found:
@@ -377,10 +412,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     id all stay.
     """
     gone = jaccard_links(docs, **options).where("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    plain, back = set_aside(docs, "doc_id", "text")
+    left = plain.join(gone, "doc_id", "left_anti")
     turn = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
     bare = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return left.withColumn("_turn", turn).where((F.col("_turn") == 1) | bare | F.col("doc_id").isNull()).select(*docs.columns)
+    return back(left.withColumn("_turn", turn).where((F.col("_turn") == 1) | bare | F.col("doc_id").isNull()))
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
