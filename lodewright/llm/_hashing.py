@@ -14,7 +14,7 @@ import pyarrow as pa
 U = np.uint64
 RADIX = 0x9E3779B97F4A7C15 | 1
 RADIX_INVERSE = pow(RADIX, -1, 1 << 64)
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -219,7 +219,7 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = True, **options) -> DataFr
     both = keyed.join(gone, F.col("_id0").eqNullSafe(F.col("_d")) & (F.col("_h0") == F.col("_h")), "left").select(*(f"`{c}`" for c in plain.columns), "_gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             table = pa.Table.from_batches([batch])
             texts, keep = table["text"].to_pylist(), []
             for i, gone in enumerate(table["_gone"].to_pylist()):

@@ -230,7 +230,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             table = pa.Table.from_batches([batch])
             lows, highs, texts = table["_low"].to_pylist(), table["_high"].to_pylist(), []
             for low, high, data, offsets in utf8_at(table["text"]):
