@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._columns import set_aside
 from ._store import written
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -19,6 +20,7 @@ PREFIXES = (4, 5, 6)
 BLOCK = 64
 NEIGHBOURS = 25
 REJECT = 0.7
+SCORED_ROWS = 20_000
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -282,7 +284,8 @@ def scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
             vectors = [dict(zip(t, c, strict=True)) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *_answers(*sent.value, vectors)], ["doc_id", "toxicity", "evidence_ids", "evidence_terms"])
 
-    return table.mapInArrow(run, f"doc_id long, {_ANSWERS}")
+    parts = max(1, -(-table.count() // SCORED_ROWS))  # the table is small for its rows, and would be few tasks
+    return table.repartition(parts).mapInArrow(run, f"doc_id long, {_ANSWERS}")
 
 
 def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -309,7 +312,8 @@ def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, reject: float = REJECT, **options) -> DataFrame:
     """The rows of ``docs`` whose score is below ``reject``, with their columns."""
-    return scored(docs, labels, **options).where(F.col("toxicity") < reject).select(*docs.columns)
+    plain, back = set_aside(docs, "doc_id", "text")
+    return back(scored(plain, labels, **options).where(F.col("toxicity") < reject))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
