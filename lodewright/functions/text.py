@@ -14,7 +14,7 @@ ONTOLOGY_PREFIXES = ["crm", "cidoc", "cidoc-crm", "cacao", "foaf", "odrl", "prov
 EXTERNAL_PREFIXES = ["wd", "wikidata", "aat", "getty", "iconclass", "ex", "dc", "dcterms", "skos"]
 KNOWN_PREFIXES = STRUCTURAL_PREFIXES + ONTOLOGY_PREFIXES + EXTERNAL_PREFIXES
 CRM = "http://www.cidoc-crm.org/cidoc-crm/"
-CACAO = "http://www.ics.forth.gr/isl/CACAO/"
+DOMAIN = "http://w3id.org/cacao/"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 RDFS_LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
 SAME_AS = "http://www.w3.org/2002/07/owl#sameAs"
@@ -99,7 +99,7 @@ def classify_prefix(prefix: Column, uri: Column) -> Column:
         F.when(invalid_namespace(uri), "invalid")
         .when(name.isin(KNOWN_PREFIXES), "allowed")
         .when(name.rlike(r"^ns[0-9]+$"), "fabricated")
-        .when(uri.contains(CRM) | uri.contains(CACAO), "allowed")
+        .when(uri.contains(CRM) | uri.contains(DOMAIN), "allowed")
         .otherwise("fabricated")
     )
 

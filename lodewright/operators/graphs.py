@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodewright.functions.text import CACAO, CRM, RDF_TYPE, RDFS_LABEL, SAME_AS, local_name, namespace
+from lodewright.functions.text import CRM, DOMAIN, RDF_TYPE, RDFS_LABEL, SAME_AS, local_name, namespace
 
 LABEL_LIKE = [RDF_TYPE, RDFS_LABEL]
 
@@ -118,7 +118,7 @@ def predicate_names(triples: DataFrame) -> DataFrame:
 
 
 def is_crm(uri: Column) -> Column:
-    return uri.startswith(CRM) | uri.startswith(CACAO)
+    return uri.startswith(CRM) | uri.startswith(DOMAIN)
 
 
 def crm_predicates(triples: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ _PREFIX_SQL = f"""{TURTLE_SQL}, declared AS (
          unnest(range(len(regexp_extract_all(text, '@prefix\\s+([A-Za-z][A-Za-z0-9_-]*)\\s*:\\s*<([^>]*)>\\s*\\.', 1)))) AS pos FROM tdocs
 ), used AS (SELECT graph_id, prefix, arg_max(uri, pos) AS uri FROM declared GROUP BY graph_id, prefix),
 classed AS (SELECT *, CASE WHEN NOT (starts_with(uri, 'http://') OR starts_with(uri, 'https://')) THEN 'invalid' WHEN lower(prefix) IN ({_IN(text.KNOWN_PREFIXES)}) THEN 'allowed'
-  WHEN regexp_matches(lower(prefix), '^ns[0-9]+$') THEN 'fabricated' WHEN contains(uri, '{CRM}') OR contains(uri, '{text.CACAO}') THEN 'allowed' ELSE 'fabricated' END AS class FROM used)"""
+  WHEN regexp_matches(lower(prefix), '^ns[0-9]+$') THEN 'fabricated' WHEN contains(uri, '{CRM}') OR contains(uri, '{text.DOMAIN}') THEN 'allowed' ELSE 'fabricated' END AS class FROM used)"""
 
 
 @query(f"{_PREFIX_SQL} SELECT graph_id, prefix, uri, class FROM classed")
@@ -422,7 +422,7 @@ def _pairs_sql(source: str, name: str, key: str = "") -> str:
     return f"""{name}_l AS (SELECT graph_id, {key}s AS node, arg_min(o, seq) AS label FROM {source} WHERE p = '{RDFS_LABEL}' GROUP BY ALL),
 {name} AS (SELECT * FROM (SELECT t.graph_id, {"t.system, " if key else ""}{lower_label_sql("t.s_kind", "t.s", "a.label")} AS sl, {lower_label_sql("t.o_kind", "t.o", "b.label")} AS ol, list_sort(list(DISTINCT {local_sql("t.p")})) AS preds
   FROM {source} t LEFT JOIN {name}_l a ON a.graph_id = t.graph_id AND a.node = t.s{on.format("a")} LEFT JOIN {name}_l b ON b.graph_id = t.graph_id AND b.node = t.o{on.format("b")}
-  WHERE starts_with(t.p, '{CRM}') OR starts_with(t.p, '{text.CACAO}') GROUP BY ALL) WHERE sl <> '' AND ol <> '')"""
+  WHERE starts_with(t.p, '{CRM}') OR starts_with(t.p, '{text.DOMAIN}') GROUP BY ALL) WHERE sl <> '' AND ol <> '')"""
 
 
 _FM5_SQL = f"""{_pairs_sql("grdf", "gpairs")}, {_pairs_sql("prdf", "ppairs", "system, ")},
@@ -445,7 +445,7 @@ def fm5_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return fm.predicate_divergence(*_rdf(spark, sf))
 
 
-_ODD = f"NOT starts_with(p.p, '{CRM}') AND NOT starts_with(p.p, '{text.CACAO}') AND p.p NOT IN ('{RDF_TYPE}', '{RDFS_LABEL}', '{SAME_AS}')"
+_ODD = f"NOT starts_with(p.p, '{CRM}') AND NOT starts_with(p.p, '{text.DOMAIN}') AND p.p NOT IN ('{RDF_TYPE}', '{RDFS_LABEL}', '{SAME_AS}')"
 _FM6_SQL = f"""fm6 AS (SELECT t.graph_id, s.system, count(p.p) AS total, count(*) FILTER (WHERE {_ODD}) AS injected, coalesce(array_to_string(list_sort(list(DISTINCT {local_sql("p.p")}) FILTER (WHERE {_ODD})), ','), '') AS names FROM {_GRID} LEFT JOIN prdf p ON p.graph_id = t.graph_id AND p.system = s.system GROUP BY t.graph_id, s.system)"""
 
 
