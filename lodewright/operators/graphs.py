@@ -76,11 +76,6 @@ def label_triples(triples: DataFrame, ontology: DataFrame | None = None, keep: C
     return out.select("graph_id", "seq", "sub", "rel", "obj")
 
 
-def first_labels(triples: DataFrame) -> DataFrame:
-    """(graph_id, node, label): the first label of a node, in any language."""
-    return triples.where(F.col("p") == RDFS_LABEL).groupBy("graph_id", F.col("s").alias("node")).agg(F.min_by("o", "seq").alias("label"))
-
-
 def lower_label(kind: Column, node: Column, label: Column) -> Column:
     """Of literals their text, of blank nodes nothing, of others their first label or last part; in lower case."""
     return F.when(kind == "literal", F.lower(F.trim(node))).when(kind == "bnode", "").otherwise(F.lower(F.trim(F.coalesce(label, F.regexp_replace(local_name(node), "_", " ")))))

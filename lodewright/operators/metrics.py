@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodewright.functions.text import is_same_as, rounded, safe_ratio
+from lodewright.functions.text import is_same_as, rounded
 
 from .matching import match_counts
 
