@@ -238,4 +238,5 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = True, **options) -> DataFr
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All lines with a word take part, as equal and as near ones."""
+    return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_words=1, near_words=1)

@@ -281,6 +281,20 @@ def test_line_dedup(spark):
     assert line_dedup.line_report(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_query_takes_short_lines(spark, tmp_path):
+    r = random.Random(11)
+    rows = corpus(60) + [(100 + i, "\n".join(" ".join(r.choice("abcdefghij") for _ in range(r.randint(0, 9))) for _ in range(r.randint(1, 4))), "a") for i in range(40)]
+    rows += [(200, "All rights reserved.", "a"), (201, "all rights reserved.\n\none two three four five six\nONE two three 4 five six", "a")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    lines = [(i, k, [w.lower() if w.isascii() else w for w in WORD.findall(x)]) for i, t, _ in sorted(rows, key=lambda x: x[0]) for k, x in enumerate((t or "").split("\n"))]
+    wanted: dict[int, list[int]] = {}
+    for n, (i, k, w) in enumerate(lines):
+        if w and any(v and (v == w or one_edit(v, w)) for _, _, v in lines[:n]):
+            wanted.setdefault(i, []).append(k)
+    got = {r["doc_id"]: r["dropped_lines"] for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert {i: x for i, x in got.items() if x} == wanted and wanted[201] == [0, 3]
+
+
 # -- 7 --------------------------------------------------------------------------------------------------------------
 
 
