@@ -298,7 +298,7 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bootstrap_seeded(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.bootstrap_grouped(_values(spark, sf), 2000)
+    return metrics.bootstrap_grouped(_values(spark, sf))
 
 
 # -- graphs ---------------------------------------------------------------------------------------------------------

@@ -1,8 +1,10 @@
 import os
+import random
 
 import duckdb
 import pytest
 
+from lodewright.plans import catalog
 from lodewright.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +39,17 @@ def test_query_agrees_with_sql(spark, db, name):
     wanted = db.sql(ORACLE_SQL[name])
     assert sorted(wanted.columns) == columns
     assert rows == plain(wanted.select(*(duckdb.ColumnExpression(c) for c in columns)).fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_bootstrap_seeded_resamples_as_often_as_the_reference(spark):
+    values: dict[str, list[float]] = {}
+    for r in catalog._values(spark, SF).orderBy("system", "slot").collect():
+        values.setdefault(r["system"], []).append(r["value"])
+    wanted = {}
+    for name, x in values.items():
+        draw = random.Random(20260507)
+        means = sorted(sum(x[draw.randrange(len(x))] for _ in x) / len(x) for _ in range(10_000))
+        wanted[name] = (round(means[250], 4), round(means[9750], 4))
+    got = QUERIES["bootstrap_seeded"](spark, SF).collect()
+    assert {r["system"]: (r["ci_lo"], r["ci_hi"]) for r in got} == wanted
