@@ -6,6 +6,8 @@ import math
 import random
 import re
 import string
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,16 +15,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Patterns by kind, in order of precedence; group "s" is the candidate.
+_BREAK = r"(?:[\r\n]|\\[rn])"
+_ENDS = r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+#: Patterns by kind, in order of precedence; group "s" is the candidate. A key reaches to its end line, whatever stands
+#: between; without one, over header lines and base64, where a line break may be written as an escape.
 RULES = {
-    "private_key": r"(?P<s>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,12000}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?)",
+    "private_key": rf"(?P<s>-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]|-(?!----))*+{_ENDS}|(?:{_BREAK}+[ \t]*+[A-Za-z][A-Za-z0-9-]*+:[ \t](?:(?!\\[rn])[^\r\n])*+)*+(?:[A-Za-z0-9+/=\s]|\\[rnt])*+))",
     "cloud_key_id": r"(?<![A-Za-z0-9])(?P<s>(?:AKIA|ASIA)[0-9A-Z]{16})(?![A-Za-z0-9])",
-    "forge_token": r"(?<![A-Za-z0-9])(?P<s>gh[pousr]_[A-Za-z0-9]{36,255})",
-    "chat_token": r"(?<![A-Za-z0-9])(?P<s>xox[abprs]-[A-Za-z0-9-]{10,200})",
-    "web_token": r"(?<![A-Za-z0-9])(?P<s>eyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,500})",
-    "assigned": r"(?:[Pp]ass(?:word|wd)?|PASS(?:WORD|WD)?|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?(?P<s>[^\s\"'<>]{8,256})",
-    "hex_string": r"(?<![A-Za-z0-9])(?P<s>[0-9a-f]{32,128})(?![A-Za-z0-9])",
+    "forge_token": r"(?<![A-Za-z0-9])(?P<s>gh[pousr]_[A-Za-z0-9]{36,})",
+    "chat_token": r"(?<![A-Za-z0-9])(?P<s>xox[abprs]-[A-Za-z0-9-]{10,})",
+    "web_token": r"(?<![A-Za-z0-9])(?P<s>eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,})",
+    "url_credential": r"://(?:[^\s/:@\"'<>]*+:)?(?P<s>[^\s/\"'<>]+)@",
+    "bearer": r"(?:(?i:authorization)[\"']?[ \t]*[:=][ \t]*[\"']?(?i:basic|bearer|token)|(?<![A-Za-z])(?i:bearer))[ \t]+(?P<s>[A-Za-z0-9._~+/-]{8,}=*)",
+    "assigned": r"(?:[Pp]ass(?:word|wd)?|PASS(?:WORD|WD)?|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?(?P<s>[^\s\"'<>]{8,})",
+    "hex_string": r"(?<![A-Za-z0-9])(?P<s>[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
+    "high_entropy": r"(?<![A-Za-z0-9+/_-])(?P<s>[A-Za-z0-9+/_-]{20,}+={0,2})",
 }
+#: Bits a character, from which a run without a format of its own is a candidate; random ones of 20 characters have about 4.
+LEAST_BITS = 3.0
 #: Words whose nearness speaks for or against a finding.
 NEAR_WORDS = ["password", "passwd", "secret", "token", "key", "api", "auth", "login", "user", "private", "example", "sample", "dummy", "fake", "test", "placeholder", "your", "changeme", "todo", "commit", "sha", "md5", "checksum", "hash", "digest", "etag", "uuid", "id", "revision", "version"]
 #: Common words for the dictionary's coverage of a candidate.
@@ -42,11 +52,18 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     for kind, pattern in _COMPILED:
         for m in pattern.finditer(text):
             a, b = m.span("s")
-            while b > a + 1 and kind == "assigned" and text[b - 1] in ".,;:)]}*#&%$!":
+            while b > a + 1 and kind in ("assigned", "bearer") and text[b - 1] in ".,;:)]}*#&%$!":
                 b -= 1
-            if b - a >= 8 and not any(a < y and x < b for x, y, _ in taken):
-                taken.append((a, b, kind))
-    return [(k, a, b) for a, b, k in sorted(taken)]
+            if kind == "high_entropy" and _bits(text[a:b]) < LEAST_BITS:
+                continue
+            at = bisect(taken, (a, b))
+            if (b - a >= 8 or kind == "url_credential") and not (at and taken[at - 1][1] > a) and not (at < len(taken) and taken[at][0] < b):
+                taken.insert(at, (a, b, kind))
+    return [(k, a, b) for a, b, k in taken]
+
+
+def _bits(s: str) -> float:
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
 def _kind_of(c: str) -> int:
@@ -109,19 +126,33 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
         if kind == "cloud_key_id":
             s = "AKIA" + (pick(upper, 16) if real else r.choice(["IOSFODNN7EXAMPLE", "X" * 16, "0123456789ABCDEF", pick(upper, 9) + "EXAMPLE"]))
         elif kind == "forge_token":
-            s = "ghp_" + (pick(alnum, 36) if real else r.choice(["x" * 36, "your_token_here".ljust(36, "0").replace("_", ""), (string.digits * 4)[:36]]))
+            s = "ghp_" + (pick(alnum, r.choice([36, 36, 300])) if real else r.choice(["x" * 36, "your_token_here".ljust(36, "0").replace("_", ""), (string.digits * 4)[:36]]))
         elif kind == "chat_token":
             s = "xoxb-" + (f"{pick(string.digits, 12)}-{pick(alnum, 24)}" if real else r.choice(["your-token-goes-here", "0000000000-example", "xxxxxxxxxxxx"]))
         elif kind == "web_token":
-            s = f"eyJ{pick(alnum, 30)}.eyJ{pick(alnum, 60)}.{pick(alnum + '-_', 43)}" if real else f"eyJ{'header' * 3}.eyJ{'payload' * 3}.{'signature' * 2}"
+            s = f"eyJ{pick(alnum, 30)}.eyJ{pick(alnum, r.choice([60, 60, 3000]))}.{pick(alnum + '-_', r.choice([43, 43, 700]))}" if real else f"eyJ{'header' * 3}.eyJ{'payload' * 3}.{'signature' * 2}"
         elif kind == "private_key":
-            s = f"-----BEGIN PRIVATE KEY-----\n{pick(alnum + '+/', 400)}\n-----END PRIVATE KEY-----" if real else r.choice(["-----BEGIN PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----\nexample\n-----END PRIVATE KEY-----"])
+            of, head = r.choice([("PRIVATE KEY", ""), ("RSA PRIVATE KEY", ""), ("RSA PRIVATE KEY", f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{pick('0123456789ABCDEF', 32)}\n\n"), ("PGP PRIVATE KEY BLOCK", "Version: GnuPG v2\n\n")])
+            body = "\n".join(pick(alnum + "+/", 64) for _ in range(r.choice([2, 6, 25, 50, 250]))) if real else r.choice(["example", "...", "your key here", "x" * 64])
+            s = f"-----BEGIN {of}-----\n{head}{body}" + r.choice([f"\n-----END {of}-----", f"\n-----END {of}-----", ""]) if real or r.random() < 0.5 else f"-----BEGIN {of}-----"
         elif kind == "assigned":
             before += f"{name()} {r.choice(['=', ':'])} "
             words = "".join(r.choice(DICTIONARY) for _ in range(r.randint(1, 3))).ljust(8, "0")
-            s = r.choice([pick(alnum, r.randint(10, 40)), pick(hexed, r.choice([16, 18, 20, 32, 40])), pick(alnum + "!#%&*+-_", r.randint(10, 24))]) if real else r.choice([words, "x" * r.randint(8, 20), "your_password_here", "<placeholder>", "${PASSWORD}", "os.environ[0]", "get_secret()", "********", "12345678", "abcdefgh"])
+            s = r.choice([pick(alnum, r.randint(10, 40)), pick(alnum, r.randint(200, 600)), pick(hexed, r.choice([16, 18, 20, 32, 40])), pick(alnum + "!#%&*+-_", r.randint(10, 24))]) if real else r.choice([words, "x" * r.randint(8, 20), "your_password_here", "<placeholder>", "${PASSWORD}", "os.environ[0]", "get_secret()", "********", "12345678", "abcdefgh"])
+        elif kind == "url_credential":
+            before += f"{r.choice(['https', 'postgres', 'mysql', 'redis', 'ftp'])}://{r.choice(['', pick(string.ascii_lowercase, r.randint(3, 8)) + ':'])}"
+            s = r.choice([pick(alnum, r.randint(6, 40)), pick(alnum + "!#%&*+-_", r.randint(8, 24))]) if real else r.choice(["git", "user", "pass", "password", "secret", "xxxx", "****", "${PASSWORD}", "{password}", "changeme", "root"])
+            after = f"@{pick(string.ascii_lowercase, r.randint(3, 8))}.{r.choice(['com', 'net', 'internal'])}" + after
+        elif kind == "bearer":
+            before += r.choice(["Authorization: Bearer ", "authorization: Basic ", "bearer "])
+            s = pick(alnum + r.choice(["", "-_", "+/", "._~"]), r.randint(16, 80)) if real else r.choice(["".join(r.choice(DICTIONARY) for _ in range(2)).ljust(8, "0"), "x" * r.randint(8, 24), "YOUR_TOKEN", "certificates", "instrument", "authentication", pick(string.ascii_lowercase, r.randint(8, 14))])
+        elif kind == "high_entropy":
+            some = lambda k: [r.choice(DICTIONARY) for _ in range(k)]
+            before += f"{r.choice(['key', 'auth', 'login', 'private', 'api', 'use', 'is', 'value'])} " if real else r.choice(["", "file ", "id ", "uuid ", "digest ", "checksum ", "see "])
+            s = pick(alnum + r.choice(["", "+/", "-_"]), r.randint(20, 80)) if real else r.choice(["/".join(some(r.randint(4, 7))), "_".join(some(r.randint(4, 7))), "-".join(some(r.randint(4, 7))), "".join(w.capitalize() for w in some(r.randint(4, 7))), "-".join(pick(hexed, k) for k in (8, 4, 4, 4, 12)), "-".join(pick(string.ascii_lowercase, r.randint(3, 8)) for _ in range(5)), "-" * 12 + "".join(some(3))])
         else:
-            s = pick(hexed, r.choice([32, 40, 64]))
+            s = pick(hexed, r.choice([32, 40, 64, 256]))
+            s = s.upper() if r.random() < 0.3 else s
             before += (f"{name()} " if real else r.choice(["commit ", "sha ", "md5 ", "checksum ", "etag ", "revision ", "hash ", "digest ", "id "]))
             if not real and r.random() < 0.3:
                 s = r.choice(["0" * 40, "deadbeef" * 5, (hexed * 3)[:40]])

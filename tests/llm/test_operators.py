@@ -192,6 +192,36 @@ def test_scan(spark):
     assert {r["doc_id"] for r in got} == {1, 2, None}
 
 
+def test_candidates_are_whole_whatever_their_length():
+    r = random.Random(4)
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    body = "\n".join(pick(alnum + "+/", 64) for _ in range(400))
+    pem = lambda of, x, end=True: f"-----BEGIN {of}-----\n{x}" + (f"\n-----END {of}-----" if end else "")
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"
+    wanted = [
+        ("private_key", "", pem("RSA PRIVATE KEY", headers + body), "\n-- x"),
+        ("private_key", "", pem("RSA PRIVATE KEY", headers + body, False), "; x"),
+        ("private_key", "", pem("PGP PRIVATE KEY BLOCK", "Version: GnuPG v2\n\n" + body + "\n=ab12"), " x"),
+        ("private_key", "", pem("PRIVATE KEY", body).replace("\n", "\\n"), " x"),
+        ("web_token", "", f"eyJ{pick(alnum, 30)}.eyJ{pick(alnum, 5000)}.{pick(alnum, 900)}", " x"),
+        ("forge_token", "", "ghp_" + pick(alnum, 400), " x"),
+        ("chat_token", "", "xoxb-" + pick(alnum, 400), " x"),
+        ("assigned", "token = ", pick(alnum, 1000), " x"),
+        ("hex_string", "", pick("0123456789abcdef", 400), " x"),
+        ("hex_string", "", pick("0123456789ABCDEF", 64), " x"),
+        ("url_credential", "postgres://app:", "s3cr!t", "@db.internal/x"),
+        ("url_credential", "https://", pick(alnum, 40), "@host/x"),
+        ("bearer", "Authorization: Bearer ", pick(alnum, 50), ". x"),
+        ("bearer", "authorization: Basic ", pick(alnum, 30) + "==", " x"),
+        ("high_entropy", "it is ", pick(alnum, 44), " x"),
+    ]
+    for kind, before, secret, after in wanted:
+        text = f"plain words {before}{secret}{after}"
+        assert [(k, text[a:b]) for k, a, b in secret_scan.candidates(text)] == [(kind, secret)], (kind, secret[:40])
+    assert not secret_scan.candidates("plain words of a bearer, aaaaaaaaaaaaaaaaaaaaaaaaaaaa and https://host.example/path")
+
+
 # -- 5 --------------------------------------------------------------------------------------------------------------
 
 
