@@ -139,7 +139,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
 
     The tree is fit on at most ``sample_rows`` rows, by hash of their id; all rows are indexed. Up to
     ``trial_queries`` queries are compared with every row, and visits widen until their mean recall reaches
-    ``recall``; at the widest, every leaf is visited and the result is exact. Scores are inner products of the
+    ``recall``; at the widest, every leaf is visited and the result is exact. A query that has then found fewer than
+    ``k`` rows visits all leaves. Scores are inner products of the
     original vectors in double precision; ties go to smaller ids.
 
     Vectors that are null, zero or hold a null or non-finite component take no part, nor do rows of another length
@@ -214,6 +215,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         again = asked.join(bars, "vec_id", "left").select("vec_id", F.col("v").alias("q"), F.coalesce("_bar", F.lit(float("-inf"))).alias("bar"))
         more = visited(again, first, visits).unionByName(found.select("query_id", F.explode("near").alias("x")).select("query_id", "x.vec_id", (-F.col("x.far")).alias("score")))
         found = more.groupBy("query_id").agg(near.alias("near"))
+    if visits < tree.leaves:
+        # A query whose leaves hold fewer than k rows goes on to all the others.
+        found, _ = written(found, "ann-found")
+        sizes_found = found.select(F.col("query_id").alias("vec_id"), F.size("near").alias("_n"))
+        short = asked.join(sizes_found, "vec_id", "left").where(F.coalesce("_n", F.lit(0)) < k).select("vec_id", F.col("v").alias("q"), F.lit(float("-inf")).alias("bar"))
+        if not short.isEmpty():
+            more = visited(short, visits, tree.leaves).unionByName(found.select("query_id", F.explode("near").alias("x")).select("query_id", "x.vec_id", (-F.col("x.far")).alias("score")))
+            found = more.groupBy("query_id").agg(near.alias("near"))
     cut = found.select("query_id", F.posexplode("near").alias("at", "x"))
     return cut.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
 

@@ -102,6 +102,20 @@ def test_tree_is_exact_at_full_recall_and_takes_small_tables(spark):
     assert ann_tree.search(table.where("false"), table).count() == 0
 
 
+def test_tree_fills_up_queries_in_tiny_leaves(spark):
+    random_ = np.random.default_rng(5)
+    x = np.concatenate([random_.normal(0, 0.05, (n, 4)) + c for n, c in ((300, [9, 0, 0, 0]), (300, [0, 9, 0, 0]), (300, [0, 0, 9, 0]), (3, [0, 0, 0, 9]))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found: dict[int, list[tuple[int, float]]] = {}
+    for r in ann_tree.search(table, table.where("vec_id % 3 = 0 or vec_id >= 900"), k=20, recall=0.5, branch=4, leaf_rows=100).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert len(found) == 303 and all(len(f) == 20 for f in found.values())
+    for q in (900, 901, 902):
+        scores = ann_tree.exact_dots(x[q : q + 1], x)[0]
+        scores[q] = -np.inf
+        assert [i for _, i in sorted(found[q])] == np.argsort(-scores, kind="stable")[:20].tolist()
+
+
 # -- 2 --------------------------------------------------------------------------------------------------------------
 
 
