@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -13,167 +12,122 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._columns import set_aside
-from ._store import written
 
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
 BLOCK = 64
+FIRST_BLOCKS = 8
 NEIGHBOURS = 25
 REJECT = 0.7
-SCORED_ROWS = 20_000
+FOLDS = 4
+MOST_EXAMPLES = 4096
 
 
 def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def word_terms(word: str) -> list[str]:
-    """A lower-case word as terms: itself, and its beginnings, which inflected and compounded forms share."""
-    return [f"{word}$", *(word[:n] for n in PREFIXES if len(word) >= n)]
-
-
 def text_words(text: str | None) -> Counter:
+    """The terms of a whole text, its words in lower case, and how often it has each."""
     return Counter(WORD.findall((text or "").lower()))
 
 
-def text_terms(text: str | None) -> Counter:
-    found: Counter = Counter()
-    for word, n in text_words(text).items():
-        for term in word_terms(word):
-            found[term] += n
-    return found
-
-
-@dataclass
-class Vocabulary:
-    """The chosen terms, and an automaton over them that finds the words which may have some."""
-
-    terms: dict[str, int]
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
-    _finder: object = None
-
-    def _find(self, text: str) -> set[int]:
-        if self._finder is None:
-            import ahocorasick
-
-            self._finder = ahocorasick.Automaton()
-            for term in self.terms:
-                self._finder.add_word(term.removesuffix("$"), len(term.removesuffix("$")))
-            self._finder.make_automaton()
-        return {end - n + 1 for end, n in self._finder.iter(text)}
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        """How often each chosen term is in a whole text; terms are words or their beginnings."""
-        out: dict[int, int] = {}
-        if not text or not self.terms:
-            return out
-        low = text.lower()
-        for start in self._find(low):
-            if start and WORD.match(low, start - 1):
-                continue
-            word = WORD.match(low, start)[0]
-            at = self.known.get(word)
-            if at is None:
-                if len(self.known) > 500_000:
-                    self.known.clear()
-                at = self.known[word] = tuple(self.terms[t] for t in word_terms(word) if t in self.terms)
-            for t in at:
-                out[t] = out.get(t, 0) + 1
-        return out
-
-    def __getstate__(self) -> dict:
-        return {"terms": self.terms, "known": {}, "_finder": None}
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers low[0] to high[0], low[1] to high[1] and so on, one after the other."""
+    size = high - low
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - size), size)
+
+
+def label_weights(vectors: list[dict[int, int]], labels: np.ndarray, terms: int) -> np.ndarray:
+    """1 + by how many standard deviations more examples of label 1 have a term than a share without regard to it gives."""
+    toxic, every = np.zeros(terms), np.zeros(terms)
+    for v, y in zip(vectors, labels, strict=True):
+        at = np.fromiter(v, np.int64, len(v))
+        every[at] += 1
+        if y:
+            toxic[at] += 1
+    share = float(labels.mean()) if len(labels) else 0.0
+    spread = np.sqrt(np.maximum(every, 1) * max(share * (1 - share), 1e-9))
+    return 1.0 + np.maximum(0.0, (toxic - every * share) / spread)
 
 
 class Index:
-    """Labelled examples as unit TF-IDF vectors, in blocks; for each term its greatest weight in each block."""
+    """Labelled examples as unit vectors, in blocks of rows; an entry for each term and block has the term's greatest weight there.
 
-    def __init__(self, vectors: list[dict[int, int]], labels: list[int], ids: list[int], weights: tuple[float, float], idf: np.ndarray, k: int = NEIGHBOURS):
-        self.idf, self.k, self.class_weights = idf, k, weights
+    A vector's components are (1 + log count) * idf * label weight, over every word that an example has.
+    """
+
+    def __init__(self, vectors: list[dict[int, int]], labels: np.ndarray, ids: np.ndarray, class_weights: tuple[float, float], idf: np.ndarray, k: int = NEIGHBOURS):
+        self.k, self.class_weights = k, class_weights
+        self.weights = idf * label_weights(vectors, labels, len(idf))
         units = [self.unit(v) for v in vectors]
-        order = sorted(range(len(vectors)), key=lambda i: (-int(units[i][0][np.argmax(units[i][1])]) if len(units[i][0]) else 1, labels[i], ids[i]))
-        order = [i for i in order if len(units[i][0])]
-        self.labels = np.array([labels[i] for i in order], np.float64)
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        self.blocks = -(-len(order) // BLOCK)
-        self.best = np.zeros((len(idf), max(1, self.blocks)))
-        lists: list[tuple[list[int], list[float]]] = [([], []) for _ in idf]
-        for row, i in enumerate(order):
-            for t, w in zip(*units[i], strict=True):
-                lists[t][0].append(row)
-                lists[t][1].append(w)
-                self.best[t, row // BLOCK] = max(self.best[t, row // BLOCK], w)
-        self.rows = [np.array(r, np.int64) for r, _ in lists]
-        self.values = [np.array(v) for _, v in lists]
-        self.cuts = [np.searchsorted(r, np.arange(self.blocks + 1) * BLOCK) for r in self.rows]
+        heaviest = np.array([at[np.argmax(w)] if len(at) else -1 for at, w in units], np.int64)
+        order = np.lexsort((ids, labels, heaviest))  # like examples share blocks
+        self.labels, self.ids = labels[order].astype(float), ids[order]
+        self.blocks = max(1, -(-len(order) // BLOCK))
+        row = np.repeat(np.arange(len(order)), [len(units[i][0]) for i in order])
+        term = np.concatenate([np.zeros(0, np.int64), *(units[i][0] for i in order)])
+        value = np.concatenate([np.zeros(0), *(units[i][1] for i in order)])
+        by = np.lexsort((row, term))
+        self.rows, term, self.values = row[by].astype(np.int32), term[by], value[by]
+        block = self.rows // BLOCK
+        starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.entry_block = block[starts]
+        self.entry_most = np.maximum.reduceat(self.values, starts) if len(starts) else np.zeros(0)
+        self.entry_cuts = np.r_[starts, len(term)].astype(np.int64)
+        self.term_cuts = np.searchsorted(term[starts], np.arange(len(idf) + 1))
         self.steps: tuple[np.ndarray, np.ndarray] = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         self.bare = 0.0
-        self._memo: dict[tuple, tuple[float, list[int]]] = {}
 
     def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[t] for t in at.tolist()], float))) * self.idf[at] if len(at) else np.zeros(0)
+        w = (1 + np.log(np.array([counts[t] for t in at.tolist()], float))) * self.weights[at] if len(at) else np.zeros(0)
         return at, w / (np.sqrt((w * w).sum()) or 1.0)
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples and all that tie with the k-th; cosines of 0 are not near.
+    def nearest(self, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k nearest examples and all that tie with the k-th; a cosine of 0 is not near.
 
-        Blocks are read by falling bound, sum of weight times the block's greatest; once k cosines exceed the next
-        block's bound, no further block can hold a nearer one.
+        A block's bound is the sum of the query's weights times the block's greatest ones. Blocks are read by falling
+        bound; once k cosines exceed a block's bound, that block can't hold a nearer one.
         """
-        bound = w @ self.best[at]
-        rows: list[np.ndarray] = []
-        sims: list[np.ndarray] = []
-        kth, found = 0.0, np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < kth - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                low, high = self.cuts[t][b], self.cuts[t][b + 1]
-                score[self.rows[t][low:high] - b * BLOCK] += x * self.values[t][low:high]
-            hit = np.flatnonzero(score > 0)
-            own = hit + b * BLOCK
-            if skip is not None:
-                hit, own = hit[self.ids[own] != skip], own[self.ids[own] != skip]
-            rows.append(own)
-            sims.append(score[hit])
-            found = np.concatenate([found, score[hit]])
-            if len(found) >= self.k:
-                found = np.partition(found, len(found) - self.k)[-self.k :]
-                kth = found[0]
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0)
-        row, sim = np.concatenate(rows), np.concatenate(sims)
-        keep = sim >= kth - 1e-9
-        return row[keep], sim[keep]
-
-    def vote(self, counts: dict[int, int], skip: int | None = None) -> tuple[float, list[int]]:
-        """The share of label 1 among the neighbours, weighed by nearness and by how much of its class an example stands for."""
-        at, w = self.unit(counts)
-        row, sim = self.nearest(at, w, skip)
+        low, high = self.term_cuts[at], self.term_cuts[at + 1]
+        entry, weight = _ranges(low, high), np.repeat(w, high - low)
+        bound = np.bincount(self.entry_block[entry], weight * self.entry_most[entry], self.blocks)
+        score, kth, turn = np.zeros(len(self.ids)), 0.0, FIRST_BLOCKS
+        left = np.argsort(-bound, kind="stable")
+        left = left[bound[left] > 0]
+        while len(left):
+            now, left = left[:turn], left[turn:]
+            turn *= 4
+            chosen = np.zeros(self.blocks, bool)
+            chosen[now] = True
+            mine = chosen[self.entry_block[entry]]
+            e = entry[mine]
+            low, high = self.entry_cuts[e], self.entry_cuts[e + 1]
+            at_row = _ranges(low, high)
+            score += np.bincount(self.rows[at_row], np.repeat(weight[mine], high - low) * self.values[at_row], len(score))
+            if len(score) > self.k:
+                kth = float(np.partition(score, len(score) - self.k)[-self.k])
+                left = left[bound[left] >= kth - 1e-9]
+        row = np.flatnonzero((score > 0) & (score >= kth - 1e-9))
+        return row, score[row]
+
+    def vote(self, counts: dict[int, int]) -> tuple[float, list[int]]:
+        """The share of label 1 among the neighbours, by cosine and by how much of its class an example stands for; -1 without any."""
+        row, cosine = self.nearest(*self.unit(counts))
         if not len(row):
             return -1.0, []
         y = self.labels[row]
-        weight = np.where(y == 1, *self.class_weights) / (1.05 - np.minimum(sim, 1.0))
-        return float((weight * y).sum() / weight.sum()), self.ids[row[np.lexsort((self.ids[row], -sim))[:3]]].tolist()
-
-    def calibrate(self, vectors: list[dict[int, int]], labels: list[int], ids: list[int]) -> None:
-        """Votes of each example by the others, and the isotonic rates of label 1 that belong to them."""
-        votes, y = [], []
-        bare = [1.0, 20.0]
-        for v, label, i in zip(vectors, labels, ids, strict=True):
-            got = self.vote(v, skip=i)[0] if v else -1.0
-            weight = self.class_weights[0] if label == 1 else self.class_weights[1]
-            if got < 0:
-                bare[0] += weight * label
-                bare[1] += weight
-            else:
-                votes.append((got, label, weight))
-        self.bare = bare[0] / bare[1]
-        votes.sort()
-        merged: list[list[float]] = []  # sum of votes, of labels, of weights
-        for got, label, weight in votes:
+        weight = np.where(y == 1, *self.class_weights) * cosine
+        return float((weight * y).sum() / weight.sum()), self.ids[row[np.lexsort((self.ids[row], -cosine.round(12)))[:3]]].tolist()
+
+    def calibrate(self, votes: list[float], labels: np.ndarray) -> None:
+        """The isotonic rates of label 1 that belong to votes; those of -1 give the rate of examples without neighbours."""
+        weights = np.where(labels == 1, *self.class_weights)
+        alone = np.array(votes) < 0
+        self.bare = float((1.0 + weights[alone & (labels == 1)].sum()) / (20.0 + weights[alone].sum()))
+        merged: list[list[float]] = []  # sums of votes, of labels and of weights
+        for got, label, weight in sorted((v, int(y), w) for v, y, w in zip(votes, labels, weights, strict=True) if v >= 0):
             merged.append([got * weight, label * weight, weight])
             while len(merged) > 1 and merged[-2][1] * merged[-1][2] >= merged[-1][1] * merged[-2][2]:
                 last = merged.pop()
@@ -182,134 +136,123 @@ class Index:
             self.steps = np.array([m[0] / m[2] for m in merged]), np.array([(m[1] + 0.5) / (m[2] + 1.0) for m in merged])
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        if not counts:
-            return self.bare, []
-        key = tuple(sorted(counts.items()))
-        if key not in self._memo:
-            if len(self._memo) > 200_000:
-                self._memo.clear()
-            got, ids = self.vote(counts)
-            self._memo[key] = (self.bare if got < 0 else float(np.clip(np.interp(got, *self.steps), 0, 1)), ids)
-        return self._memo[key]
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_memo": {}}
-
-
-def _examples(labels: DataFrame, most: int) -> tuple[DataFrame, tuple[float, float]]:
-    """At most ``most`` labelled rows of the learning part, a third of them of label 1 if there are so many; by hash of their id."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    share = {1: most // 3, 0: most - most // 3}
-    parts = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(share[y]) for y in (1, 0)]
-    weights = tuple(totals.get(y, 0) / max(1, min(share[y], totals.get(y, 0))) for y in (1, 0))
-    return parts[0].unionByName(parts[1]), weights
+        got, ids = self.vote(counts) if counts else (-1.0, [])
+        return (self.bare if got < 0 else float(np.clip(np.interp(got, *self.steps), 0, 1))), ids
 
 
-def train(docs: DataFrame, labels: DataFrame, most_examples: int = 9000, most_terms: int = 512, least_chi2: float = 30.0, least_docs: int = 4, least_lift: float = 4.0) -> tuple[Vocabulary, Index, DataFrame]:
-    """Learns from labelled rows that aren't held out, a sample of at most ``most_examples``.
-
-    Terms are those that depend on the label by chi-squared and are ``least_lift`` times as frequent with label 1;
-    their document frequencies are counted over all ``docs``. Everything that reaches the driver is bounded by
-    ``most_examples`` and ``most_terms``. The third result is a table of all rows' term counts: doc_id, terms, counts.
-    """
-    spark = docs.sparkSession
-    chosen, weights = _examples(labels.select("doc_id", "toxic"), most_examples)
-    picked = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen.collect()], "doc_id long, toxic int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    examples = texts.join(F.broadcast(picked), "doc_id")  # most_examples rows at most
-
-    def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = Counter(), Counter()
-        rows = [0, 0]
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows[y] += 1
-                seen[y].update(text_terms(text).keys())
-        names = list(seen[0].keys() | seen[1].keys())
-        if sum(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(["", *names], pa.string()), pa.array([rows[0], *(seen[0][x] for x in names)], pa.int64()), pa.array([rows[1], *(seen[1][x] for x in names)], pa.int64())], ["term", "clean", "toxic"])
-
-    counted = examples.select("text", "toxic").mapInArrow(term_counts, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
-    sums = counted.where("term = ''").first()
-    p, n = (float(sums["a"]), float(sums["b"])) if sums else (0.0, 0.0)
-    both = F.col("a") + F.col("b")
-    chi2 = F.pow(F.col("a") * n - F.col("b") * p, F.lit(2)) * (p + n) / (F.lit(max(p * n, 1.0)) * both * F.greatest(F.lit(p + n) - both, F.lit(1.0)))
-    best = counted.where((F.col("term") != "") & (both >= least_docs)).withColumn("chi2", chi2).where((F.col("chi2") >= least_chi2) & (F.col("a") * n >= least_lift * p * F.col("b"))).orderBy(F.col("chi2").desc(), "term").limit(most_terms).collect()
-    vocabulary = Vocabulary({r["term"]: i for i, r in enumerate(best)})
-    sent = spark.sparkContext.broadcast(vocabulary)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                found = [sent.value.counts(x) for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(v.keys()) for v in found], pa.list_(pa.int64())), pa.array([list(v.values()) for v in found], pa.list_(pa.int64()))], ["doc_id", "terms", "counts"])
+def fit_index(vectors: list[dict[int, int]], labels: np.ndarray, ids: np.ndarray, class_weights: tuple[float, float], idf: np.ndarray) -> Index:
+    """The index of all examples, calibrated by the votes that each fold of them gets from the others."""
+    fold = np.arange(len(ids)) % FOLDS
+    votes = [-1.0] * len(ids)
+    for f in range(FOLDS):
+        rest = np.flatnonzero(fold != f)
+        part = Index([vectors[i] for i in rest], labels[rest], ids[rest], class_weights, idf)
+        for i in np.flatnonzero(fold == f).tolist():
+            votes[i] = part.vote(vectors[i])[0]
+    index = Index(vectors, labels, ids, class_weights, idf)
+    index.calibrate(votes, labels)
+    return index
 
-    table, _ = written(texts.select("doc_id", "text").mapInArrow(vectors, "doc_id long, terms array<long>, counts array<long>"), "toxicity-terms")
-    df = {r["term"]: r["n"] for r in table.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # most_terms rows
-    total = table.count()
-    idf = np.array([np.log((1.0 + total) / (1.0 + df.get(i, 0))) + 1.0 for i in range(len(best))])
-    own = table.join(F.broadcast(picked), "doc_id")  # most_examples rows
 
-    rows = sorted(own.collect(), key=lambda r: (r["doc_id"], r["terms"]))
-    found = [dict(zip(r["terms"], r["counts"], strict=True)) for r in rows]
-    y, ids = [r["toxic"] for r in rows], [r["doc_id"] for r in rows]
-    index = Index(found, y, ids, weights, idf)
-    index.calibrate(found, y, ids)
-    return vocabulary, index, table
+def _examples(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list, tuple[float, float]]:
+    """(doc_id, toxic, words, counts) of at most ``most`` labelled rows of the learning part, by hash of their id.
 
+    A third of them have label 1 if there are so many. A doc_id counts once, with its least text.
+    """
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    usable = usable.join(docs.select("doc_id"), "doc_id", "left_semi")
+    totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    share = {1: most // 3, 0: most - most // 3}
+    picked = [r for y in (1, 0) for r in usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(share[y]).collect()]
+    weights = tuple(totals.get(y, 0) / max(1, min(share[y], totals.get(y, 0))) for y in (1, 0))
+    chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id long, toxic int")
+    own = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))  # most rows at most
 
-def _answers(index: Index, names: list[str], vectors: list[dict[int, int]]) -> list[pa.Array]:
-    got = [index.score(v) for v in vectors]
-    terms = [[names[t] for t in sorted(v)][:5] if ids else [] for v, (_, ids) in zip(vectors, got, strict=True)]
-    return [pa.array([x for x, _ in got], pa.float64()), pa.array([x for _, x in got], pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))]
-
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [text_words(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["doc_id", "toxic", "words", "counts"])
 
-_ANSWERS = "toxicity double, evidence_ids array<long>, evidence_terms array<string>"
+    return sorted(own.mapInArrow(words, "doc_id long, toxic int, words array<string>, counts array<long>").collect(), key=lambda r: r["doc_id"]), weights
 
 
-def scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """One row per input row: doc_id, toxicity (0 to 1), evidence_ids (nearest labelled examples), evidence_terms.
+def train(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES) -> tuple[dict[str, int], Index]:
+    """The vocabulary, every word of the examples, and the index of all examples.
 
-    Only the text decides. Null and empty texts, and texts without any chosen term, get the rate of label 1
-    among such examples. Without usable labels that is near 0. Ids are whole numbers or null; repeated rows have a
-    row each; extra columns aren't read; an empty table gives an empty table. Whole texts are read once for all rows.
+    Learns from labelled rows that aren't held out, a sample of at most ``most_examples``. Document frequencies are
+    counted over all ``docs``. What reaches the driver is the examples' words and a count for each.
     """
-    vocabulary, index, table = train(docs, labels, **options)
-    sent = docs.sparkSession.sparkContext.broadcast((index, list(vocabulary.terms)))
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, class_weights = _examples(texts, labels.select("doc_id", "toxic"), most_examples)
+    vocabulary = {word: i for i, word in enumerate(sorted({w for r in rows for w in r["words"]}))}
+    sent = spark.sparkContext.broadcast(vocabulary)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a term and task; the term -1 counts texts."""
+        known, seen, n = sent.value, np.zeros(len(sent.value), np.int64), 0
         for batch in batches:
-            vectors = [dict(zip(t, c, strict=True)) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_answers(*sent.value, vectors)], ["doc_id", "toxicity", "evidence_ids", "evidence_terms"])
+            for text in batch.column(0).to_pylist():
+                n += 1
+                if text:
+                    seen[[known[w] for w in set(WORD.findall(text.lower())) if w in known]] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, seen[at]])], ["term", "n"])
+
+    counted = texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term
+    term, n = counted["term"].to_numpy(), counted["n"].to_numpy().astype(float)
+    df, total = np.zeros(len(vocabulary)), float(n[term == -1].sum())
+    df[term[term >= 0]] = n[term >= 0]
+    idf = np.log((1.0 + total) / (1.0 + df)) + 1e-3  # a word of every text says nearly nothing
+    vectors = [{vocabulary[w]: c for w, c in zip(r["words"], r["counts"], strict=True)} for r in rows]
+    y, ids = np.array([r["toxic"] for r in rows], np.int64), np.array([r["doc_id"] for r in rows], np.int64)
+    return vocabulary, fit_index(vectors, y, ids, class_weights, idf)
+
 
-    parts = max(1, -(-table.count() // SCORED_ROWS))  # the table is small for its rows, and would be few tasks
-    return table.repartition(parts).mapInArrow(run, f"doc_id long, {_ANSWERS}")
+_ANSWERS = "toxicity double, evidence_ids array<long>, evidence_terms array<string>"
 
 
 def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` with toxicity, evidence_ids and evidence_terms, as in ``scores``; columns of those names are replaced.
+    """``docs`` with toxicity (0 to 1), evidence_ids (the nearest labelled examples) and evidence_terms (the text's
+    heaviest words that examples have, at most five); columns of those names are replaced.
 
-    Rows are scored where they lie, in a second reading of the texts, so that no text is shuffled.
+    Only the text decides, all of it. Null and empty texts, and texts without any word of an example, get the rate of
+    label 1 among such examples; without usable labels that is near 0. Ids are whole numbers or null; repeated rows have
+    a row each; other columns are left as they are; an empty table gives an empty table. Rows are scored where they lie,
+    so that no text is shuffled.
     """
-    vocabulary, index, _ = train(docs, labels, **options)
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, index, list(vocabulary.terms)))
+    vocabulary, index = train(docs, labels, **options)
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, index))
     base = docs.drop("toxicity", "evidence_ids", "evidence_terms")
     at = base.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, index, names = sent.value
+        known, index = sent.value
+        names, last = list(known), {}
         for whole in batches:
             for low in range(0, whole.num_rows, 1024):
                 batch = whole.slice(low, 1024)
-                vectors = [vocabulary.counts(text) for text in batch.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *_answers(index, names, vectors)], [*batch.schema.names, "toxicity", "evidence_ids", "evidence_terms"])
+                answers = []
+                for text in batch.column(at).to_pylist():
+                    if text not in last:
+                        counts = {known[w]: n for w, n in text_words(text).items() if w in known}
+                        weight = {t: (1 + np.log(n)) * index.weights[t] for t, n in counts.items()}
+                        last[text] = *index.score(counts), [names[t] for t in sorted(weight, key=lambda t: (-weight[t], t))[:5]]
+                    answers.append(last[text])
+                last = {}  # equal texts of a batch are scored once
+                columns = [pa.array(c, t) for c, t in zip(zip(*answers, strict=True), [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.string())], strict=True)]
+                if answers:
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "toxicity", "evidence_ids", "evidence_terms"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), _ANSWERS])
     return base.mapInArrow(run, schema)
 
 
+def scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """One row per input row: doc_id, toxicity, evidence_ids, evidence_terms, as in ``scored``; extra columns aren't read."""
+    return scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, **options).drop("text")
+
+
 def without_toxic(docs: DataFrame, labels: DataFrame, reject: float = REJECT, **options) -> DataFrame:
     """The rows of ``docs`` whose score is below ``reject``, with their columns."""
     plain, back = set_aside(docs, "doc_id", "text")
