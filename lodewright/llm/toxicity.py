@@ -15,11 +15,12 @@ from ._columns import set_aside
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
-FIRST_BLOCKS = 8
+FIRST_BLOCKS = 4
+FREQUENT = 16
 NEIGHBOURS = 25
 REJECT = 0.7
 FOLDS = 4
-MOST_EXAMPLES = 4096
+MOST_EXAMPLES = 2048
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -52,9 +53,10 @@ def label_weights(vectors: list[dict[int, int]], labels: np.ndarray, terms: int)
 
 
 class Index:
-    """Labelled examples as unit vectors, in blocks of rows; an entry for each term and block has the term's greatest weight there.
+    """Labelled examples as unit vectors, in blocks of rows, and an inverted list for each term.
 
-    A vector's components are (1 + log count) * idf * label weight, over every word that an example has.
+    A vector's components are (1 + log count) * idf * label weight, over every word that an example has. Lists of
+    terms that are in a FREQUENT-th of the examples or more are kept by block, with their greatest weight in each.
     """
 
     def __init__(self, vectors: list[dict[int, int]], labels: np.ndarray, ids: np.ndarray, class_weights: tuple[float, float], idf: np.ndarray, k: int = NEIGHBOURS):
@@ -68,14 +70,19 @@ class Index:
         row = np.repeat(np.arange(len(order)), [len(units[i][0]) for i in order])
         term = np.concatenate([np.zeros(0, np.int64), *(units[i][0] for i in order)])
         value = np.concatenate([np.zeros(0), *(units[i][1] for i in order)])
+        length = np.bincount(term, minlength=len(idf))
+        self.frequent = np.full(len(idf), -1, np.int32)
+        often = np.flatnonzero(length >= max(2, len(order) // FREQUENT))
+        self.frequent[often] = np.arange(len(often))
+        part = self.frequent[term]
+        self.lists = np.zeros((self.blocks, len(often), BLOCK))
+        own = part >= 0
+        self.lists[row[own] // BLOCK, part[own], row[own] % BLOCK] = value[own]
+        self.most = self.lists.max(axis=2)
+        row, term, value = row[~own], term[~own], value[~own]
         by = np.lexsort((row, term))
-        self.rows, term, self.values = row[by].astype(np.int32), term[by], value[by]
-        block = self.rows // BLOCK
-        starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
-        self.entry_block = block[starts]
-        self.entry_most = np.maximum.reduceat(self.values, starts) if len(starts) else np.zeros(0)
-        self.entry_cuts = np.r_[starts, len(term)].astype(np.int64)
-        self.term_cuts = np.searchsorted(term[starts], np.arange(len(idf) + 1))
+        self.rows, self.values = row[by].astype(np.int32), value[by]
+        self.cuts = np.searchsorted(term[by], np.arange(len(idf) + 1))
         self.steps: tuple[np.ndarray, np.ndarray] = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         self.bare = 0.0
 
@@ -87,39 +94,45 @@ class Index:
     def nearest(self, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples and all that tie with the k-th; a cosine of 0 is not near.
 
-        A block's bound is the sum of the query's weights times the block's greatest ones. Blocks are read by falling
-        bound; once k cosines exceed a block's bound, that block can't hold a nearer one.
+        The short lists are read first. A block's bound is its greatest sum so far and, for the frequent terms, the
+        query's weight times the block's greatest. Blocks are read by falling bound; once k cosines exceed a block's
+        bound, that block can't hold a nearer one.
         """
-        low, high = self.term_cuts[at], self.term_cuts[at + 1]
-        entry, weight = _ranges(low, high), np.repeat(w, high - low)
-        bound = np.bincount(self.entry_block[entry], weight * self.entry_most[entry], self.blocks)
-        score, kth, turn = np.zeros(len(self.ids)), 0.0, FIRST_BLOCKS
-        left = np.argsort(-bound, kind="stable")
-        left = left[bound[left] > 0]
-        while len(left):
-            now, left = left[:turn], left[turn:]
-            turn *= 4
-            chosen = np.zeros(self.blocks, bool)
-            chosen[now] = True
-            mine = chosen[self.entry_block[entry]]
-            e = entry[mine]
-            low, high = self.entry_cuts[e], self.entry_cuts[e + 1]
-            at_row = _ranges(low, high)
-            score += np.bincount(self.rows[at_row], np.repeat(weight[mine], high - low) * self.values[at_row], len(score))
-            if len(score) > self.k:
-                kth = float(np.partition(score, len(score) - self.k)[-self.k])
+        low, high = self.cuts[at], self.cuts[at + 1]
+        read = _ranges(low, high)
+        score = np.zeros((self.blocks, BLOCK))
+        score.ravel()[:] = np.bincount(self.rows[read], np.repeat(w, high - low) * self.values[read], score.size)
+        part = self.frequent[at]
+        at, w = part[part >= 0], w[part >= 0]
+        bound = score.max(axis=1) + self.most[:, at] @ w
+        order, kth = np.argsort(-bound, kind="stable"), 0.0
+        left, exact = order[bound[order] > 0], []
+        for size in (FIRST_BLOCKS, self.blocks):
+            now, left = left[:size], left[size:]
+            if not len(now):
+                break
+            score[now] += w @ self.lists[now[:, None], at[None, :]]
+            exact.append(now)
+            every = score[np.concatenate(exact)].ravel()
+            if len(every) > self.k:
+                kth = float(np.partition(every, len(every) - self.k)[-self.k])
                 left = left[bound[left] >= kth - 1e-9]
-        row = np.flatnonzero((score > 0) & (score >= kth - 1e-9))
-        return row, score[row]
-
-    def vote(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        """The share of label 1 among the neighbours, by cosine and by how much of its class an example stands for; -1 without any."""
-        row, cosine = self.nearest(*self.unit(counts))
+        if not exact:
+            return np.zeros(0, np.int64), np.zeros(0)
+        block, place = np.nonzero((score[done := np.sort(np.concatenate(exact))] > 0) & (score[done] >= kth - 1e-9))
+        return done[block] * BLOCK + place, score[done[block], place]
+
+    def vote(self, counts: dict[int, int]) -> tuple[float, list[int], list[int]]:
+        """The share of label 1 among the neighbours, by cosine and by how much of its class an example stands for; -1
+        without any. With the ids of the three nearest and the query's five heaviest terms."""
+        at, w = self.unit(counts)
+        row, cosine = self.nearest(at, w)
         if not len(row):
-            return -1.0, []
+            return -1.0, [], []
         y = self.labels[row]
         weight = np.where(y == 1, *self.class_weights) * cosine
-        return float((weight * y).sum() / weight.sum()), self.ids[row[np.lexsort((self.ids[row], -cosine.round(12)))[:3]]].tolist()
+        near = row[np.lexsort((self.ids[row], -cosine.round(12)))[:3]]
+        return float((weight * y).sum() / weight.sum()), self.ids[near].tolist(), at[np.argsort(-w, kind="stable")[:5]].tolist()
 
     def calibrate(self, votes: list[float], labels: np.ndarray) -> None:
         """The isotonic rates of label 1 that belong to votes; those of -1 give the rate of examples without neighbours."""
@@ -135,9 +148,10 @@ class Index:
         if merged:
             self.steps = np.array([m[0] / m[2] for m in merged]), np.array([(m[1] + 0.5) / (m[2] + 1.0) for m in merged])
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        got, ids = self.vote(counts) if counts else (-1.0, [])
-        return (self.bare if got < 0 else float(np.clip(np.interp(got, *self.steps), 0, 1))), ids
+    def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[int]]:
+        """The calibrated score, ids of the nearest examples and heaviest terms."""
+        got, ids, terms = self.vote(counts) if counts else (-1.0, [], [])
+        return (self.bare if got < 0 else float(np.clip(np.interp(got, *self.steps), 0, 1))), ids, terms
 
 
 def fit_index(vectors: list[dict[int, int]], labels: np.ndarray, ids: np.ndarray, class_weights: tuple[float, float], idf: np.ndarray) -> Index:
@@ -236,8 +250,8 @@ def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
                 for text in batch.column(at).to_pylist():
                     if text not in last:
                         counts = {known[w]: n for w, n in text_words(text).items() if w in known}
-                        weight = {t: (1 + np.log(n)) * index.weights[t] for t, n in counts.items()}
-                        last[text] = *index.score(counts), [names[t] for t in sorted(weight, key=lambda t: (-weight[t], t))[:5]]
+                        score, ids, terms = index.score(counts)
+                        last[text] = score, ids, [names[t] for t in terms]
                     answers.append(last[text])
                 last = {}  # equal texts of a batch are scored once
                 columns = [pa.array(c, t) for c, t in zip(zip(*answers, strict=True), [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.string())], strict=True)]
