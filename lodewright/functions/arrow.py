@@ -54,12 +54,18 @@ def sequence_ratio(a: Column | str, b: Column | str) -> Column:
     return run(a, b)
 
 
-def smart_similarity(a: str, b: str) -> bool:
-    """All tiers: equal, inside, words overlapping by over 0.66, sequence ratio over 0.85."""
+def native_similarity(a: str, b: str) -> bool:
+    """The tiers without the ratio: equal, inside, words overlapping by over 0.66."""
     if a == b or a in b or b in a:
         return True
     x, y = set(a.split()), set(b.split())
-    if x and y and len(x & y) / min(len(x), len(y)) > 0.66:
+    return bool(x and y) and len(x & y) / min(len(x), len(y)) > 0.66
+
+
+@lru_cache(1 << 16)
+def smart_similarity(a: str, b: str) -> bool:
+    """All tiers: those of ``native_similarity``, then a sequence ratio over 0.85."""
+    if native_similarity(a, b):
         return True
     return bool(a and b) and 2 * min(len(a), len(b)) > 0.85 * (len(a) + len(b)) and ratio(a, b) > 0.85
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,36 +57,43 @@ def with_scores(counts: DataFrame, tp: str = "tp", n_pred: str = "n_pred", n_gol
     return counts.withColumns({"p": p, "r": r}).withColumn("f1", safe_ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")))
 
 
-def unique_matches(gold: DataFrame, pred: DataFrame, like: Callable[[Column, Column], Column] = similar_native) -> DataFrame:
-    """Predicted triples with their gold triple, where a text, relation and subject have one gold triple at most.
+def first_free(pred: list[tuple[str, str]], gold: list[tuple[str, str]], like: Callable[[str, str], bool]) -> list[tuple[int, int]]:
+    """(place in pred, place in gold): each (subject, object) in turn takes the first free one like it.
 
-    Then no greedy choice arises: the join's keys are equal and only the object is compared by ``like``; of several
-    predictions for one gold triple the first matches.
+    Objects are compared once for each pair of different ones. Subjects are compared only where the objects are alike
+    and the gold triple is still free, in order, up to the first hit, and once for each pair of different ones too.
     """
-    g = gold.select("text_id", "nrel", "nsub", F.col("nobj").alias("gobj"), F.col("seq").alias("gold_seq"))
-    pairs = pred.join(g, ["text_id", "nrel", "nsub"]).where(like(F.col("nobj"), F.col("gobj")))
-    first = F.row_number().over(Window.partitionBy("text_id", "system", "gold_seq").orderBy("seq"))
-    return pairs.withColumn("_n", first).where("_n = 1").drop("_n")
+    places: dict[str, list[int]] = {}
+    for i, (_, obj) in enumerate(gold):
+        places.setdefault(obj, []).append(i)
+    free, near, known, out = np.ones(len(gold), bool), {}, {}, []
+    for at, (sub, obj) in enumerate(pred):
+        if obj not in near:
+            near[obj] = np.array(sorted(i for other, found in places.items() if like(obj, other) for i in found), np.int64)
+        for i in near[obj][free[near[obj]]].tolist():
+            pair = sub, gold[i][0]
+            if pair not in known:
+                known[pair] = like(*pair)
+            if known[pair]:
+                out.append((at, i))
+                free[i] = False
+                break
+    return out
 
 
-def greedy_matches(gold: DataFrame, pred: DataFrame) -> DataFrame:
+def greedy_matches(gold: DataFrame, pred: DataFrame, like: Callable[[str, str], bool] = smart_similarity) -> DataFrame:
     """(text_id, system, seq, gold_seq): each prediction in turn takes the first free gold triple like it.
 
     Matches never cross relations, so each text, system and relation is a group of its own; a group holds the
-    triples of one text, a bounded number. Predictions that can't match by any tier are kept out by a join first.
+    triples of one text, a bounded number.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        p, g = rows[~rows["is_gold"]], rows[rows["is_gold"]]
-        free = list(g.sort_values("seq")[["seq", "nsub", "nobj"]].itertuples(index=False, name=None))
-        out = []
-        for seq, sub, obj in p.sort_values("seq")[["seq", "nsub", "nobj"]].itertuples(index=False, name=None):
-            for i, (gold_seq, gsub, gobj) in enumerate(free):
-                if smart_similarity(sub, gsub) and smart_similarity(obj, gobj):
-                    out.append((key[0], key[1], seq, gold_seq))
-                    del free[i]
-                    break
-        return pd.DataFrame(out, columns=["text_id", "system", "seq", "gold_seq"])
+        p, g = (part.sort_values("seq") for part in (rows[~rows["is_gold"]], rows[rows["is_gold"]]))
+        pairs = [list(x[["nsub", "nobj"]].itertuples(index=False, name=None)) for x in (p, g)]
+        found = first_free(*pairs, like)
+        seqs, gold_seqs = p["seq"].to_numpy(), g["seq"].to_numpy()
+        return pd.DataFrame([(key[0], key[1], seqs[i], gold_seqs[j]) for i, j in found], columns=["text_id", "system", "seq", "gold_seq"])
 
     wanted = pred.select("text_id", "system", "nrel").distinct()
     golds = gold.select("text_id", "nrel", "seq", "nsub", "nobj").join(wanted, ["text_id", "nrel"])
@@ -109,25 +117,27 @@ def match_counts(gold: DataFrame, pred: DataFrame, matches: DataFrame, systems:
     return scored.select("text_id", "system", "tp", "fp", "fn", "p", "r", "f1")
 
 
-def entity_recall(gold: DataFrame, pred: DataFrame, systems: DataFrame, fuzzy: bool = True) -> DataFrame:
+def entity_recall(gold: DataFrame, pred: DataFrame, systems: DataFrame, ratio: bool = True) -> DataFrame:
     """(text_id, system, matched, total, recall) of (text_id, label) gold and (text_id, system, label) predicted entities.
 
-    Equal labels in lower case by an equi-join; only the rest is compared by similarity, within its text.
+    Equal labels in lower case by an equi-join; only the rest is compared by similarity, within its text: by the native
+    tiers, and with ``ratio`` by the sequence ratio too.
     """
     grid = gold.select("text_id", "label", F.lower("label").alias("low")).distinct().crossJoin(F.broadcast(systems))
     lows = pred.select("text_id", "system", F.lower("label").alias("low")).distinct()
     hit = grid.join(lows.withColumn("_hit", F.lit(1)), ["text_id", "system", "low"], "left")
-    if fuzzy:
-        rest = hit.where("_hit is null").select("text_id", "system", "label", F.col("low").alias("glow"))
-        native = rest.join(lows, ["text_id", "system"]).withColumn("_native", similar_native(F.col("glow"), F.col("low")))
-        close = native.where(F.col("_native") | may_match_by_ratio(F.col("glow"), F.col("low")))
-        found = close.where("_native").select("text_id", "system", "label").unionByName(close.where("not _native").where(sequence_ratio("glow", "low") > 0.85).select("text_id", "system", "label")).distinct()
-        hit = hit.join(found.withColumn("_near", F.lit(1)), ["text_id", "system", "label"], "left").withColumn("_hit", F.coalesce("_hit", "_near"))
+    rest = hit.where("_hit is null").select("text_id", "system", "label", F.col("low").alias("glow"))
+    native = rest.join(lows, ["text_id", "system"]).withColumn("_native", similar_native(F.col("glow"), F.col("low")))
+    found = native.where("_native").select("text_id", "system", "label")
+    if ratio:
+        close = native.where(~F.col("_native") & may_match_by_ratio(F.col("glow"), F.col("low")))
+        found = found.unionByName(close.where(sequence_ratio("glow", "low") > 0.85).select("text_id", "system", "label"))
+    hit = hit.join(found.distinct().withColumn("_near", F.lit(1)), ["text_id", "system", "label"], "left").withColumn("_hit", F.coalesce("_hit", "_near"))
     out = hit.groupBy("text_id", "system").agg(F.count("_hit").alias("matched"), F.count("*").alias("total"))
     return out.withColumn("recall", safe_ratio(F.col("matched"), F.col("total")))
 
 
-def type_scores(gold: DataFrame, pred: DataFrame, systems: DataFrame, fuzzy: bool = True) -> DataFrame:
+def type_scores(gold: DataFrame, pred: DataFrame, systems: DataFrame, ratio: bool = True) -> DataFrame:
     """(text_id, system, tp, fp, fn, p, r, f1) over type sets of labels.
 
     A gold label takes the predicted label that equals it, else one that does in lower case, else a similar one;
@@ -138,11 +148,10 @@ def type_scores(gold: DataFrame, pred: DataFrame, systems: DataFrame, fuzzy: boo
     low = F.lower("glabel") == F.lower("plabel")
     exact = g.join(p.withColumn("_low", F.lower("plabel")), (g["text_id"] == p["text_id"]) & (g["system"] == p["system"]) & (F.lower("glabel") == F.col("_low"))).select(g["text_id"], g["system"], "glabel", "gtypes", "plabel", "ptypes", "pseq")
     pairs = exact.withColumn("tier", F.when(F.col("glabel") == F.col("plabel"), 0).otherwise(1))
-    if fuzzy:
-        rest = g.join(exact.select("text_id", "system", "glabel").distinct(), ["text_id", "system", "glabel"], "left_anti")
-        a, b = F.lower("glabel"), F.lower("plabel")
-        near = rest.join(p, ["text_id", "system"]).where(~low & similar(a, b)).withColumn("tier", F.lit(2))
-        pairs = pairs.unionByName(near.select(*pairs.columns))
+    rest = g.join(exact.select("text_id", "system", "glabel").distinct(), ["text_id", "system", "glabel"], "left_anti")
+    a, b = F.lower("glabel"), F.lower("plabel")
+    near = rest.join(p, ["text_id", "system"]).where(~low & (similar if ratio else similar_native)(a, b)).withColumn("tier", F.lit(2))
+    pairs = pairs.unionByName(near.select(*pairs.columns))
     best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("text_id", "system", "glabel").orderBy("tier", "pseq", "plabel"))).where("_n = 1")
     both = g.join(best.select("text_id", "system", "glabel", "ptypes"), ["text_id", "system", "glabel"], "left")
     common = F.coalesce(F.size(F.array_intersect("gtypes", "ptypes")), F.lit(0))

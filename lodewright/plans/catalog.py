@@ -161,22 +161,37 @@ def relation_prefilter(spark: SparkSession, sf: str) -> DataFrame:
     return matching.on_schema(pred, gold).select("text_id", "system", "seq", "nrel")
 
 
-_SMART_SQL = f"""{TRIPLES_SQL}, o AS (SELECT * FROM p WHERE NOT regexp_matches(nrel, '^p[0-9]+$') AND EXISTS (SELECT 1 FROM g WHERE g.text_id = p.text_id AND g.nrel = p.nrel)),
-hits AS (SELECT *, row_number() OVER (PARTITION BY text_id, system, gold_seq ORDER BY seq) AS n FROM (
-  SELECT o.*, g.seq AS gold_seq FROM o JOIN g USING (text_id, nrel, nsub) WHERE o.nobj = g.nobj OR contains(o.nobj, g.nobj) OR contains(g.nobj, o.nobj)
-    OR len(list_intersect({_WORDS_SQL.format("o.nobj")}, {_WORDS_SQL.format("g.nobj")})) / greatest(1, least(len({_WORDS_SQL.format("o.nobj")}), len({_WORDS_SQL.format("g.nobj")}))) > 0.66)),
-m AS (SELECT text_id, system, count(DISTINCT nsub || '|' || nrel || '|' || nobj) AS tp, count(*) AS matched FROM hits WHERE n = 1 GROUP BY ALL),
-c AS (SELECT t.text_id, s.system, t.n_gold, coalesce(q.n_pred, 0) AS n_pred, coalesce(m.tp, 0) AS tp, coalesce(m.matched, 0) AS matched
-  FROM (SELECT text_id, count(*) AS n_gold FROM g GROUP BY text_id) t CROSS JOIN systems s LEFT JOIN (SELECT text_id, system, count(*) AS n_pred FROM o GROUP BY ALL) q USING (text_id, system) LEFT JOIN m USING (text_id, system)),
-smart AS (SELECT text_id, system, tp, n_pred - matched AS fp, n_gold - matched AS fn, CASE WHEN tp + n_pred - matched > 0 THEN tp / (tp + n_pred - matched) ELSE 0.0 END AS p, CASE WHEN tp + n_gold - matched > 0 THEN tp / (tp + n_gold - matched) ELSE 0.0 END AS r FROM c),
-scores AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM smart),
+def _like_sql(a: str, b: str) -> str:
+    x, y = _WORDS_SQL.format(a), _WORDS_SQL.format(b)
+    return f"({a} = {b} OR contains({a}, {b}) OR contains({b}, {a}) OR len(list_intersect({x}, {y})) / greatest(1, least(len({x}), len({y}))) > 0.66)"
+
+
+def _greedy_sql(x: str = "", gold: str = "g", pred: str = "p") -> str:
+    """Scores of the greedy match by the native tiers: a walk over each text's, system's and relation's predictions."""
+    return f"""o{x} AS (SELECT p.* FROM {pred} p WHERE NOT regexp_matches(nrel, '^p[0-9]+$') AND EXISTS (SELECT 1 FROM {gold} g WHERE g.text_id = p.text_id AND g.nrel = p.nrel)),
+ranked{x} AS (SELECT *, row_number() OVER (PARTITION BY text_id, system, nrel ORDER BY seq) AS i FROM (
+  SELECT o.text_id, o.system, o.nrel, o.seq, list(g.seq ORDER BY g.seq) AS golds FROM o{x} o JOIN {gold} g USING (text_id, nrel) WHERE {_like_sql("o.nsub", "g.nsub")} AND {_like_sql("o.nobj", "g.nobj")} GROUP BY ALL)),
+walk{x}(text_id, system, nrel, i, used, seq, got) AS (
+  SELECT text_id, system, nrel, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM ranked{x} WHERE i = 1
+  UNION ALL SELECT text_id, system, nrel, i, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END, seq, got FROM (
+    SELECT r.text_id, r.system, r.nrel, r.i, w.used, r.seq, list_extract(list_filter(r.golds, lambda s: NOT list_contains(w.used, s)), 1) AS got
+    FROM walk{x} w JOIN ranked{x} r ON r.text_id = w.text_id AND r.system = w.system AND r.nrel = w.nrel AND r.i = w.i + 1)),
+m{x} AS (SELECT text_id, system, count(DISTINCT nsub || '|' || nrel || '|' || nobj) AS tp, count(*) AS matched FROM o{x} JOIN walk{x} USING (text_id, system, nrel, seq) WHERE got IS NOT NULL GROUP BY ALL),
+c{x} AS (SELECT t.text_id, s.system, t.n_gold, coalesce(q.n_pred, 0) AS n_pred, coalesce(m.tp, 0) AS tp, coalesce(m.matched, 0) AS matched
+  FROM (SELECT text_id, count(*) AS n_gold FROM {gold} GROUP BY text_id) t CROSS JOIN systems s LEFT JOIN (SELECT text_id, system, count(*) AS n_pred FROM o{x} GROUP BY ALL) q USING (text_id, system) LEFT JOIN m{x} m USING (text_id, system)),
+smart{x} AS (SELECT text_id, system, tp, n_pred - matched AS fp, n_gold - matched AS fn, CASE WHEN tp + n_pred - matched > 0 THEN tp / (tp + n_pred - matched) ELSE 0.0 END AS p, CASE WHEN tp + n_gold - matched > 0 THEN tp / (tp + n_gold - matched) ELSE 0.0 END AS r FROM c{x}),
+scores{x} AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM smart{x})"""
+
+
+_SMART_SQL = f"""{TRIPLES_SQL}, {_greedy_sql()},
 scored AS (SELECT s.* FROM scores s WHERE EXISTS (SELECT 1 FROM p WHERE p.text_id = s.text_id AND p.system = s.system))"""
 
 
 def _smart(spark: SparkSession, sf: str) -> DataFrame:
+    """The greedy match by the tiers that SQL has too; ``triples_fuzzy_greedy`` adds the sequence ratio."""
     gold, pred, systems = _triples(spark, sf)
     own = matching.on_schema(pred, gold)
-    return matching.match_counts(gold, own, matching.unique_matches(gold, own), systems)
+    return matching.match_counts(gold, own, matching.greedy_matches(gold, own, arrow.native_similarity), systems)
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,12 +218,12 @@ def macro_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_SMART_SQL} SELECT s.system, count(*) AS n_total, count(f1) AS n_scored, round(sum(coalesce(f1, 0.0)) / count(*), 6) AS f1_all FROM items CROSS JOIN systems s LEFT JOIN scored c ON c.text_id = items.text_id AND c.system = s.system GROUP BY s.system")
 def f1_all_items(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.f1_over_all(views.items(spark), _scored(spark, sf), views.systems(spark)).select("system", "n_total", "n_scored", _round("f1_all"))
+    return metrics.f1_over_all(views.items(spark, sf), _scored(spark, sf), views.systems(spark)).select("system", "n_total", "n_scored", _round("f1_all"))
 
 
 @query(f"{_SMART_SQL} SELECT system, domain, round(avg(f1), 6) AS f1, count(*) AS n FROM scored JOIN items USING (text_id) GROUP BY ROLLUP (system, domain)")
 def scores_by_domain_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.by_domain(_scored(spark, sf), views.items(spark)).select("system", "domain", _round("f1"), "n")
+    return metrics.by_domain(_scored(spark, sf), views.items(spark, sf)).select("system", "domain", _round("f1"), "n")
 
 
 _LINK = "regexp_replace(lower(rel), '[ _]', '', 'g') IN ('sameas', 'owl:sameas')"
@@ -228,15 +243,8 @@ def el_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _el_sql() -> str:
     """The scores twice: with all triples, and without same-as triples."""
-    body = _SMART_SQL.removeprefix(TRIPLES_SQL + ", ")
-    plain = f"{TRIPLES_SQL}, {body}, full_scores AS (SELECT text_id, system, f1 FROM scores)"
-    less = body
-    for name in ("o", "hits", "m", "c", "smart", "scores", "scored"):
-        less = less.replace(f"{name} AS (", f"{name}_2 AS (", 1) if less.startswith(f"{name} AS (") else less.replace(f",\n{name} AS (", f",\n{name}_2 AS (", 1)
-    for old, new in ((" FROM p ", " FROM p2 p "), ("FROM g WHERE g.text_id = p.text_id", "FROM g2 g WHERE g.text_id = p.text_id"), ("FROM o JOIN g USING", "FROM o_2 o JOIN g2 g USING"), ("FROM hits WHERE", "FROM hits_2 WHERE"), ("FROM g GROUP BY text_id", "FROM g2 GROUP BY text_id"), ("FROM o GROUP BY ALL", "FROM o_2 GROUP BY ALL"), ("LEFT JOIN m USING", "LEFT JOIN m_2 m USING"), ("FROM c)", "FROM c_2)"), ("FROM smart)", "FROM smart_2)"), ("FROM scores s", "FROM scores_2 s")):
-        less = less.replace(old, new)
     sets = f"g2 AS (SELECT * FROM g WHERE NOT {_LINK}), p2 AS (SELECT * FROM p WHERE NOT {_LINK})"
-    return f"{plain}, {sets}, {less} SELECT f.text_id, f.system, round_even(f.f1, 4) AS f1_full, round_even(coalesce(w.f1, 0.0), 4) AS f1_no_sameas FROM full_scores f LEFT JOIN scores_2 w USING (text_id, system)"
+    return f"{TRIPLES_SQL}, {_greedy_sql()}, {sets}, {_greedy_sql('_2', 'g2', 'p2')} SELECT f.text_id, f.system, round_even(f.f1, 4) AS f1_full, round_even(coalesce(w.f1, 0.0), 4) AS f1_no_sameas FROM scores f LEFT JOIN scores_2 w USING (text_id, system)"
 
 
 @query(_el_sql())
@@ -244,7 +252,7 @@ def el_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     gold, pred, systems = _triples(spark, sf)
 
     def matcher(g: DataFrame, p: DataFrame) -> DataFrame:
-        return matching.unique_matches(g, p)
+        return matching.greedy_matches(g, p, arrow.native_similarity)
 
     own = matching.on_schema(pred, gold)
     return metrics.link_sensitivity(gold, own, systems, matcher).select("text_id", "system", "f1_full", "f1_no_sameas")
@@ -336,11 +344,17 @@ def _per_system(spark: SparkSession, f, pred: DataFrame, *columns: str) -> DataF
     return f(joint).withColumns({"system": split[1], "graph_id": split[0]}).select("graph_id", "system", *columns)
 
 
-@query(f"""{RDF_SQL}, {_GENTS}, {_PENTS} SELECT g.graph_id AS text_id, s.system, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM prdf_ents p WHERE p.graph_id = g.graph_id AND p.system = s.system AND lower(p.label) = lower(g.label))) AS matched, count(*) AS total,
-count(*) FILTER (WHERE EXISTS (SELECT 1 FROM prdf_ents p WHERE p.graph_id = g.graph_id AND p.system = s.system AND lower(p.label) = lower(g.label))) / count(*) AS recall FROM grdf_ents g, systems s GROUP BY g.graph_id, s.system""")
+@query(f"""{RDF_SQL}, {_GENTS}, {_PENTS}, found AS (SELECT g.graph_id, s.system, EXISTS (SELECT 1 FROM prdf_ents p WHERE p.graph_id = g.graph_id AND p.system = s.system AND {_like_sql("lower(g.label)", "lower(p.label)")}) AS hit FROM grdf_ents g, systems s)
+SELECT graph_id AS text_id, system, count(*) FILTER (WHERE hit) AS matched, count(*) AS total, count(*) FILTER (WHERE hit) / count(*) AS recall FROM found GROUP BY graph_id, system""")
 def entity_recall(spark: SparkSession, sf: str) -> DataFrame:
     g, p = _entities(spark, sf)
-    return matching.entity_recall(g, p, views.systems(spark), fuzzy=False)
+    return matching.entity_recall(g, p, views.systems(spark), ratio=False)
+
+
+@query()
+def entity_recall_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """All tiers, the sequence ratio among them."""
+    return matching.entity_recall(*_entities(spark, sf), views.systems(spark))
 
 
 def _entities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -353,7 +367,7 @@ _TYPES = """{1}_named AS (SELECT graph_id, {0}s AS node, arg_max(o, seq) AS labe
 {1}_types AS (SELECT t.graph_id, {2} coalesce(n.label, regexp_replace(regexp_extract(t.s, '[^/#]*$', 0), '[_-]', ' ', 'g')) AS label, list_sort(list(DISTINCT regexp_extract(t.o, '[^/#]*$', 0))) AS types, min(t.seq) AS seq
   FROM {1} t LEFT JOIN {1}_named n ON n.graph_id = t.graph_id AND n.node = t.s {3} WHERE t.p = '""" + RDF_TYPE + """' AND t.s_kind = 'uri' GROUP BY ALL)"""
 _TYPES_SQL = f"""{RDF_SQL}, {_TYPES.format("", "grdf", "", "")}, {_TYPES.format("system, ", "prdf", "t.system,", "AND n.system = t.system")},
-ranked AS (SELECT g.graph_id, p.system, g.label, g.types AS gt, p.types AS pt, row_number() OVER (PARTITION BY g.graph_id, p.system, g.label ORDER BY CASE WHEN g.label = p.label THEN 0 ELSE 1 END, p.seq, p.label) AS n FROM grdf_types g JOIN prdf_types p ON p.graph_id = g.graph_id AND lower(p.label) = lower(g.label)),
+ranked AS (SELECT g.graph_id, p.system, g.label, g.types AS gt, p.types AS pt, row_number() OVER (PARTITION BY g.graph_id, p.system, g.label ORDER BY CASE WHEN g.label = p.label THEN 0 WHEN lower(g.label) = lower(p.label) THEN 1 ELSE 2 END, p.seq, p.label) AS n FROM grdf_types g JOIN prdf_types p ON p.graph_id = g.graph_id AND {_like_sql("lower(g.label)", "lower(p.label)")}),
 own AS (SELECT g.graph_id, s.system, CASE WHEN pt IS NULL THEN 0 ELSE len(list_intersect(g.types, pt)) END AS tp, CASE WHEN pt IS NULL THEN 0 ELSE len(list_filter(pt, lambda x: NOT list_contains(g.types, x))) END AS fp, len(g.types) - CASE WHEN pt IS NULL THEN 0 ELSE len(list_intersect(g.types, pt)) END AS fn FROM grdf_types g CROSS JOIN systems s LEFT JOIN ranked r ON r.graph_id = g.graph_id AND r.system = s.system AND r.label = g.label AND r.n = 1),
 sums AS (SELECT graph_id AS text_id, system, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM own GROUP BY ALL),
 pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM sums)
@@ -362,7 +376,13 @@ SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM p
 
 @query(_TYPES_SQL)
 def type_f1(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.type_scores(*_types(spark, sf), views.systems(spark), fuzzy=False)
+    return matching.type_scores(*_types(spark, sf), views.systems(spark), ratio=False)
+
+
+@query()
+def type_f1_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """All tiers, the sequence ratio among them."""
+    return matching.type_scores(*_types(spark, sf), views.systems(spark))
 
 
 def _types(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -494,7 +514,7 @@ def fm_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{_SMART_SQL}, a AS (SELECT s.system, count(*) AS n_total, count(f1) AS n_scored, sum(coalesce(f1, 0.0)) / count(*) AS f1_all, avg(f1) AS f1_p FROM items CROSS JOIN systems s LEFT JOIN scored c ON c.text_id = items.text_id AND c.system = s.system GROUP BY s.system) SELECT system, round(f1_p, 3) AS f1_p, round(f1_all, 3) AS f1_all, CAST(n_scored AS VARCHAR) || ' / ' || CAST(n_total AS VARCHAR) AS parsed FROM a")
 def table_headline(spark: SparkSession, sf: str) -> DataFrame:
     scored = _scored(spark, sf)
-    rows = metrics.f1_over_all(views.items(spark), scored, views.systems(spark)).join(scored.groupBy("system").agg(F.avg("f1").alias("f1_p")), "system")
+    rows = metrics.f1_over_all(views.items(spark, sf), scored, views.systems(spark)).join(scored.groupBy("system").agg(F.avg("f1").alias("f1_p")), "system")
     return report.headline_table(rows, ("f1_p", "f1_all"))
 
 

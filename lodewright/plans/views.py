@@ -1,6 +1,7 @@
 """Gold and predicted graphs derived from the star schema, as DataFrames and as SQL.
 
-A customer is an entity of text ``t<custkey % 30>``; its gold triples follow from its row. Systems V1, V2 and V4
+Fifty customers in a row are a text, so that texts grow in number with the data and not in length; a customer's gold
+triples follow from its row. Several customers of a text share a household, so that gold triples are alike. Systems V1, V2 and V4
 are perturbations: they drop, change, repeat and invent triples by the key's remainders.
 """
 
@@ -13,7 +14,7 @@ from lodewright.functions.text import CRM, RDF_TYPE, RDFS_LABEL, SAME_AS
 
 EX = "http://example.org/"
 SYSTEMS = [("V1", 0), ("V2", 1), ("V4", 2)]
-TEXTS = 30
+TEXT_CUSTOMERS = 50
 DOMAINS = ["sound", "sound", "architecture", "fashion", "olympic"]
 
 
@@ -29,8 +30,9 @@ def _salted(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SYSTEMS, "system string, m int")
 
 
-def items(spark: SparkSession) -> DataFrame:
-    ids = spark.range(TEXTS).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("text_id"), F.col("id"))
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.floor(F.col("c_custkey") / TEXT_CUSTOMERS)
+    ids = table(spark, sf_dir, "customer").select(number.alias("id")).distinct().withColumn("text_id", F.concat(F.lit("t"), F.col("id").cast("string")))
     domain = F.element_at(F.array(*map(F.lit, DOMAINS)), (F.col("id") % len(DOMAINS)).cast("int") + 1)
     return ids.select("text_id", domain.alias("domain"))
 
@@ -39,17 +41,17 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """c, text_id, c_name, segment, balance, nation, n_name: a row a customer."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")  # 25 rows
     own = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    return own.select(F.col("c_custkey").alias("c"), F.concat(F.lit("t"), (F.col("c_custkey") % TEXTS).cast("string")).alias("text_id"), "c_name", F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("long").cast("string").alias("balance"), F.col("c_nationkey").alias("nation"), "n_name")
+    return own.select(F.col("c_custkey").alias("c"), F.concat(F.lit("t"), F.floor(F.col("c_custkey") / TEXT_CUSTOMERS).cast("string")).alias("text_id"), "c_name", F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("long").cast("string").alias("balance"), F.col("c_nationkey").alias("nation"), "n_name")
 
 
 BASE_SQL = f"""base AS (
-  SELECT c_custkey AS c, 't' || CAST(c_custkey % {TEXTS} AS VARCHAR) AS text_id, c_name, c_mktsegment AS segment,
+  SELECT c_custkey AS c, 't' || CAST(c_custkey // {TEXT_CUSTOMERS} AS VARCHAR) AS text_id, c_name, c_mktsegment AS segment,
          CAST(CAST(trunc(c_acctbal) AS BIGINT) AS VARCHAR) AS balance, c_nationkey AS nation, n_name
   FROM customer JOIN nation ON c_nationkey = n_nationkey
 ), systems(system, m) AS (VALUES ('V1', 0), ('V2', 1), ('V4', 2)),
 items AS (
   SELECT 't' || CAST(i AS VARCHAR) AS text_id, list_extract(['sound', 'sound', 'architecture', 'fashion', 'olympic'], CAST(i % 5 AS INT) + 1) AS domain
-  FROM range({TEXTS}) r(i)
+  FROM (SELECT DISTINCT c_custkey // {TEXT_CUSTOMERS} AS i FROM customer)
 )"""
 
 
@@ -60,13 +62,15 @@ def gold_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """text_id, seq, sub, rel, obj."""
     row = lambda k, rel, obj: F.struct((F.col("c") * 4 + k).alias("seq"), F.col("c_name").alias("sub"), F.lit(rel).alias("rel"), obj.alias("obj"))
     rows = F.array(row(0, "lives in", F.col("n_name")), row(1, "has segment", F.col("segment")), row(2, "sameAs", F.concat(F.lit("Q"), F.col("c").cast("string"))))
-    return base(spark, sf_dir).select("text_id", F.explode(F.when(F.col("c") % 5 == 0, rows).otherwise(F.slice(rows, 1, 2))).alias("x")).select("text_id", "x.*")
+    home = F.array(F.struct((F.col("c") * 4 + 3).alias("seq"), F.concat("n_name", F.lit(" household")).alias("sub"), F.lit("member of").alias("rel"), F.col("segment").alias("obj")))
+    return base(spark, sf_dir).select("text_id", F.explode(F.concat(home, F.when(F.col("c") % 5 == 0, rows).otherwise(F.slice(rows, 1, 2)))).alias("x")).select("text_id", "x.*")
 
 
 GOLD_SQL = """gold AS (
   SELECT text_id, c * 4 AS seq, c_name AS sub, 'lives in' AS rel, n_name AS obj FROM base
   UNION ALL SELECT text_id, c * 4 + 1, c_name, 'has segment', segment FROM base
   UNION ALL SELECT text_id, c * 4 + 2, c_name, 'sameAs', 'Q' || CAST(c AS VARCHAR) FROM base WHERE c % 5 = 0
+  UNION ALL SELECT text_id, c * 4 + 3, n_name || ' household', 'member of', segment FROM base
 )"""
 
 
@@ -74,27 +78,31 @@ def pred_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """text_id, system, seq, sub, rel, obj; some texts of a system are empty."""
     salted = base(spark, sf_dir).crossJoin(F.broadcast(_salted(spark)))  # three systems
     at = F.col("c") + F.col("m")
-    text_no = F.col("c") % TEXTS
+    text_no = F.floor(F.col("c") / TEXT_CUSTOMERS)
     kept = salted.where((at % 3 != 0) & ((text_no + 7 * F.col("m")) % 9 != 0)).withColumn("mark", at)
     changed = F.when(F.col("mark") % 4 == 1, F.concat(F.upper("n_name"), F.lit("!"))).when(F.col("mark") % 4 == 2, F.concat(F.lit("somewhere "), F.col("c").cast("string"))).otherwise(F.col("n_name"))
     relation = F.when(F.col("mark") % 7 == 0, "has segment").when(F.col("mark") % 11 == 0, "born in").when(F.col("mark") % 13 == 0, "p74").otherwise("lives in")
-    row = lambda k, rel, obj: F.struct((F.col("c") * 4 + k).alias("seq"), F.col("c_name").alias("sub"), rel.alias("rel"), obj.alias("obj"))
+    row = lambda k, rel, obj: F.struct((F.col("c") * 8 + k).alias("seq"), F.col("c_name").alias("sub"), rel.alias("rel"), obj.alias("obj"))
     rows = F.array(row(0, relation, changed), row(1, F.lit("has segment"), F.lower("segment")))
     again = F.when(F.col("mark") % 13 == 1, F.array(row(2, F.lit("has segment"), F.lower("segment")))).otherwise(F.array().cast("array<struct<seq:bigint,sub:string,rel:string,obj:string>>"))
     links = F.when(F.col("mark") % 5 == 1, F.array(row(3, F.lit("same as"), F.concat(F.lit("Q"), F.col("c").cast("string"))))).otherwise(F.array().cast("array<struct<seq:bigint,sub:string,rel:string,obj:string>>"))
-    return kept.select("text_id", "system", F.explode(F.concat(rows, again, links)).alias("x")).select("text_id", "system", "x.*")
+    household = F.when(F.col("mark") % 4 == 0, F.col("n_name")).when(F.col("mark") % 4 == 1, F.concat(F.upper("n_name"), F.lit(" household!"))).when(F.col("mark") % 4 == 2, F.concat(F.lit("the old household of "), "n_name")).otherwise(F.lit("household"))
+    home = F.array(F.struct((F.col("c") * 8 + 4).alias("seq"), household.alias("sub"), F.lit("Member of").alias("rel"), F.when(F.col("mark") % 5 == 2, F.lit("none")).otherwise(F.lower("segment")).alias("obj")))
+    return kept.select("text_id", "system", F.explode(F.concat(rows, again, links, home)).alias("x")).select("text_id", "system", "x.*")
 
 
 PRED_SQL = f"""kept AS (
-  SELECT base.*, system, c + m AS mark FROM base, systems WHERE (c + m) % 3 <> 0 AND (c % {TEXTS} + 7 * m) % 9 <> 0
+  SELECT base.*, system, c + m AS mark FROM base, systems WHERE (c + m) % 3 <> 0 AND (c // {TEXT_CUSTOMERS} + 7 * m) % 9 <> 0
 ), pred AS (
-  SELECT text_id, system, c * 4 AS seq, c_name AS sub,
+  SELECT text_id, system, c * 8 AS seq, c_name AS sub,
          CASE WHEN mark % 7 = 0 THEN 'has segment' WHEN mark % 11 = 0 THEN 'born in' WHEN mark % 13 = 0 THEN 'p74' ELSE 'lives in' END AS rel,
          CASE WHEN mark % 4 = 1 THEN upper(n_name) || '!' WHEN mark % 4 = 2 THEN 'somewhere ' || CAST(c AS VARCHAR) ELSE n_name END AS obj
   FROM kept
-  UNION ALL SELECT text_id, system, c * 4 + 1, c_name, 'has segment', lower(segment) FROM kept
-  UNION ALL SELECT text_id, system, c * 4 + 2, c_name, 'has segment', lower(segment) FROM kept WHERE mark % 13 = 1
-  UNION ALL SELECT text_id, system, c * 4 + 3, c_name, 'same as', 'Q' || CAST(c AS VARCHAR) FROM kept WHERE mark % 5 = 1
+  UNION ALL SELECT text_id, system, c * 8 + 1, c_name, 'has segment', lower(segment) FROM kept
+  UNION ALL SELECT text_id, system, c * 8 + 2, c_name, 'has segment', lower(segment) FROM kept WHERE mark % 13 = 1
+  UNION ALL SELECT text_id, system, c * 8 + 3, c_name, 'same as', 'Q' || CAST(c AS VARCHAR) FROM kept WHERE mark % 5 = 1
+  UNION ALL SELECT text_id, system, c * 8 + 4, CASE WHEN mark % 4 = 0 THEN n_name WHEN mark % 4 = 1 THEN upper(n_name) || ' household!' WHEN mark % 4 = 2 THEN 'the old household of ' || n_name ELSE 'household' END,
+         'Member of', CASE WHEN mark % 5 = 2 THEN 'none' ELSE lower(segment) END FROM kept
 )"""
 
 _PUNCTUATION_SQL = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
