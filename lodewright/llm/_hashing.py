@@ -18,8 +18,8 @@ PIECE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
 
 
@@ -88,7 +88,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
         stop = int(ends[high - 1])
         part = data[base:stop]
         if lower:
-            part = _LOWER[part]
+            part = LOWER[part]
         up, down = _radix_powers(stop - base + 1)
         total = np.empty(stop - base + 1, U)
         total[0] = 0

@@ -11,10 +11,13 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._hashing import LOWER, utf8_at
+
 _BREAK = r"(?:[\r\n]|\\[rn])"
 _ENDS = r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 #: Patterns by kind, in order of precedence; group "s" is the candidate. A key reaches to its end line, whatever stands
@@ -33,6 +36,8 @@ RULES = {
 }
 #: Bits a character, from which a run without a format of its own is a candidate; random ones of 20 characters have about 4.
 LEAST_BITS = 3.0
+#: Bits from which a transition counts as rare.
+RARE_BITS = 8.0
 #: Words whose nearness speaks for or against a finding.
 NEAR_WORDS = ["password", "passwd", "secret", "token", "key", "api", "auth", "login", "user", "private", "example", "sample", "dummy", "fake", "test", "placeholder", "your", "changeme", "todo", "commit", "sha", "md5", "checksum", "hash", "digest", "etag", "uuid", "id", "revision", "version"]
 #: Common words for the dictionary's coverage of a candidate.
@@ -40,7 +45,7 @@ DICTIONARY = ["access", "account", "admin", "apple", "change", "changeme", "clie
 TEST_PATH = re.compile(r"(^|[/_.-])(tests?|examples?|samples?|docs?|fixtures?|mocks?|spec|demo)([/_.-]|$)", re.I)
 AROUND = 48
 KINDS = list(RULES)
-FEATURES = ["length", "entropy", "letters", "capitals", "digits", "other", "class_changes", "same_pairs", "runs", "letter_pairs", "dictionary", "vowels", "test_path", "has_path", *(f"kind_{k}" for k in KINDS), *(f"near_{w}" for w in NEAR_WORDS)]
+FEATURES = ["length", "entropy", "letters", "capitals", "digits", "other", "class_changes", "same_pairs", "runs", "transitions", "rare_transitions", "dictionary", "vowels", "test_path", "has_path", *(f"kind_{k}" for k in KINDS), *(f"near_{w}" for w in NEAR_WORDS)]
 
 _COMPILED = [(k, re.compile(p)) for k, p in RULES.items()]
 _WORDS = sorted(DICTIONARY, key=len, reverse=True)
@@ -70,13 +75,47 @@ def _kind_of(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
+def transition_counts(texts: DataFrame) -> np.ndarray:
+    """How often each byte follows each other one, A-Z in lower case, in all texts (column text): 256 x 256 numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in utf8_at(batch.column(0)):
+                low = LOWER[data].astype(np.int32)
+                pair = (low[:-1] << 8) | low[1:]
+                starts = offsets[1:-1]
+                seen += np.bincount(pair, minlength=1 << 16)
+                across = starts[(starts > 0) & (starts < len(data))]
+                np.subtract.at(seen, pair[np.unique(across) - 1], 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["pair", "n"])
+
+    found = texts.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    out = np.zeros(1 << 16)
+    out[found["pair"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(256, 256)
+
+
+def transition_bits(counts: np.ndarray) -> np.ndarray:
+    """Bits that each transition says, the less usual the more: a bigram model with half a count more for every pair."""
+    return -np.log2((counts + 0.5) / (counts.sum(1, keepdims=True) + 128.0))
+
+
 @lru_cache(1)
-def _pairs() -> frozenset[str]:
-    return frozenset(w[i : i + 2] for w in [*DICTIONARY, *NEAR_WORDS] for i in range(len(w) - 1))
+def _dictionary_bits() -> np.ndarray:
+    counts = np.zeros((256, 256))
+    for w in [*DICTIONARY, *NEAR_WORDS]:
+        x = np.frombuffer(w.encode(), np.uint8)
+        np.add.at(counts, (x[:-1], x[1:]), 1)
+    return transition_bits(counts)
 
 
-def features(secret: str, kind: str, before: str, after: str, path: str | None) -> list[float]:
+def features(secret: str, kind: str, before: str, after: str, path: str | None, bits: np.ndarray | None = None) -> list[float]:
+    """FEATURES of a candidate; ``bits``: what each transition says, by default of the dictionary's words."""
     s = secret
+    raw = LOWER[np.frombuffer(s.encode("utf-8", "surrogatepass"), np.uint8)]
+    says = (_dictionary_bits() if bits is None else bits)[raw[:-1], raw[1:]] if len(raw) > 1 else np.zeros(1)
     n = max(1, len(s))
     kinds = [_kind_of(c) for c in s]
     counts = [s.count(c) for c in set(s)]
@@ -86,7 +125,6 @@ def features(secret: str, kind: str, before: str, after: str, path: str | None)
         covered += len(w) * rest.count(w)
         rest = rest.replace(w, "\0")
     pairs = max(1, n - 1)
-    letters = [low[i : i + 2] for i in range(n - 1) if low[i : i + 2].isalpha()]
     words = set(re.findall(r"[a-z0-9]+", f"{before} {after}".lower()))
     values = [
         math.log1p(len(secret)),
@@ -98,7 +136,8 @@ def features(secret: str, kind: str, before: str, after: str, path: str | None)
         sum(a != b for a, b in zip(kinds, kinds[1:])) / pairs,
         sum(a == b for a, b in zip(s, s[1:])) / pairs,
         sum(ord(b) - ord(a) == 1 for a, b in zip(s, s[1:])) / pairs,
-        sum(p in _pairs() for p in letters) / max(1, len(letters)),
+        float(says.mean()),
+        float((says > RARE_BITS).mean()),
         covered / n,
         sum(c in "aeiou" for c in low) / n,
         float(bool(path and TEST_PATH.search(path))),
@@ -138,7 +177,7 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
         elif kind == "assigned":
             before += f"{name()} {r.choice(['=', ':'])} "
             words = "".join(r.choice(DICTIONARY) for _ in range(r.randint(1, 3))).ljust(8, "0")
-            s = r.choice([pick(alnum, r.randint(10, 40)), pick(alnum, r.randint(200, 600)), pick(hexed, r.choice([16, 18, 20, 32, 40])), pick(alnum + "!#%&*+-_", r.randint(10, 24))]) if real else r.choice([words, "x" * r.randint(8, 20), "your_password_here", "<placeholder>", "${PASSWORD}", "os.environ[0]", "get_secret()", "********", "12345678", "abcdefgh"])
+            s = r.choice([pick(alnum, r.randint(10, 40)), pick(alnum, r.randint(200, 600)), pick(hexed, r.choice([16, 18, 20, 32, 40])), pick(hexed.upper() if r.random() < 0.3 else hexed, r.choice([32, 40, 64])), pick(alnum + "!#%&*+-_", r.randint(10, 24))]) if real else r.choice([words, "x" * r.randint(8, 20), "your_password_here", "<placeholder>", "${PASSWORD}", "os.environ[0]", "get_secret()", "********", "12345678", "abcdefgh"])
         elif kind == "url_credential":
             before += f"{r.choice(['https', 'postgres', 'mysql', 'redis', 'ftp'])}://{r.choice(['', pick(string.ascii_lowercase, r.randint(3, 8)) + ':'])}"
             s = r.choice([pick(alnum, r.randint(6, 40)), pick(alnum + "!#%&*+-_", r.randint(8, 24))]) if real else r.choice(["git", "user", "pass", "password", "secret", "xxxx", "****", "${PASSWORD}", "{password}", "changeme", "root"])
@@ -162,12 +201,12 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
     return out
 
 
-def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, str, str | None, int]] | None = None, trees: int = 40, depth: int = 8, seed: int = 3):
+def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, str, str | None, int]] | None = None, bits: np.ndarray | None = None, trees: int = 60, depth: int = 10, seed: int = 3):
     """A forest over FEATURES from labelled findings (at most a few thousand, held by the driver)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = [(features(*x[:5]), float(x[5])) for x in (findings or labelled_findings())]
+    rows = [(features(*x[:5], bits), float(x[5])) for x in (findings or labelled_findings())]
     data = spark.createDataFrame(rows, "x array<double>, label double").coalesce(1).select(array_to_vector("x").alias("features"), "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2).fit(data)
 
@@ -175,12 +214,13 @@ def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, str, s
 def scan(docs: DataFrame, findings: list | None = None, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text", path_column: str | None = None) -> DataFrame:
     """One row per candidate: doc_id, kind, start, length (in characters), secret, score, is_secret.
 
-    Whole texts are read. Null and empty texts, and texts without candidates, have no rows; rows with null or
+    Whole texts are read, twice: how usual a candidate's character transitions are is told by a bigram model of all texts. Null and empty texts, and texts without candidates, have no rows; rows with null or
     repeated ids have rows each. Only the named columns are read; an empty table gives an empty table.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    model = train_forest(docs.sparkSession, findings)
+    bits = transition_bits(transition_counts(docs.select(F.col(text_column).cast("string").alias("text"))))
+    model = train_forest(docs.sparkSession, findings, bits)
     path = F.col(path_column).cast("string") if path_column else F.lit(None).cast("string")
     kind = docs.schema[id_column].dataType.simpleString()
 
@@ -192,7 +232,7 @@ def scan(docs: DataFrame, findings: list | None = None, threshold: float = 0.5,
                 for i, (text, where) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     for k, a, b in candidates(text or ""):
                         at.append(i), kinds.append(k), starts.append(a), sizes.append(b - a), secrets.append(text[a:b])
-                        x.append(features(text[a:b], k, text[max(0, a - AROUND) : a], text[b : b + AROUND], where))
+                        x.append(features(text[a:b], k, text[max(0, a - AROUND) : a], text[b : b + AROUND], where, bits))
                 if at:
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(kinds), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(secrets), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "kind", "start", "length", "secret", "x"])
 
@@ -203,5 +243,6 @@ def scan(docs: DataFrame, findings: list | None = None, threshold: float = 0.5,
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """A document's source stands for its path."""
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), path_column="source")
     return found.select("doc_id", "kind", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "score", "is_secret")
