@@ -80,18 +80,22 @@ class Tree:
             todo += [(int(c), rows[near == i]) for i, c in enumerate(below) if (near == i).any()]
         return out
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
+    def distances(self, queries: np.ndarray) -> Iterator[list[float]]:
+        """For each query its squared distances to all nodes' centres, less its own square."""
+        step = max(1, 2_000_000 // len(self.children))
+        for low in range(0, len(queries), step):
+            yield from (self._squares - 2 * queries[low : low + step] @ self.centres[:, :-1].T).tolist()
+
+    def visit(self, distance: list[float], most: int) -> list[int]:
         """The first ``most`` leaves, best bin first: a priority queue of nodes by the distance of their centres."""
-        q = np.r_[query, 0.0]
-        queue, out = [(0.0, 0)], []
+        queue, out, push, pop = [(0.0, 0)], [], heapq.heappush, heapq.heappop
         while queue and len(out) < most:
-            _, node = heapq.heappop(queue)
-            below = self.children[node]
-            if not below:
+            _, node = pop(queue)
+            if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
-                continue
-            for d, c in zip((self._squares[below] - 2 * self.centres[below] @ q).tolist(), below, strict=True):
-                heapq.heappush(queue, (d, c))
+            else:
+                for c in self.children[node]:
+                    push(queue, (distance[c], c))
         return out
 
 
@@ -180,6 +184,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     width = widths[0]
     rows = rows.where(F.size("v") == width["n"])
     asked = asked.where(F.size("v") == width["n"]).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked, _ = written(asked.repartition(2 * spark.sparkContext.defaultParallelism, "vec_id"), "ann-asked")  # few bytes, but much work
     tree, placed, sizes = _grown(rows, width["count"], sample_rows, branch, leaf_rows, most_leaves)
     trial = asked.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(trial_queries).toArrow()
     trial_ids, trial_vectors = trial["vec_id"].to_numpy(), _matrix(trial["v"])
@@ -278,8 +283,8 @@ def _nearest_of(placed: DataFrame, asked: DataFrame, sent, low: int, high: int,
             for start in range(0, whole.num_rows, QUERY_ROWS):
                 batch = whole.slice(start, QUERY_ROWS)
                 at, shard, leaves = [], [], []
-                for i, q in enumerate(_matrix(batch.column(1))):
-                    own = np.array(sorted(tree.visit(q, high)[low:]), np.int64)
+                for i, distance in enumerate(tree.distances(_matrix(batch.column(1)))):
+                    own = np.array(sorted(tree.visit(distance, high)[low:]), np.int64)
                     of = np.repeat(first[own], blocks[own]) + _counted(blocks[own])
                     leaf = np.repeat(own, blocks[own])
                     order = np.argsort(of, kind="stable")
@@ -384,7 +389,7 @@ def _calibrated(placed: DataFrame, tree: Tree, ids: np.ndarray, queries: np.ndar
     true: dict[int, list[int]] = {}
     for r in _top(found, k).collect():  # k rows a trial query
         true.setdefault(r["query_id"], []).append(r["leaf"])
-    order = [{leaf: n for n, leaf in enumerate(tree.visit(q, tree.leaves))} for q in queries]
+    order = [{leaf: n for n, leaf in enumerate(tree.visit(x, tree.leaves))} for x in tree.distances(queries)]
     needed = np.array(sorted(order[i][leaf] + 1 for i, leaves in true.items() for leaf in leaves))
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) if len(needed) else tree.leaves
 
