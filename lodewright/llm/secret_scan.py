@@ -97,25 +97,27 @@ def transition_counts(texts: DataFrame) -> np.ndarray:
     return out.reshape(256, 256)
 
 
-def transition_bits(counts: np.ndarray) -> np.ndarray:
-    """Bits that each transition says, the less usual the more: a bigram model with half a count more for every pair."""
-    return -np.log2((counts + 0.5) / (counts.sum(1, keepdims=True) + 128.0))
-
-
 @lru_cache(1)
-def _dictionary_bits() -> np.ndarray:
+def _dictionary_pairs() -> np.ndarray:
+    """The transitions of the dictionary's words, as often as in a text of 20,000 letters: a few texts alone say little."""
     counts = np.zeros((256, 256))
     for w in [*DICTIONARY, *NEAR_WORDS]:
         x = np.frombuffer(w.encode(), np.uint8)
         np.add.at(counts, (x[:-1], x[1:]), 1)
-    return transition_bits(counts)
+    return counts * (20_000 / counts.sum())
+
+
+def transition_bits(counts: np.ndarray | float = 0.0) -> np.ndarray:
+    """Bits that each transition says, the less usual the more: a bigram model, with ten counts more for every pair."""
+    counts = counts + _dictionary_pairs() + 10.0
+    return -np.log2(counts / counts.sum(1, keepdims=True))
 
 
 def features(secret: str, kind: str, before: str, after: str, path: str | None, bits: np.ndarray | None = None) -> list[float]:
     """FEATURES of a candidate; ``bits``: what each transition says, by default of the dictionary's words."""
     s = secret
     raw = LOWER[np.frombuffer(s.encode("utf-8", "surrogatepass"), np.uint8)]
-    says = (_dictionary_bits() if bits is None else bits)[raw[:-1], raw[1:]] if len(raw) > 1 else np.zeros(1)
+    says = (transition_bits() if bits is None else bits)[raw[:-1], raw[1:]] if len(raw) > 1 else np.zeros(1)
     n = max(1, len(s))
     kinds = [_kind_of(c) for c in s]
     counts = [s.count(c) for c in set(s)]
@@ -137,7 +139,7 @@ def features(secret: str, kind: str, before: str, after: str, path: str | None,
         sum(a == b for a, b in zip(s, s[1:])) / pairs,
         sum(ord(b) - ord(a) == 1 for a, b in zip(s, s[1:])) / pairs,
         float(says.mean()),
-        float((says > RARE_BITS).mean()),
+        float((says >= RARE_BITS).mean()),
         covered / n,
         sum(c in "aeiou" for c in low) / n,
         float(bool(path and TEST_PATH.search(path))),
@@ -146,7 +148,7 @@ def features(secret: str, kind: str, before: str, after: str, path: str | None,
     return values + [float(kind == k) for k in KINDS] + [float(w in words) for w in NEAR_WORDS]
 
 
-def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str, str, str | None, int]]:
+def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str, str, str | None, int]]:
     """Findings with labels (secret, kind, before, after, path, label), made up from the formats themselves.
 
     Real ones: random strings of each format, assigned or standing in prose. False ones: placeholders, words,
@@ -155,6 +157,7 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
     r = random.Random(seed)
     upper, alnum, hexed = string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, "0123456789abcdef"
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    few = lambda chars: "".join(r.sample(chars, max(6, len(chars) // 3))) if r.random() < 0.3 else chars  # noqa: E731 - some keys repeat letters
     prose = lambda: " ".join(pick(string.ascii_lowercase, r.randint(2, 8)) for _ in range(r.randint(2, 5)))
     path = lambda test: r.choice([None, None, *(["tests/fixtures/a.py", "docs/example.md"] if test else ["src/settings.py", "deploy/prod.env", "app/config.yml"])])
     name = lambda: r.choice(["password", "passwd", "secret", "token", "api_key", "access_key"])
@@ -163,9 +166,9 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
         real, kind = i % 2 == 0, r.choice(KINDS)
         before, after = prose() + " ", " " + prose()
         if kind == "cloud_key_id":
-            s = "AKIA" + (pick(upper, 16) if real else r.choice(["IOSFODNN7EXAMPLE", "X" * 16, "0123456789ABCDEF", pick(upper, 9) + "EXAMPLE"]))
+            s = "AKIA" + (pick(few(upper), 16) if real else r.choice(["IOSFODNN7EXAMPLE", "X" * 16, "0123456789ABCDEF", pick(upper, 9) + "EXAMPLE"]))
         elif kind == "forge_token":
-            s = "ghp_" + (pick(alnum, r.choice([36, 36, 300])) if real else r.choice(["x" * 36, "your_token_here".ljust(36, "0").replace("_", ""), (string.digits * 4)[:36]]))
+            s = "ghp_" + (pick(few(alnum), r.choice([36, 36, 300])) if real else r.choice(["x" * 36, "your_token_here".ljust(36, "0").replace("_", ""), (string.digits * 4)[:36]]))
         elif kind == "chat_token":
             s = "xoxb-" + (f"{pick(string.digits, 12)}-{pick(alnum, 24)}" if real else r.choice(["your-token-goes-here", "0000000000-example", "xxxxxxxxxxxx"]))
         elif kind == "web_token":
@@ -177,7 +180,7 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
         elif kind == "assigned":
             before += f"{name()} {r.choice(['=', ':'])} "
             words = "".join(r.choice(DICTIONARY) for _ in range(r.randint(1, 3))).ljust(8, "0")
-            s = r.choice([pick(alnum, r.randint(10, 40)), pick(alnum, r.randint(200, 600)), pick(hexed, r.choice([16, 18, 20, 32, 40])), pick(hexed.upper() if r.random() < 0.3 else hexed, r.choice([32, 40, 64])), pick(alnum + "!#%&*+-_", r.randint(10, 24))]) if real else r.choice([words, "x" * r.randint(8, 20), "your_password_here", "<placeholder>", "${PASSWORD}", "os.environ[0]", "get_secret()", "********", "12345678", "abcdefgh"])
+            s = r.choice([pick(few(alnum), r.randint(10, 40)), pick(alnum, r.randint(200, 600)), pick(few(hexed), r.choice([16, 18, 20, 32, 40])), pick(hexed.upper() if r.random() < 0.3 else hexed, r.choice([32, 40, 64])), pick(alnum + "!#%&*+-_", r.randint(10, 24))]) if real else r.choice([words, "x" * r.randint(8, 20), "your_password_here", "<placeholder>", "${PASSWORD}", "os.environ[0]", "get_secret()", "********", "12345678", "abcdefgh"])
         elif kind == "url_credential":
             before += f"{r.choice(['https', 'postgres', 'mysql', 'redis', 'ftp'])}://{r.choice(['', pick(string.ascii_lowercase, r.randint(3, 8)) + ':'])}"
             s = r.choice([pick(alnum, r.randint(6, 40)), pick(alnum + "!#%&*+-_", r.randint(8, 24))]) if real else r.choice(["git", "user", "pass", "password", "secret", "xxxx", "****", "${PASSWORD}", "{password}", "changeme", "root"])
@@ -201,14 +204,14 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
     return out
 
 
-def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, str, str | None, int]] | None = None, bits: np.ndarray | None = None, trees: int = 60, depth: int = 10, seed: int = 3):
+def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, str, str | None, int]] | None = None, bits: np.ndarray | None = None, trees: int = 100, depth: int = 8, seed: int = 3):
     """A forest over FEATURES from labelled findings (at most a few thousand, held by the driver)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     rows = [(features(*x[:5], bits), float(x[5])) for x in (findings or labelled_findings())]
     data = spark.createDataFrame(rows, "x array<double>, label double").coalesce(1).select(array_to_vector("x").alias("features"), "label")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2).fit(data)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2, featureSubsetStrategy="onethird").fit(data)
 
 
 def scan(docs: DataFrame, findings: list | None = None, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text", path_column: str | None = None) -> DataFrame:

@@ -116,6 +116,38 @@ def test_tree_fills_up_queries_in_tiny_leaves(spark):
         assert [i for _, i in sorted(found[q])] == np.argsort(-scores, kind="stable")[:20].tolist()
 
 
+def test_tree_grows_with_the_table_and_splits_hot_leaves(spark, monkeypatch):
+    monkeypatch.setattr(ann_tree, "SHARD_ROWS", 64)
+    monkeypatch.setattr(ann_tree, "QUERY_BLOCK", 16)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(1500, 8))
+    x[200:700] = x[200]  # a third of all rows are one vector, and can't be split
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann_tree.usable(table, "vec_id", "embedding")
+    leaves = [ann_tree._grown(rows.where(F.col("vec_id") < n), n, 128, 4, 16, 65_536)[0].leaves for n in (500, 1500)]
+    assert leaves[0] > 8 and leaves[1] > leaves[0]
+    asked = table.where("vec_id % 3 = 0")
+    got: dict[int, list] = {}
+    for q in ann_tree.search(table, asked, k=10, recall=1.0, sample_rows=128, trial_queries=500, branch=4, leaf_rows=16).collect():
+        got.setdefault(q["query_id"], []).append((q["rank"], q["vec_id"]))
+    assert len(got) == 500
+    for q, found in got.items():
+        score = ann_tree.exact_dots(x[q : q + 1], x)[0]
+        score[q] = -np.inf
+        assert [v for _, v in sorted(found)] == np.lexsort((np.arange(1500), -score))[:10].tolist()
+
+
+def test_tree_takes_repeated_rows_and_queries(spark):
+    x, table = vectors(spark, 100)
+    again = table.unionByName(table.where("vec_id in (3, 7)"))
+    got = ann_tree.search(again, again.where("vec_id in (3, 20)"), k=20, recall=1.0, leaf_rows=10).orderBy("query_id", "rank").collect()
+    assert Counter(r["query_id"] for r in got) == {3: 20, 20: 20}
+    for q in (3, 20):
+        score = x @ x[q]
+        wanted = [i for i in np.lexsort((np.arange(100), -score)) for _ in range(2 if i in (3, 7) else 1) if i != q][:20]
+        assert [r["vec_id"] for r in got if r["query_id"] == q] == wanted
+
+
 # -- 2 --------------------------------------------------------------------------------------------------------------
 
 
@@ -236,35 +268,130 @@ def test_candidates_are_whole_whatever_their_length():
     assert not secret_scan.candidates("plain words of a bearer, aaaaaaaaaaaaaaaaaaaaaaaaaaaa and https://host.example/path")
 
 
+def plain_candidates(text):
+    """Each kind's matches found by trying every position, without any other help; earlier kinds have precedence."""
+    taken = []
+    for kind, pattern in secret_scan.RULES.items():
+        pattern, at = re.compile(pattern), 0
+        while at <= len(text):
+            m = pattern.match(text, at)
+            if not m:
+                at += 1
+                continue
+            at = max(m.end(), at + 1)
+            a, b = m.span("s")
+            if kind in ("assigned", "bearer"):
+                b = a + max(1, len(text[a:b].rstrip(".,;:)]}*#&%$!")))
+            n = Counter(text[a:b])
+            bits = -sum(c / (b - a) * np.log2(c / (b - a)) for c in n.values())
+            fits = (b - a >= 8 or kind == "url_credential") and (kind != "high_entropy" or bits >= 3)
+            if fits and all(b <= x or y <= a for x, y, _ in taken):
+                taken.append((a, b, kind))
+    return [(k, a, b) for a, b, k in sorted(taken)]
+
+
+def test_candidates_against_every_position():
+    found = 0
+    for s, _, before, after, _, _ in secret_scan.labelled_findings(400, seed=5):
+        text = f"plain {before}{s[:1500]}{after} words, token = {s[:30]}; end"
+        assert secret_scan.candidates(text) == plain_candidates(text)
+        found += len(plain_candidates(text))
+    assert found > 400
+
+
+def test_transitions_are_counted_within_texts(spark):
+    texts = ["abAB", None, "", "b", "éa b"] * 3
+    counts = secret_scan.transition_counts(spark.createDataFrame([(x,) for x in texts], "text string").repartition(3))
+    wanted = np.zeros((256, 256))
+    for x in texts:
+        raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (x or "").encode())
+        for a, b in zip(raw, raw[1:]):
+            wanted[a, b] += 1
+    assert (counts == wanted).all()
+    bits = secret_scan.transition_bits(wanted)
+    assert np.allclose((2.0**-bits).sum(1), 1) and bits[97, 110] < bits[97, 122]
+
+
+def test_scan_takes_empty_tables_long_texts_and_repeated_ids(spark):
+    secret = "ghp_" + "aB3dE6gH9j" * 4
+    rows = [(1, "word " * 200_000 + secret, "tests/a"), (1, secret, "src/b"), (1, secret, "src/b")]
+    got = secret_scan.scan(docs(spark, rows), path_column="source").collect()
+    assert sorted((r["doc_id"], r["start"], r["secret"]) for r in got) == [(1, 0, secret), (1, 0, secret), (1, 1_000_000, secret)]
+    assert secret_scan.scan(docs(spark, [])).count() == 0
+
+
 # -- 5 --------------------------------------------------------------------------------------------------------------
 
 
 def test_block_max_search_is_exact():
     r = random.Random(5)
-    vectors = [{t: r.randint(1, 4) for t in r.sample(range(30), r.randint(1, 5))} for _ in range(500)]
-    index = toxicity.Index(vectors, [i % 2 for i in range(500)], list(range(500)), (1.0, 1.0), np.linspace(1, 3, 30), k=7)
-    units = np.zeros((500, 30))
+    vectors = [{t: r.randint(1, 4) for t in r.sample(range(60), r.randint(1, 8)) if t < 10 or r.random() < 0.3} or {3: 1} for _ in range(500)]
+    index = toxicity.Index(vectors, np.arange(500) % 2, np.arange(500), (1.0, 1.0), np.linspace(1, 3, 60), k=7)
+    assert 0 < (index.frequent >= 0).sum() < 60  # lists of both kinds
+    units = np.zeros((500, 60))
     for i, v in enumerate(vectors):
         units[i, index.unit(v)[0]] = index.unit(v)[1]
     for v in vectors[:60]:
         at, w = index.unit(v)
         row, sim = index.nearest(at, w)
-        q = np.zeros(30)
+        q = np.zeros(60)
         q[at] = w
         true = np.sort(units @ q)[::-1]
-        wanted = {i for i in range(500) if units[i] @ q >= true[6] - 1e-9}
+        wanted = {i for i in range(500) if units[i] @ q >= true[6] - 1e-9 and units[i] @ q > 0}
         assert {int(index.ids[x]) for x in row} == wanted and abs(np.sort(sim)[::-1][0] - true[0]) < 1e-9
 
 
-def test_terms_found_are_all_terms():
-    vocabulary = toxicity.Vocabulary({"idiot$": 0, "idio": 1, "lowei": 2, "été$": 3})
-    text = "Idiot! xidiot idiots LOWEIX; lowei_lowei été étés 9idiot"
-    found: dict[int, int] = {}
-    for word, n in toxicity.text_words(text).items():
-        for t in toxicity.word_terms(word):
-            if t in vocabulary.terms:
-                found[vocabulary.terms[t]] = found.get(vocabulary.terms[t], 0) + n
-    assert vocabulary.counts(text) == found and vocabulary.counts(None) == {}
+def plain_toxicity(texts, labelled, k=toxicity.NEIGHBOURS):
+    """Votes and rates as ``toxicity`` has them, over dense vectors of all words of the labelled texts (id: (text, label))."""
+    split = lambda x: Counter(re.findall(r"[^\W\d_]+", (x or "").lower()))
+    ids = sorted(labelled)
+    vocabulary = {w: i for i, w in enumerate(sorted({w for i in ids for w in split(labelled[i][0])}))}
+    df = np.array([sum(w in split(x) for x in texts) for w in vocabulary], float)
+    idf = np.log((1 + len(texts)) / (1 + df)) + 1e-3
+    counts = lambda x: np.array([split(x)[w] for w in vocabulary], float)
+    table, y = np.array([counts(labelled[i][0]) for i in ids]), np.array([labelled[i][1] for i in ids])
+
+    def votes(own, labels, asked):
+        n, a, p = (own > 0).sum(0), (own[labels == 1] > 0).sum(0), labels.mean()
+        weight = idf * (1 + np.maximum(0, (a - n * p) / np.sqrt(np.maximum(n, 1) * p * (1 - p))))
+        unit = lambda m: (v := np.where(m > 0, (1 + np.log(np.maximum(m, 1))) * weight, 0)) / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
+        out = []
+        for c in unit(asked) @ unit(own).T:
+            near = (c > 0) & (c >= np.sort(c)[::-1][min(k, len(c)) - 1] - 1e-9)
+            out.append((c * labels)[near].sum() / c[near].sum() if near.any() else -1.0)
+        return np.array(out)
+
+    fold = np.arange(len(ids)) % toxicity.FOLDS
+    own = np.zeros(len(ids))
+    for f in range(toxicity.FOLDS):
+        own[fold == f] = votes(table[fold != f], y[fold != f], table[fold == f])
+    blocks = []
+    for v, label in sorted(zip(own, y)):
+        if v >= 0:
+            blocks.append([v, label, 1])
+            while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
+                last = blocks.pop()
+                blocks[-1] = [p + q for p, q in zip(blocks[-1], last)]
+    bare = (1 + (y[own < 0] == 1).sum()) / (20 + (own < 0).sum())
+    got = votes(table, y, np.array([counts(x) for x in texts]))
+    return np.where(got < 0, bare, np.interp(got, [b[0] / b[2] for b in blocks], [(b[1] + 0.5) / (b[2] + 1) for b in blocks]))
+
+
+def test_toxicity_against_dense_vectors(spark):
+    r = random.Random(9)
+    plain = [f"wort{c}{d}" for c in "abcdefgh" for d in "ijklmnop"] + ["über", "niño"]
+    rows, labels = [], {}
+    for i in range(300):
+        bad = r.random() < 0.3
+        rows.append((i, " ".join([r.choice(plain) for _ in range(r.randint(1, 25))] + ["Scum"] * (bad and r.random() < 0.9)), "a"))
+        labels[i] = int(bad)
+    rows += [(400, None, "a"), (401, "", "a"), (402, "unheard 99", "a"), (403, "wortai " * 50_000 + "scum", "a")]
+    y = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    got = {g["doc_id"]: g for g in toxicity.scores(docs(spark, rows), y).collect()}
+    learnt = {i: (rows[i][1], labels[i]) for i in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    wanted = plain_toxicity([x[1] for x in rows], learnt)
+    assert max(abs(got[x[0]]["toxicity"] - w) for x, w in zip(rows, wanted)) < 1e-6
+    assert all(got[i]["evidence_ids"] for i in [*range(300), 403]) and not any(got[i]["evidence_ids"] for i in (400, 401, 402))
 
 
 def test_toxicity_learns_and_holds_out(spark):
@@ -302,11 +429,11 @@ def one_edit(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def plain_line_dedup(rows):
+def plain_line_dedup(rows, near=10):
     lines = [(i, k, [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(x)]) for i, t in sorted({(r[0], r[1] or "") for r in rows}) for k, x in enumerate(t.split("\n"))]
     out: dict[int, list[int]] = {}
     for n, (i, k, w) in enumerate(lines):
-        if len(w) >= 5 and any(v == w or len(w) >= 10 and len(v) >= 10 and one_edit(v, w) for _, _, v in lines[:n]):
+        if len(w) >= 5 and any(v == w or len(w) >= near and len(v) >= near and one_edit(v, w) for _, _, v in lines[:n]):
             out.setdefault(i, []).append(k)
     return out
 
@@ -325,6 +452,17 @@ def test_line_dedup(spark):
     assert line_dedup.line_report(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_splits_hot_keys_and_compares_words(spark):
+    footer = lambda i: f"this is page {i} of our very long report today"
+    rows = [(i, f"{footer(i)}\nown line number x{i} y{i} z{i} u{i} v{i} w{i} t{i}", "a") for i in range(400)]
+    rows += [(1000 + i, " ".join(footer(i).split()[:-1]), "a") for i in range(5)] + [(2000, None, "a"), (None, footer(7), "a")]
+    table, wanted = docs(spark, rows), plain_line_dedup([x for x in rows if x[0] is not None], 9)
+    assert len(wanted) > 300
+    for options in ({}, {"hot_lines": 40}, {"hot_lines": 40, "key_bits": 14}, {"key_bits": 16}):
+        got = {r["doc_id"]: r["dropped_lines"] for r in line_dedup.line_report(table, near_words=9, **options).collect()}
+        assert got.pop(None) == [0] and {i: x for i, x in got.items() if x} == wanted, options
+
+
 def test_line_dedup_query_takes_short_lines(spark, tmp_path):
     r = random.Random(11)
     rows = corpus(60) + [(100 + i, "\n".join(" ".join(r.choice("abcdefghij") for _ in range(r.randint(0, 9))) for _ in range(r.randint(1, 4))), "a") for i in range(40)]
