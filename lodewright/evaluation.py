@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewright.functions.arrow import normalize_dates, stem_text, stemmed
+from lodewright.functions.lineage import checkpointed
 from lodewright.functions.text import clean_turtle, strip_fences
 from lodewright.operators import failure_modes as fm
 from lodewright.operators import graphs, matching, metrics
@@ -37,14 +37,6 @@ def _by_system(joint: DataFrame) -> DataFrame:
     return joint.withColumns({"system": parts[0], "graph_id": parts[1]})
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder: read once by every metric, with a short plan, and there if an executor is lost."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodewright-"))
-    return df.checkpoint()
-
-
 def read_graphs(items: DataFrame, outputs: DataFrame, ontology: DataFrame | None = None, today: str = "2000-01-01", keep: Callable[[DataFrame], DataFrame] = checkpointed) -> Graphs:
     """items: text_id, domain, text, gold. outputs: system, text_id, output (not empty).
 

@@ -60,7 +60,7 @@ def with_default_prefixes(text: Column) -> Column:
 
 def dedupe_prefixes(text: Column) -> Column:
     """Keeps the first whole-line ``@prefix`` declaration of each name; an array fold, without a shuffle."""
-    declared = r"^\s*@prefix\s+([A-Za-z0-9_-]*):\s*<[^>]*>\s*\.\s*$"
+    declared = r"(?U)^\s*@prefix\s+(\S+)\s+<[^>]+>\s*\.\s*$"  # the name is any run of non-blanks, with its colon
     lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.when(x.rlike(declared), F.regexp_extract(x, declared, 1)).alias("name")))
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("kept"))
 
@@ -77,6 +77,7 @@ def clean_turtle(text: Column) -> Column:
     return dedupe_prefixes(with_default_prefixes(strip_fences(text)))
 
 
+#: Fixed: the declarations that count are those of this form.
 PREFIX_PATTERN = r"@prefix\s+([A-Za-z][A-Za-z0-9_-]*)\s*:\s*<([^>]*)>\s*\."
 
 

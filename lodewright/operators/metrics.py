@@ -75,18 +75,20 @@ def sensitivity_summary(rows: DataFrame, parsed: Column | None = None) -> DataFr
     return out.withColumns({"delta_p": rounded(F.col("f1_p_no_sameas") - F.col("f1_p_full"), 4), "delta_all": rounded(F.col("f1_all_no_sameas") - F.col("f1_all_full"), 4)})
 
 
-def bootstrap_by_index(values: DataFrame, iterations: int = 1000, alpha: float = 0.05, a: int = 7919, b: int = 104_729, c: int = 12_345) -> DataFrame:
-    """(system, n, mean, ci_lo, ci_hi) from resamples with index (a*iteration + b*slot^2 + c*slot*iteration) mod n.
+def bootstrap_by_hash(values: DataFrame, iterations: int = 10_000, alpha: float = 0.05, seed: int = 20260507) -> DataFrame:
+    """(system, n, mean, ci_lo, ci_hi) from resamples drawn by hash: slot = md5(seed|system|iteration|k) mod n.
 
     values: system, slot (from 0, gapless), value. Bounds are order statistics of the sorted means, not
-    interpolated. The draws are rows of a join on (system, slot), so that no task holds them all.
+    interpolated. The draws are rows of a join on (system, slot), so that no task holds them all; a mean is a sum over a
+    count of its own, and doesn't depend on the order of its rows beyond 12 places.
     """
     spark = values.sparkSession
     sizes = values.groupBy("system").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     grid = spark.range(iterations).withColumnRenamed("id", "it").crossJoin(F.broadcast(sizes))  # a row a system
     draws = grid.select("system", "n", "it", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    drawn = draws.select("system", "n", "it", F.pmod(a * F.col("it") + b * F.col("k") * F.col("k") + c * F.col("k") * F.col("it"), F.col("n")).alias("slot"))
-    means = drawn.join(values, ["system", "slot"]).groupBy("system", "n", "it").agg(F.avg("value").alias("m"))
+    name = F.concat_ws("|", F.lit(str(seed)), "system", F.col("it").cast("string"), F.col("k").cast("string"))
+    drawn = draws.select("system", "n", "it", (F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("long") % F.col("n")).alias("slot"))
+    means = drawn.join(values, ["system", "slot"]).groupBy("system", "n", "it").agg(F.round(F.avg("value"), 12).alias("m"))
     placed = means.withColumn("at", F.row_number().over(Window.partitionBy("system").orderBy("m", "it")) - 1)
     low, high = int(iterations * alpha / 2), min(iterations - 1, int(iterations * (1 - alpha / 2)))
     bounds = placed.groupBy("system").agg(F.max(F.when(F.col("at") == low, F.col("m"))).alias("ci_lo"), F.max(F.when(F.col("at") == high, F.col("m"))).alias("ci_hi"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodewright.functions.lineage import checkpointed
 from lodewright.functions.text import RDF_TYPE, RDFS_LABEL, local_name, namespace, severity_name
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -69,22 +70,21 @@ def ontology_namespace(onto: DataFrame, prefixes: DataFrame | None = None) -> Da
     return own.unionByName(other).orderBy("rank").limit(1).select("namespace")
 
 
-def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(sub, sup): the reflexive and transitive closure of (sub, sup) edges, by a recursive query; cycles end it as well.
+def closure(edges: DataFrame) -> DataFrame:
+    """(sub, sup): the reflexive and transitive closure of (sub, sup) edges of any depth; cycles are allowed.
 
-    Schema edges, not data: the depth of a class tree bounds the steps.
+    Paths double in length with each step, and every pair is kept once, until no new one comes up.
     """
-    edges.select("sub", "sup").distinct().createOrReplaceTempView("_closure_edges")
-    return spark.sql(
-        """
-        WITH RECURSIVE up(sub, sup, depth) AS (
-          SELECT DISTINCT x AS sub, x AS sup, 0 AS depth FROM (SELECT sub AS x FROM _closure_edges UNION SELECT sup FROM _closure_edges)
-          UNION ALL
-          SELECT up.sub, e.sup, up.depth + 1 FROM up JOIN _closure_edges e ON e.sub = up.sup WHERE up.depth < 32 AND e.sup <> up.sub
-        )
-        SELECT DISTINCT sub, sup FROM up
-        """
-    )
+    edges = edges.select("sub", "sup").distinct()
+    nodes = edges.select("sub").unionByName(edges.select(F.col("sup").alias("sub"))).distinct()
+    found = checkpointed(edges.unionByName(nodes.select("sub", F.col("sub").alias("sup"))).distinct())
+    size = found.count()
+    while True:
+        longer = found.join(found.select(F.col("sub").alias("sup"), F.col("sup").alias("above")), "sup").select("sub", F.col("above").alias("sup"))
+        found, before = checkpointed(longer.distinct()), size  # each pair is its own path with a loop, so none is lost
+        size = found.count()
+        if size == before:
+            return found
 
 
 def shapes_from_schema(onto: DataFrame) -> DataFrame:
@@ -146,6 +146,24 @@ def inferred_types(data: DataFrame, subclasses: DataFrame | None = None) -> Data
     return stated.unionByName(above).distinct()
 
 
+def rdfs_types(data: DataFrame, schema: DataFrame) -> DataFrame:
+    """(graph_id, node, class): types by RDFS: stated, by domains and ranges of properties and of those above them, and by subclasses.
+
+    ``schema``: triples (s, p, o, o_kind) with subClassOf, subPropertyOf, domain and range.
+    """
+    edges = lambda p: schema.where((F.col("p") == RDFS + p) & (F.col("o_kind") == "uri")).select(F.col("s").alias("sub"), F.col("o").alias("sup"))
+    ends = lambda p: edges(p).select(F.col("sub").alias("p"), F.col("sup").alias("class"))
+    above = closure(edges("subPropertyOf")).select(F.col("sub").alias("p"), "sup")
+    own = data.select("graph_id", "s", "p", "o_kind", "o")
+    wider = own.unionByName(own.join(above, "p").select("graph_id", "s", F.col("sup").alias("p"), "o_kind", "o"))
+    by_domain = wider.join(ends("domain"), "p").select("graph_id", F.col("s").alias("node"), "class")
+    by_range = wider.where("o_kind <> 'literal'").join(ends("range"), "p").select("graph_id", F.col("o").alias("node"), "class")
+    stated = data.where(F.col("p") == RDF_TYPE).select("graph_id", F.col("s").alias("node"), F.col("o").alias("class"))
+    types = stated.unionByName(by_domain).unionByName(by_range).distinct()
+    parents = closure(edges("subClassOf")).select(F.col("sub").alias("class"), "sup")
+    return types.unionByName(types.join(parents, "class").select("graph_id", "node", F.col("sup").alias("class"))).distinct()
+
+
 def _targets(types: DataFrame, shapes: DataFrame) -> DataFrame:
     return types.withColumnRenamed("class", "target_class").join(shapes.where("path is not null"), "target_class")
 
@@ -177,9 +195,9 @@ def count_violations(data: DataFrame, shapes: DataFrame, types: DataFrame) -> Da
     return both.select("graph_id", F.col("node").alias("focus_node"), "path", F.lit(None).cast("string").alias("value"), message.alias("message")).where("message is not null").distinct()
 
 
-def violations(data: DataFrame, shapes: DataFrame, subclasses: DataFrame | None = None) -> DataFrame:
-    """All violations, with severity; a graph conforms if it has none."""
-    types = inferred_types(data, subclasses)
+def violations(data: DataFrame, shapes: DataFrame, subclasses: DataFrame | None = None, schema: DataFrame | None = None) -> DataFrame:
+    """All violations, with severity; a graph conforms if it has none. With a ``schema`` types follow by all of RDFS."""
+    types = inferred_types(data, subclasses) if schema is None else rdfs_types(data, schema)
     all_ = class_violations(data, shapes, types).unionByName(datatype_violations(data, shapes, types)).unionByName(count_violations(data, shapes, types))
     return all_.withColumn("severity", F.lit("Violation"))
 
@@ -209,7 +227,7 @@ def repair_loop(docs: DataFrame, check: Callable[[DataFrame], DataFrame], repair
     """
     pending, done = docs, None
     for i in range(1, rounds + 1):
-        state = check(pending).cache()
+        state = checkpointed(check(pending))
         last = i == rounds
         ended = state.where("total_violations = 0" if not last else "true").select("graph_id", F.lit(i).alias("iterations"), (F.col("total_violations") == 0).alias("passed"), "total_violations")
         done = ended if done is None else done.unionByName(ended)

@@ -182,12 +182,15 @@ def pred_rdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rdf_spark(salted.where("mark % 3 <> 0"), _PRED, "system")
 
 
-RDF_SQL = f"""WITH RECURSIVE {BASE_SQL}, salted AS (SELECT base.*, system, c + m AS mark FROM base, systems WHERE (c + m) % 3 <> 0),
+_RDF_BODY = f"""salted AS (SELECT base.*, system, c + m AS mark FROM base, systems WHERE (c + m) % 3 <> 0),
 grdf AS (
   {_rdf_sql("base", _GOLD)}
 ), prdf AS (
   {_rdf_sql("salted", _PRED, "system, ")}
 )"""
+RDF_SQL = f"WITH RECURSIVE {BASE_SQL}, {_RDF_BODY}"
+#: Label triples and RDF triples together.
+BOTH_SQL = f"{TRIPLES_SQL}, {_RDF_BODY}"
 
 
 def local_sql(x: str) -> str:
@@ -228,15 +231,14 @@ def _turtle_text(no, defect, name):
     )
 
 
-def _turtle_sql() -> str:
+def _turtle_case(no: str, name: str) -> str:
+    """The text by its defect d, as ``_turtle_text`` makes it."""
     nl = "chr(10)"
     q = lambda text: "(" + f" || {nl} || ".join(f"'{part}'" for part in text.split("\n")) + ")"
-    no = "CAST(p_partkey AS VARCHAR)"
-    body = f"('ex:p' || {no} || ' a ex:Part ;' || {nl} || '  rdfs:label \"' || p_name || '\"@en ;' || {nl} || '  ns1:number ' || {no} || ' .' || {nl})"
+    body = f"('ex:p' || {no} || ' a ex:Part ;' || {nl} || '  rdfs:label \"' || {name} || '\"@en ;' || {nl} || '  ns1:number ' || {no} || ' .' || {nl})"
     head = q(_HEAD)
     fence = "'```'"
-    return f"""tdocs AS (
-  SELECT p_partkey AS graph_id, d AS defect, p_name AS name, CASE d
+    return f"""CASE d
     WHEN 'ok' THEN {head} || {body}
     WHEN 'fenced' THEN 'Here it is:' || {nl} || {fence} || 'turtle' || {nl} || {head} || {body} || {fence} || {nl} || 'Done.'
     WHEN 'dup_prefix' THEN {head} || '@prefix ex: <http://other.org/> .' || {nl} || {body}
@@ -244,9 +246,30 @@ def _turtle_sql() -> str:
     WHEN 'undeclared' THEN {head} || {body} || 'ex:a foaf:name ex:b .' || {nl}
     WHEN 'truncated' THEN {head} || {body} || 'ex:a ex:b'
     WHEN 'invalid_ns' THEN {head} || '@prefix ns3: <ns3:> .' || {nl} || '@prefix own: <http://own.org/> .' || {nl} || {body}
-    ELSE '' END AS text
-  FROM (SELECT *, list_extract(['ok', 'fenced', 'dup_prefix', 'no_prefix', 'undeclared', 'truncated', 'invalid_ns', 'empty'], CAST(p_partkey % 8 AS INT) + 1) AS d FROM part)
-)"""
+    ELSE '' END"""
+
+
+_DEFECTS_SQL = "[" + ", ".join(f"'{d}'" for d in DEFECTS) + "]"
+
+
+def _turtle_sql() -> str:
+    return f"""tdocs AS (SELECT p_partkey AS graph_id, d AS defect, p_name AS name, {_turtle_case("CAST(p_partkey AS VARCHAR)", "p_name")} AS text
+  FROM (SELECT *, list_extract({_DEFECTS_SQL}, CAST(p_partkey % {len(DEFECTS)} AS INT) + 1) AS d FROM part))"""
+
+
+def pred_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph_id (a system and a text), text_id, system, defect, text: each system's Turtle answer for each text, some of them empty."""
+    n = F.substring("text_id", 2, 20).cast("long")
+    both = items(spark, sf_dir).crossJoin(F.broadcast(_salted(spark)))  # three systems
+    defect = F.element_at(F.array(*map(F.lit, DEFECTS)), ((n + 3 * F.col("m")) % len(DEFECTS)).cast("int") + 1)
+    text = _turtle_text(n, defect, F.col("text_id"))
+    links = F.when(text != "", F.concat(text, F.repeat(F.lit("# owl:sameAs\n"), (n % 3).cast("int")))).otherwise(text)
+    return both.select(F.concat_ws("|", "system", "text_id").alias("graph_id"), "text_id", "system", defect.alias("defect"), links.alias("text"))
+
+
+PRED_DOCS_SQL = f"""pdocs AS (SELECT system || '|' || text_id AS graph_id, text_id, system, defect, CASE WHEN text = '' THEN '' ELSE text || repeat('# owl:sameAs' || chr(10), CAST(n % 3 AS INT)) END AS text FROM (
+  SELECT text_id, system, n, d AS defect, {_turtle_case("CAST(n AS VARCHAR)", "text_id")} AS text FROM (
+    SELECT *, list_extract({_DEFECTS_SQL}, CAST((n + 3 * m) % {len(DEFECTS)} AS INT) + 1) AS d FROM (SELECT text_id, system, m, CAST(substr(text_id, 2) AS BIGINT) AS n FROM items, systems))))"""
 
 
 TURTLE_SQL = f"WITH {_turtle_sql()}"
