@@ -47,6 +47,13 @@ def test_terms_and_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("V1", "a", "```\né\n```")], "system string, text_id string, output string")
     files.write_predictions(rows, str(tmp_path / "out"))
     assert "é" in next((tmp_path / "out/system=V1").glob("*.json")).read_text()
+    many = spark.createDataFrame([(s, f"t{i}", f"<a> <b> {i} .") for s in ("V1", "V2") for i in range(6)], "system string, text_id string, output string").coalesce(2)
+    files.write_predictions(many, str(tmp_path / "many"))
+    back = files.read_predictions(spark, str(tmp_path / "many"))
+    assert sorted(map(tuple, back.select(*many.columns).collect())) == sorted(map(tuple, many.collect()))
+    (tmp_path / "lines/V9").mkdir(parents=True)
+    (tmp_path / "lines/V9/all.json").write_text('{"id": "a", "output": "x"}\n{"id": "b", "output": "y"}\n')
+    assert sorted(map(tuple, files.read_predictions(spark, str(tmp_path / "lines"), lines=True).collect())) == [("V9", "a", "x"), ("V9", "b", "y")]
     files.write_csv(rows.select("system", "text_id"), str(tmp_path / "csv"))
     assert files.read_results(spark, str(tmp_path / "csv"), "csv").count() == 1
     (tmp_path / "V1.json").write_text(json.dumps({"p": 1.0, "details": [{"id": "a", "f1": 0.5}]}))

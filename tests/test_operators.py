@@ -1,8 +1,10 @@
+import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from lodewright.functions.arrow import smart_similarity
+from lodewright.functions.arrow import native_similarity, smart_similarity
 from lodewright.operators import graphs, matching, metrics, ontology, pipeline, report
 from lodewright.sources import turtle
 
@@ -63,9 +65,10 @@ def test_labels(spark):
 def test_entity_recall_and_types_fuzzy(spark):
     systems = spark.createDataFrame([("V",)], "system string")
     gold = spark.createDataFrame([("t", "Berlin"), ("t", "Paris"), ("t", "architecture")], "text_id string, label string")
-    pred = spark.createDataFrame([("t", "V", "BERLIN"), ("t", "V", "architectures")], "text_id string, system string, label string")
-    assert matching.entity_recall(gold, pred, systems).first()["matched"] == 2
-    assert matching.entity_recall(gold, pred, systems, fuzzy=False).first()["matched"] == 1
+    pred = spark.createDataFrame([("t", "V", "BERLIN"), ("t", "V", "architectures"), ("t", "V", "pariss")], "text_id string, system string, label string")
+    assert matching.entity_recall(gold, pred, systems).first()["matched"] == 3
+    pred = pred.where("label <> 'architectures'").unionByName(spark.createDataFrame([("t", "V", "architektura")], pred.schema))
+    assert matching.entity_recall(gold, pred, systems, ratio=False).first()["matched"] == 2
     g = spark.createDataFrame([("t", "Berlin", ["A", "B"], 0), ("t", "Paris", ["A"], 1)], "text_id string, label string, types array<string>, seq long")
     p = spark.createDataFrame([("t", "V", "Berlin wall", ["C"], 0), ("t", "V", "berlin", ["A", "C"], 1)], "text_id string, system string, label string, types array<string>, seq long")
     row = matching.type_scores(g, p, systems).first()
@@ -74,8 +77,11 @@ def test_entity_recall_and_types_fuzzy(spark):
 
 def test_bootstrap(spark):
     values = spark.createDataFrame([("V", i, float(i)) for i in range(10)], "system string, slot long, value double")
-    row = metrics.bootstrap_by_index(values, 100).first()
+    row = metrics.bootstrap_by_hash(values, 100).first()
     assert row["n"] == 10 and row["ci_lo"] <= row["mean"] <= row["ci_hi"]
+    draws = lambda it: [int(hashlib.md5(f"20260507|V|{it}|{k}".encode()).hexdigest()[:12], 16) % 10 for k in range(10)]
+    means = sorted(sum(draws(it)) / 10 for it in range(100))
+    assert (row["ci_lo"], row["ci_hi"]) == pytest.approx((means[2], means[97])) and len({tuple(draws(it)) for it in range(100)}) == 100
     assert metrics.bootstrap_seeded([("x", [])])[0]["mean"] == 0.0
     again = [metrics.bootstrap_seeded([("x", [0.0, 1.0, 0.5])], 200) for _ in range(2)]
     assert again[0] == again[1]
@@ -94,11 +100,44 @@ def test_violations_and_status(spark):
     shapes = spark.createDataFrame([("http://e/C", "http://e/p", "http://e/D", None, 1, 1), ("http://e/C", "http://e/q", None, None, 1, None)], ontology.SHAPES)
     assert sorted(r["path"] for r in ontology.violations(data, shapes).collect()) == ["http://e/p", "http://e/q"]
     edges = spark.createDataFrame([("http://e/X", "http://e/D")], "sub string, sup string")
-    assert [r["path"] for r in ontology.violations(data, shapes, ontology.closure(spark, edges)).collect()] == ["http://e/q"]
+    assert [r["path"] for r in ontology.violations(data, shapes, ontology.closure(edges)).collect()] == ["http://e/q"]
+
+
+def test_closure_of_a_long_chain_and_of_diamonds(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(40)]
+    assert ontology.closure(spark.createDataFrame(chain, "sub string, sup string")).count() == 41 * 42 // 2
+    diamonds = [(f"d{i}", f"{x}{i}") for i in range(12) for x in "lr"] + [(f"{x}{i}", f"d{i + 1}") for i in range(12) for x in "lr"]
+    found = ontology.closure(spark.createDataFrame(diamonds, "sub string, sup string"))
+    assert found.where("sub = 'd0'").count() == 1 + 12 * 3 and found.count() == found.distinct().count()
+    cycle = ontology.closure(spark.createDataFrame([("a", "b"), ("b", "a")], "sub string, sup string"))
+    assert {(r["sub"], r["sup"]) for r in cycle.collect()} == {(x, y) for x in "ab" for y in "ab"}
+    assert ontology.closure(spark.createDataFrame([], "sub string, sup string")).count() == 0
+
+
+def test_rdfs_types(spark):
+    text = """@prefix e: <http://e/> . @prefix r: <http://www.w3.org/2000/01/rdf-schema#> .
+    e:q r:subPropertyOf e:p . e:p r:domain e:A ; r:range e:B . e:A r:subClassOf e:C . e:x e:q e:y . e:z e:p "text" ."""
+    g = turtle.parse_turtle(spark.createDataFrame([("g", text)], "graph_id string, text string"))
+    got = {(r["node"][-1], r["class"][-1]) for r in ontology.rdfs_types(g, g).collect()}
+    assert got == {("x", "A"), ("x", "C"), ("z", "A"), ("z", "C"), ("y", "B")}
+    shapes = spark.createDataFrame([("http://e/C", "http://e/name", None, None, 1, None)], ontology.SHAPES)
+    assert {r["focus_node"] for r in ontology.violations(g, shapes, schema=g).collect()} == {"http://e/x", "http://e/z"}
+
+
+def test_greedy_compares_few_pairs():
+    asked = []
+
+    def like(a, b):
+        asked.append((a, b))
+        return native_similarity(a, b)
+
+    pred = [(f"s{i}", f"o{i % 20}") for i in range(400)]
+    found = matching.first_free(pred, pred, like)
+    assert found == [(i, i) for i in range(400)] and len(asked) < 400 * 400 / 10 and len(asked) == len(set(asked))
 
 
 def test_closure_with_a_cycle(spark):
-    got = ontology.closure(spark, spark.createDataFrame([("a", "b"), ("b", "c")], "sub string, sup string"))
+    got = ontology.closure(spark.createDataFrame([("a", "b"), ("b", "c")], "sub string, sup string"))
     assert {(r["sub"], r["sup"]) for r in got.collect()} == {("a", "a"), ("b", "b"), ("c", "c"), ("a", "b"), ("b", "c"), ("a", "c")}
 
 

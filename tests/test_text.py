@@ -21,6 +21,19 @@ def test_dedupe_prefixes_keeps_the_first(spark):
     assert one(spark, text.dedupe_prefixes, raw) == "@prefix a: <x> .\na:b a:c 1 .\n @prefix b: <z> ."
 
 
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("@prefix a.b: <x> .\n@prefix a.b: <y> .", "@prefix a.b: <x> ."),
+        ("@prefix ex:<x> .\n@prefix ex:<y> .", "@prefix ex:<x> .\n@prefix ex:<y> ."),
+        ("@prefix ex: <> .\n@prefix ex: <> .", "@prefix ex: <> .\n@prefix ex: <> ."),
+        ("@prefix ex: <x> . a b c .\n@prefix ex: <x> .", "@prefix ex: <x> . a b c .\n@prefix ex: <x> ."),
+    ],
+)
+def test_declarations_are_whole_lines_of_any_name(spark, raw, want):
+    assert one(spark, text.dedupe_prefixes, raw) == want
+
+
 def test_default_prefixes_only_where_none_and_numbered(spark):
     assert one(spark, text.clean_turtle, "ns1:a ns1:b 1 .").startswith("@prefix ns1:")
     assert one(spark, text.clean_turtle, "<x> <y> 1 .") == "<x> <y> 1 ."
