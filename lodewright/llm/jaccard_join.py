@@ -16,10 +16,11 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb, exp, factorial, sqrt
+from math import comb, exp, factorial, log, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ COMMON_SETS = 4
 MOST_COMMON = 500_000
 BUCKET_KEYS = 1_000_000
 MOST_SMALL = 24
+SALTS = 32
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -230,6 +232,33 @@ def _linked(sets: list[np.ndarray], left: int, num: int, den: int) -> tuple[np.n
     return i, j + left
 
 
+def thinned(key: np.ndarray, owner: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's keys in ascending order with their owners, and links a-b between owners that share one.
+
+    Of the owners of a key, neighbours by size whose sizes allow a link are linked at once. Then only the smallest and
+    the largest in each range of sizes, ranges in which all sizes allow a link, need meet the owners from elsewhere:
+    whoever could link with one between them can link with one of them. So a key that very many sets have is thinned out
+    before it is shuffled.
+    """
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    again = np.r_[False, key[1:] == key[:-1]]
+    again |= np.r_[again[1:], False]
+    at = np.flatnonzero(again)
+    by = at[np.lexsort((size[owner[at]], key[at]))]
+    owner[at] = owner[by]
+    n = size[owner[at]].astype(np.int64)
+    same = key[at][1:] == key[at][:-1]
+    link = np.flatnonzero(same & (den * n[:-1] >= num * n[1:]) & (owner[at][1:] != owner[at][:-1])) if len(at) else np.zeros(0, np.int64)
+    a, b = owner[at][link], owner[at][link + 1]
+    ranges = np.floor(np.log(np.maximum(n, 1)) / (log(den / num) * (1 - 1e-9)))
+    first = np.r_[True, ~same | (ranges[1:] != ranges[:-1])] if len(at) else np.zeros(0, bool)
+    last = np.r_[first[1:], True] if len(at) else first
+    keep = ~again
+    keep[at[first | last]] = True
+    return key[keep], owner[keep], a, b
+
+
 def shingle_rows(docs: DataFrame, n: int, id_column: str, text_column: str, only: str | None = None) -> DataFrame:
     """doc_id, d1, d2 (digests of the set), n_shingles, often; for empty sets the digests are null.
 
@@ -264,6 +293,8 @@ def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def candidate_edges(texts: DataFrame, n: int, sent, buckets: int) -> DataFrame:
     """(a, b): digests of sets that share a key, as chains along each key's sets by size; linear in the keys. ``sent``: a Scheme, broadcast."""
 
+    num, den = sent.value.num, sent.value.den
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = sent.value
         for whole in batches:
@@ -280,23 +311,29 @@ def candidate_edges(texts: DataFrame, n: int, sent, buckets: int) -> DataFrame:
                 if not keys:
                     continue
                 counts = np.array([len(k) for k in keys])
-                key = np.concatenate(keys)
-                owner = np.repeat(np.arange(len(keys)), counts)
-                bucket = ((key >> U(32)) * U(buckets)) >> U(32)
-                order = np.argsort(bucket, kind="stable")
-                key, owner, bucket = key[order], owner[order].astype(np.uint16), bucket[order]
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+                key, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), counts)
                 head = np.array(digests, np.int64), np.array(sizes, np.int32)
+                key, owner, a, b = thinned(key, owner, head[1], num, den)
+                bucket = ((key >> U(32)) * U(buckets)) >> U(32)  # ascends as the key does
+                starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
                 out = []
-                for i in np.flatnonzero(np.diff(cuts)):
-                    part = slice(cuts[i], cuts[i + 1])
-                    own, place = np.unique(owner[part], return_inverse=True)
-                    out.append((int(i), key[part].tobytes(), place.astype(np.uint16).tobytes(), head[0][own].tobytes(), head[1][own].tobytes()))
+                for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+                    own, place = np.unique(owner[low:high], return_inverse=True)
+                    out.append((int(bucket[low]), key[low:high].tobytes(), place.astype(np.uint16).tobytes(), head[0][own].tobytes(), head[1][own].tobytes()))
+                if len(a):
+                    root = _forest(len(digests), a, b)
+                    moved = np.flatnonzero(root != np.arange(len(root)))
+                    out.append((abs(digests[0]) % buckets, b"", b"", head[0][moved].tobytes(), head[0][root[moved]].tobytes()))  # links, not a list's entries
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], ["bucket", "key", "owner", "digest", "size"])
 
-    num, den = sent.value.num, sent.value.den
+    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def scan(_: tuple, table: pa.Table) -> pa.Table:
+        linked = pc.equal(pc.binary_length(table["key"]), 0)
+        done, table = table.filter(linked), table.filter(pc.invert(linked))
+        done = pa.table({"a": np.frombuffer(b"".join(done["digest"].to_pylist()), np.int64), "b": np.frombuffer(b"".join(done["size"].to_pylist()), np.int64)}, shape)
+        if not table.num_rows:
+            return done
         key = np.frombuffer(b"".join(table["key"].to_pylist()), U)
         digest, size = [], []
         for o, d, s in zip(table["owner"].to_pylist(), table["digest"].to_pylist(), table["size"].to_pylist(), strict=True):
@@ -315,7 +352,7 @@ def candidate_edges(texts: DataFrame, n: int, sent, buckets: int) -> DataFrame:
         names, at = np.unique(digest, return_inverse=True)
         root = _forest(len(names), at[link], at[link + 1])
         moved = np.flatnonzero(root != np.arange(len(names)))
-        return pa.table({"a": names[moved], "b": names[root[moved]]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        return pa.concat_tables([done, pa.table({"a": names[moved], "b": names[root[moved]]}, shape)])
 
     keyed = texts.mapInArrow(write, "bucket int, key binary, owner binary, digest binary, size binary")
     return keyed.groupBy("bucket").applyInArrow(scan, "a long, b long")
@@ -347,13 +384,18 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     members = clusters.select(F.col("node").alias("d1"), F.col("label").alias("cluster")).unionByName(clusters.select(F.col("label").alias("d1"), F.col("label").alias("cluster")).distinct())
     classes = rows.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
     chosen = classes.join(members, "d1")
-    # Large clusters are split by size too: sets that link are in the same range of sizes, or in the next.
+    # Large clusters are split by size too: sets that link are in the same range of sizes, or in the next. What all
+    # members of a cluster need to know goes to SALTS places each, so that no task has all of a large one.
     step = float(np.log(den / num))
-    whole = chosen.groupBy("cluster").agg((F.greatest(F.count("*") / block_rows, F.sum("n_shingles") / BLOCK_SHINGLES) > 1).alias("large"))
-    ranged = chosen.join(whole, "cluster").withColumn("bin", F.when(F.col("large"), F.floor(F.log("n_shingles") / step)).otherwise(0).cast("int"))
-    bins = ranged.groupBy("cluster", "bin").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    shape = bins.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("bin", "blocks"))).alias("bins"))  # an entry a range of sizes
-    placed, placed_at = written(ranged.join(shape, "cluster").select("first", "d1", "copies", "cluster", "bin", "bins"), "jaccard-members")
+    salted = chosen.withColumns({"salt": F.pmod(F.hash("d1"), F.lit(SALTS)), "range": F.floor(F.log("n_shingles") / step).cast("int")})
+    to_all = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    over = F.greatest(F.count("*") / block_rows, F.sum("n_shingles") / BLOCK_SHINGLES)
+    large = salted.groupBy("cluster").agg(over.alias("over")).where("over > 1").select("cluster", to_all)
+    blocks = salted.join(large, ["cluster", "salt"], "left_semi").groupBy("cluster", F.col("range").alias("bin")).agg(F.ceil(over).cast("int").alias("blocks"))
+    shape = blocks.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("bin", "blocks"))).alias("bins")).select("cluster", "bins", to_all)  # an entry a range of sizes
+    one = F.create_map(F.lit(0), F.lit(1))
+    ranged = salted.join(shape, ["cluster", "salt"], "left").withColumns({"bin": F.when(F.col("bins").isNull(), 0).otherwise(F.col("range")), "bins": F.coalesce("bins", one)})
+    placed, placed_at = written(ranged.select("first", "d1", "copies", "cluster", "bin", "bins"), "jaccard-members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -662,3 +662,23 @@ def test_entry_lists_all_queries():
     names = entry.queries()
     assert all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)) and "pipeline" in names
     assert json.dumps(sorted(entry.oracle_sql()))
+
+
+def test_thinned_keys_connect_what_all_do():
+    r = np.random.default_rng(3)
+    for num, den in ((80, 100), (85, 100)):
+        for _ in range(30):
+            size = r.integers(20, 90, 120)
+            batches = [(r.integers(0, 4, 60).astype(np.uint64), r.integers(0, 120, 60)) for _ in range(4)]
+
+            def chained(parts):
+                key, owner = (np.concatenate(x) for x in zip(*parts))
+                by = np.lexsort((size[owner], key))
+                key, owner = key[by], owner[by]
+                link = np.flatnonzero((key[1:] == key[:-1]) & (den * size[owner[:-1]] >= num * size[owner[1:]]))
+                return owner[link], owner[link + 1]
+
+            few = [jaccard_join.thinned(k, o, size, num, den) for k, o in batches]
+            assert sum(len(k) for k, *_ in few) < sum(len(k) for k, _ in batches)
+            links = [np.concatenate(x) for x in zip(chained([x[:2] for x in few]), *(x[2:] for x in few))]
+            assert (jaccard_join._forest(120, *links) == jaccard_join._forest(120, *chained(batches))).all()
