@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+_open: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, every table that operators write within it; write their results elsewhere before.
+
+    Results of operators are read from such tables only when an action runs, so no operator can remove them itself.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        forget(spark, *_open.pop())
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:

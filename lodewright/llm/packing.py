@@ -88,7 +88,7 @@ class Coder:
         if self.fast is not None and not any(x in text for x in self.special):
             try:
                 return self.fast.encode_to_numpy(text, disallowed_special=())
-            except Exception:  # a text that the faster reader's pattern engine refuses
+            except ValueError:  # the faster reader's pattern engine ends at very long runs of white space
                 pass
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 

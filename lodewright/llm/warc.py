@@ -176,26 +176,25 @@ def reassemble(segments: DataFrame) -> DataFrame:
     are decoded. Where that fails, error says what is wrong and payload is null: a missing or doubled segment, a
     wrong length, a malformed block, or a digest other than the one stated.
     """
-    single = segments.where("segment is null").select(*_FIELDS[:6], "block", F.lit(None).cast("string").alias("error"))
+    single = segments.where("segment is null").select(*_FIELDS[:6], F.array("block").alias("blocks"), F.lit(None).cast("string").alias("error"))
     origin = F.coalesce("origin", "record_id")
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     grouped = segments.where("segment is not null").groupBy(origin.alias("record_id")).agg(*(first(c) for c in _FIELDS[1:6]), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"))
     numbers = F.col("parts.segment")
-    whole = F.aggregate("parts.block", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
-    joined = grouped.withColumn("block", whole)
-    error = F.when(~numbers.eqNullSafe(F.sequence(F.lit(1), F.size("parts"))), "segments missing or doubled").when(~F.col("total").eqNullSafe(F.octet_length("block").cast("long")), "length differs from the total stated")
-    together = joined.select(*_FIELDS[:6], "block", error.alias("error"))
+    length = F.aggregate("parts.block", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x))
+    error = F.when(~numbers.eqNullSafe(F.sequence(F.lit(1), F.size("parts"))), "segments missing or doubled").when(~F.col("total").eqNullSafe(length), "length differs from the total stated")
+    together = grouped.select(*_FIELDS[:6], F.col("parts.block").alias("blocks"), error.alias("error"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 payloads, sizes, digests, errors = [], [], [], []
-                for kind, stated, block, error in zip(*(batch.column(i).to_pylist() for i in (1, 4, 6, 7)), strict=True):
+                for kind, stated, blocks, error in zip(*(batch.column(i).to_pylist() for i in (1, 4, 6, 7)), strict=True):
                     payload = None
                     if error is None and kind != "revisit":
                         try:
-                            payload = http_payload(block)
+                            payload = http_payload(b"".join(blocks))
                         except ValueError as e:
                             error = str(e)
                     digest = None if payload is None else base32_sha1(payload)

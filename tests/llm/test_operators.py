@@ -198,6 +198,31 @@ def test_mix(spark):
     assert mixing.taken_words(mixing.mix_sources(table.where("false"))).count() == 0
 
 
+def test_mix_against_a_plain_walk_over_all_slots(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join("w" for _ in range(r.choice([0, 3, 40, 700]))), r.choice(["a", "a", "a", "b", "c", None])) for i in range(60)]
+    rows += [(7, rows[7][1], rows[7][2]), (None, "x y z", "b"), (99, None, "c")]
+    mix = mixing.mix_sources(docs(spark, rows), block_words=16, shards=5)
+    at = mixing.placed(mix.sized, mix.sources, len(rows)).collect()
+    taken = Counter()
+    for j, source in enumerate(mix.catalog):
+        slots, last = mixing.plan_slots(source, 16, 20)
+        blocks = source.blocks(16)
+        own = sorted((x["start"], x["size"], x["doc_id"]) for x in at if x["source_index"] == source.index and x["size"])
+        order = {e: mixing.permuted(np.arange(blocks), blocks, mixing._key(20, source.index, e)).tolist() for e in range(-(-slots // blocks))} if blocks else {}
+        assert all(sorted(x) == list(range(blocks)) for x in order.values())
+        for k in range(slots):
+            low = order[k // blocks][k % blocks] * 16
+            high = low + (last if k == slots - 1 else 16)
+            for start, size, i in own:
+                taken[i] += max(0, min(high, start + size) - max(low, start))
+    got = Counter()
+    for x in mixing.taken_words(mix).collect():
+        got[x["doc_id"]] += x["taken"]
+    assert {i: n for i, n in got.items() if n} == {i: n for i, n in taken.items() if n}
+    assert sum(got.values()) == sum(int(s.target) for s in mix.catalog)
+
+
 # -- 3 --------------------------------------------------------------------------------------------------------------
 
 
@@ -502,6 +527,29 @@ def test_slots_over_many_blocks(spark):
     assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(500)) for s in (0, 1))
 
 
+def test_shards_against_plain_rendezvous(spark):
+    import struct
+
+    import xxhash
+
+    def plain(key, weights):
+        best = None
+        for i, w in enumerate(weights):
+            h = xxhash.xxh64((key if key is not None else "\0null").encode(), 42).intdigest()
+            for number in (11, i):
+                h = xxhash.xxh64(struct.pack("<i", number), h).intdigest()
+            score = -w / np.log(((h >> 11) + 0.5) / (1 << 53))
+            if w > 0 and (best is None or score > best[0]):
+                best = score, i
+        return best[1]
+
+    rows = [(i, f"text {i}", "a") for i in range(300)] + [(None, "x", "a"), (5, "text 5", "a")]
+    weights = [1.0, 3.0, 0.0, 2.0, 1.0]
+    got = sharding.shard_records(docs(spark, rows), weights, grown_weight=2.0).collect()
+    assert {(g["doc_id"], g["shard"], g["grown_shard"]) for g in got} == {(i, plain(None if i is None else str(i), weights), plain(None if i is None else str(i), [*weights, 2.0])) for i, _, _ in rows}
+    assert len(got) == 302 and sharding.shard_records(docs(spark, []), weights).count() == 0
+
+
 # -- 8 --------------------------------------------------------------------------------------------------------------
 
 
