@@ -15,6 +15,8 @@ U = np.uint64
 RADIX = 0x9E3779B97F4A7C15 | 1
 RADIX_INVERSE = pow(RADIX, -1, 1 << 64)
 PIECE = 1 << 20
+#: Words of a text column in SQL, A-Z in lower case.
+SQL_WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

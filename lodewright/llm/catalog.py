@@ -2,8 +2,8 @@
 
 from .ann_tree import op1_ann_tree
 from .exact_dedup import OP3_SQL, op3_exact_dedup
-from .jaccard_join import op10_ngram_jaccard
-from .line_dedup import op6_line_dedup
+from .jaccard_join import OP10_SQL, op10_ngram_jaccard
+from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import op2_mixing
 from .packing import op9_packing
 from .secret_scan import op4_secret_scan
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op8_warc": OP8_SQL}
+ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op8_warc": OP8_SQL, "op10_ngram_jaccard": OP10_SQL}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._columns import set_aside
 from ._components import connected_components
-from ._hashing import U, mix, mix_int, utf8_at, words
+from ._hashing import SQL_WORDS, U, mix, mix_int, utf8_at, words
 from ._store import forget, written
 
 BLOCK_ROWS = 384
@@ -463,3 +463,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_links(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, num=85, den=100)
+
+
+OP10_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {SQL_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS shingles FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS g FROM s),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(doc_id, id) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.id)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, r.component_id, coalesce(l.n_links, 0) AS n_links
+FROM s JOIN (SELECT doc_id, min(id) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM links GROUP BY x) l USING (doc_id)"""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._columns import set_aside
-from ._hashing import U, mix, mix_int, row_chunks, utf8, words
+from ._hashing import SQL_WORDS, U, mix, mix_int, row_chunks, utf8, words
 from ._store import forget, written
 
 LEAST_WORDS = 5
@@ -378,3 +378,15 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = True, **options) -> DataFr
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     """All lines with a word take part, as equal and as near ones."""
     return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_words=1, near_words=1)
+
+
+OP6_SQL = f"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, CAST(unnest(range(len(lines))) AS INT) AS line_no, unnest(lines) AS line FROM t),
+k AS (SELECT *, array_to_string(words, ' ') AS key FROM (SELECT doc_id, line_no, {SQL_WORDS.format("line")} AS words FROM l) WHERE len(words) > 0),
+c AS (SELECT key, any_value(words) AS words, min([doc_id, line_no]) AS first FROM k GROUP BY key),
+v AS (SELECT key, first, -1 AS spot, key AS variant FROM c
+  UNION ALL SELECT key, first, i, array_to_string(list_concat(words[1:i], words[i + 2:]), ' ') FROM (SELECT *, unnest(range(len(words))) AS i FROM c)),
+near AS (SELECT a.key, min(b.first) AS source FROM v a JOIN v b ON a.variant = b.variant AND a.key <> b.key AND (a.spot = -1 OR b.spot = -1 OR a.spot = b.spot) AND b.first < a.first GROUP BY a.key),
+gone AS (SELECT doc_id, line_no, CASE WHEN [doc_id, line_no] <> first THEN first[1] ELSE source[1] END AS source FROM k JOIN c USING (key) LEFT JOIN near USING (key) WHERE [doc_id, line_no] <> first OR source IS NOT NULL)
+SELECT t.doc_id, CAST(len(lines) AS INT) AS n_lines, CAST(coalesce(n, 0) AS INT) AS n_dropped, coalesce(g.at, []) AS dropped_lines, coalesce(g.sources, []) AS source_doc_ids
+FROM t LEFT JOIN (SELECT doc_id, count(*) AS n, list(line_no ORDER BY line_no) AS at, list(source ORDER BY line_no) AS sources FROM gone GROUP BY doc_id) g USING (doc_id)"""
