@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewright.functions.lineage import checkpointed
 from lodewright.functions.text import RDF_TYPE, RDFS_LABEL, local_name, namespace, severity_name
+from lodewright.sources.turtle import parse_turtle
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
@@ -34,13 +36,21 @@ def best_labels(onto: DataFrame) -> DataFrame:
     return onto.where(F.col("p") == RDFS_LABEL).groupBy("s").agg(F.min_by("o", rank).alias("label"))
 
 
-def class_identifiers(onto: DataFrame) -> DataFrame:
-    """(uri, identifier): of each class its address, its short name, each label, and label with short name."""
-    classes = onto.where((F.col("p") == RDF_TYPE) & F.col("o").isin(CONCEPT_TYPES) & (F.col("s_kind") == "uri")).select(F.col("s").alias("uri")).distinct()
-    short = classes.select("uri", local_name(F.col("uri")).alias("identifier"))
-    labels = classes.join(onto.where(F.col("p") == RDFS_LABEL).select(F.col("s").alias("uri"), F.col("o").alias("label")), "uri")
-    full = labels.select("uri", F.concat("label", F.lit(" ("), local_name(F.col("uri")), F.lit(")")).alias("identifier"))
-    return classes.select("uri", F.col("uri").alias("identifier")).unionByName(short).unionByName(labels.select("uri", F.col("label").alias("identifier"))).unionByName(full).distinct()
+def class_identifiers(onto: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
+    """(uri, identifier): of each class its address, its short name, each label, and its best label with the short name.
+
+    The short name has the prefix that ``prefixes`` (prefix, uri) bind to its namespace; without one it is the local name.
+    """
+    classes = onto.where((F.col("p") == RDF_TYPE) & (F.col("o") == OWL + "Class") & (F.col("s_kind") == "uri")).select(F.col("s").alias("uri")).distinct()
+    named = classes.select("uri", namespace(F.col("uri")).alias("namespace"), local_name(F.col("uri")).alias("local"))
+    if prefixes is None:
+        short = named.select("uri", F.col("local").alias("identifier"))
+    else:
+        bound = prefixes.groupBy(F.col("uri").alias("namespace")).agg(F.min("prefix").alias("prefix"))
+        short = named.join(bound, "namespace", "left").select("uri", F.when(F.col("prefix").isNull(), F.col("local")).otherwise(F.concat_ws(":", "prefix", "local")).alias("identifier"))
+    labels = onto.where((F.col("p") == RDFS_LABEL) & (F.col("o_kind") == "literal")).select(F.col("s").alias("uri"), F.col("o").alias("identifier")).join(classes, "uri", "left_semi")
+    full = short.join(best_labels(onto).withColumnRenamed("s", "uri"), "uri").select("uri", F.concat("label", F.lit(" ("), "identifier", F.lit(")")).alias("identifier"))
+    return classes.select("uri", F.col("uri").alias("identifier")).unionByName(short).unionByName(labels).unionByName(full).distinct()
 
 
 def ontology_summary(onto: DataFrame) -> DataFrame:
@@ -120,21 +130,54 @@ def basic_shapes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(RDFS + "Resource", RDF_TYPE, None, None, 1, None)], SHAPES)
 
 
+def shapes_turtle(shapes: DataFrame, onto: DataFrame | None = None) -> DataFrame:
+    """(target_class, turtle): each class's node shape as a line of Turtle without prefixes; labels and names are the ontology's."""
+    iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"([\\\\\"])", r"\\\\$1"), "\n", r"\\\\n"), F.lit('"'))
+    sh = lambda p, value: F.concat(F.lit(f"<{SH}{p}> "), value)
+    labels = best_labels(onto) if onto is not None else shapes.select(F.col("target_class").alias("s"), F.lit(None).cast("string").alias("label")).limit(0)
+    rows = shapes.join(labels.withColumnsRenamed({"s": "path", "label": "name"}), "path", "left")
+    parts = F.concat_ws(" ; ", sh("path", iri(F.col("path"))), sh("class", iri(F.col("class"))), sh("datatype", iri(F.col("datatype"))), sh("minCount", F.col("min_count").cast("string")), sh("maxCount", F.col("max_count").cast("string")), sh("name", quoted(F.col("name"))))
+    properties = F.array_sort(F.collect_set(F.when(F.col("path").isNotNull(), F.concat(F.lit(f"<{SH}property> [ "), parts, F.lit(" ]")))))
+    own = rows.groupBy("target_class").agg(properties.alias("properties")).join(labels.withColumnRenamed("s", "target_class"), "target_class", "left")
+    about = F.concat(iri(F.concat("target_class", F.lit("Shape"))), F.lit(f" a <{SH}NodeShape>"))
+    label = F.concat(F.lit(f"<{RDFS}label> "), quoted(F.concat(F.lit("Shape for "), F.coalesce("label", local_name(F.col("target_class"))))))
+    return own.select("target_class", F.concat(F.concat_ws(" ; ", about, sh("targetClass", iri(F.col("target_class"))), label, F.concat_ws(" ; ", F.when(F.size("properties") > 0, F.col("properties")))), F.lit(" .")).alias("turtle"))
+
+
+def shapes_from_triples(triples: DataFrame) -> DataFrame:
+    """SHAPES of a shapes graph (graph_id and triples): target classes and the constraints of their property shapes."""
+    of = lambda p, to: triples.where(F.col("p") == SH + p).select("graph_id", "s", F.col("o").alias(to))
+    targets = of("targetClass", "target_class")
+    at = lambda p: F.max(F.when(F.col("p") == SH + p, F.col("o"))).alias(p)
+    constraints = triples.groupBy("graph_id", F.col("s").alias("property")).agg(*(at(p) for p in ("path", "class", "datatype", "minCount", "maxCount"))).where("path is not null")
+    rows = targets.join(of("property", "property"), ["graph_id", "s"]).join(constraints, ["graph_id", "property"])
+    null = F.lit(None).cast("string")
+    whole = rows.select("target_class", "path", "class", "datatype", F.col("minCount").cast("int").alias("min_count"), F.col("maxCount").cast("int").alias("max_count"))
+    return whole.unionByName(targets.select("target_class", null.alias("path"), null.alias("class"), null.alias("datatype"), null.cast("int").alias("min_count"), null.cast("int").alias("max_count"))).distinct()
+
+
+def read_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """SHAPES of Turtle that ``shapes_turtle`` made, a class a line."""
+    lines = spark.read.text(path).select(F.xxhash64("value").alias("graph_id"), F.col("value").alias("text"))
+    return shapes_from_triples(parse_turtle(lines))
+
+
 def resolve_shapes(spark: SparkSession, cached: str | None, onto: DataFrame | None) -> DataFrame:
-    """Shapes from a written table, else made from the ontology and written there, else the basic template."""
+    """Shapes from written Turtle, else made from the ontology and written there, else the basic template."""
     if cached:
         try:
-            return spark.read.schema(SHAPES).parquet(cached)
-        except Exception as e:  # not there yet
-            if "PATH_NOT_FOUND" not in str(e):
+            return read_shapes(spark, cached)
+        except AnalysisException as e:  # not there yet
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
     if onto is None:
         return basic_shapes(spark)
     shapes = shapes_from_schema(onto)
-    if cached:
-        shapes.write.mode("overwrite").parquet(cached)
-        return spark.read.schema(SHAPES).parquet(cached)
-    return shapes
+    if not cached:
+        return shapes
+    shapes_turtle(shapes, onto).select("turtle").write.mode("overwrite").text(cached)
+    return read_shapes(spark, cached)
 
 
 def inferred_types(data: DataFrame, subclasses: DataFrame | None = None) -> DataFrame:

@@ -643,9 +643,9 @@ def ontology_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{_ONTO_SQL}, cls AS (SELECT DISTINCT s AS uri FROM onto WHERE p = '{RDF_TYPE}' AND o = '{_OWL}Class'), lab AS (SELECT s AS uri, o AS label FROM onto WHERE p = '{RDFS_LABEL}')
-SELECT uri, uri AS identifier FROM cls UNION SELECT uri, {local_sql("uri")} FROM cls UNION SELECT uri, label FROM cls JOIN lab USING (uri) UNION SELECT uri, label || ' (' || {local_sql("uri")} || ')' FROM cls JOIN lab USING (uri)""")
+SELECT uri, uri AS identifier FROM cls UNION SELECT uri, 'ex:' || {local_sql("uri")} FROM cls UNION SELECT uri, label FROM cls JOIN lab USING (uri) UNION SELECT uri, label || ' (ex:' || {local_sql("uri")} || ')' FROM cls JOIN lab USING (uri)""")
 def class_identifiers(spark: SparkSession, sf: str) -> DataFrame:
-    return ontology.class_identifiers(onto_triples(spark, sf))
+    return ontology.class_identifiers(onto_triples(spark, sf), spark.createDataFrame([("owl", _OWL), ("ex", _EX)], "prefix string, uri string"))
 
 
 _SHAPES_SQL = f"""{_ONTO_SQL}, shapes AS (
@@ -659,6 +659,19 @@ def shapes_from_schema(spark: SparkSession, sf: str) -> DataFrame:
     return ontology.shapes_from_schema(onto_triples(spark, sf)).select("target_class", "path", "class", "datatype")
 
 
+@query(f"""{_ONTO_SQL}, own AS (SELECT s, label, lower(label) AS x FROM (SELECT DISTINCT t.s, l.o AS label FROM onto t JOIN onto l ON l.s = t.s AND l.p = '{RDFS_LABEL}' WHERE t.p = '{RDF_TYPE}' AND t.o = '{_OWL}Class')),
+props AS (SELECT d.o AS s, list(l.o ORDER BY l.o) AS names FROM onto d JOIN onto l ON l.s = d.s AND l.p = '{RDFS_LABEL}' WHERE d.p = '{_RDFS}domain' GROUP BY d.o)
+SELECT own.s AS target_class, 'Shape for ' || label AS label, coalesce(names, []) AS names FROM own LEFT JOIN props USING (s)""")
+def shapes_as_turtle(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of the node shapes and names of their property shapes, as read back from the Turtle text."""
+    onto = onto_triples(spark, sf)
+    lines = ontology.shapes_turtle(ontology.shapes_from_schema(onto), onto).select(F.xxhash64("target_class").alias("graph_id"), F.col("turtle").alias("text"))
+    triples = checkpointed(turtle.parse_turtle(lines))
+    of = lambda p, to: triples.where(F.col("p") == p).select("graph_id", F.col("o").alias(to))
+    names = of(ontology.SH + "name", "name").groupBy("graph_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return of(ontology.SH + "targetClass", "target_class").join(of(RDFS_LABEL, "label"), "graph_id").join(names, "graph_id", "left").select("target_class", "label", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+
+
 _UP_SQL = f"""{_ONTO_SQL}, up(sub, sup) AS (SELECT s, o FROM onto WHERE p = '{_RDFS}subClassOf' UNION SELECT s, s FROM onto WHERE p = '{_RDFS}subClassOf' UNION SELECT o, o FROM onto WHERE p = '{_RDFS}subClassOf' UNION SELECT up.sub, e.o FROM up JOIN onto e ON e.s = up.sup AND e.p = '{_RDFS}subClassOf')"""
 
 
