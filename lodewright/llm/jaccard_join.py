@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ._columns import set_aside
 from ._components import connected_components
 from ._hashing import SQL_WORDS, U, mix, mix_int, utf8_at, words
+from ._memory import tidy
 from ._store import forget, written
 
 BLOCK_ROWS = 384
@@ -265,6 +266,7 @@ def shingle_rows(docs: DataFrame, n: int, id_column: str, text_column: str, only
     often: for the first row of a batch, the shingles that COMMON_SETS of the batch's different sets have.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two, size, sets, seen = [], [], [], [], set()
@@ -295,6 +297,7 @@ def candidate_edges(texts: DataFrame, n: int, sent, buckets: int) -> DataFrame:
 
     num, den = sent.value.num, sent.value.den
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = sent.value
         for whole in batches:
@@ -397,6 +400,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     ranged = salted.join(shape, ["cluster", "salt"], "left").withColumns({"bin": F.when(F.col("bins").isNull(), 0).otherwise(F.col("range")), "bins": F.coalesce("bins", one)})
     placed, placed_at = written(ranged.select("first", "d1", "copies", "cluster", "bin", "bins"), "jaccard-members")
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):

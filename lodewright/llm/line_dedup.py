@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ._columns import set_aside
 from ._hashing import SQL_WORDS, U, mix, mix_int, row_chunks, utf8, words
+from ._memory import tidy
 from ._store import forget, written
 
 LEAST_WORDS = 5
@@ -57,6 +58,7 @@ def _sequence_hash(total: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.nda
 def line_rows(docs: DataFrame, least_words: int, id_column: str, text_column: str) -> DataFrame:
     """doc_id, row_hash, line_no (from 0), n_words, two digests h1 and h2, and the halves' keys, of lines of at least least_words."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
@@ -170,6 +172,7 @@ def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def hot_keys(texts: DataFrame, asked: DataFrame, least: int, seed: int, key_bits: int) -> HotKeys:
     """The keys that at least ``least`` of the asked lines have; so no more than their variants divided by ``least``."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -193,6 +196,7 @@ def near_lines(texts: DataFrame, asked: DataFrame, buckets: int, hot: HotKeys =
     joined = _with_texts(texts, asked)
 
     def write(only_hot: bool):
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hot = sent.value
             for whole in batches:
@@ -265,6 +269,7 @@ def verified(texts: DataFrame, asked: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` (h1, source_h1) with near: whether the words of the two lines are at most one edit apart."""
     wanted = pairs.select("h1").unionByName(pairs.select(F.col("source_h1").alias("h1"))).distinct()
 
+    @tidy
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -356,6 +361,7 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = True, **options) -> DataFr
     keyed = plain.withColumns({"_id0": F.col("doc_id").cast("long"), "_h0": F.xxhash64(F.coalesce("text", F.lit("")))})
     both = keyed.join(gone, F.col("_id0").eqNullSafe(F.col("_d")) & (F.col("_h0") == F.col("_h")), "left").select(*(f"`{c}`" for c in plain.columns), "_gone")
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             table = pa.Table.from_batches([batch])

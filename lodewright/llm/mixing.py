@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ._columns import set_aside
 from ._hashing import mix, mix_int, utf8_at, words
+from ._memory import tidy
 from ._store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -227,6 +228,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     both = turned.join(spans, ["k1", "k2"]).where("_turn - _of = 0")  # the n-th of interchangeable rows gets the n-th draws
     kept = both.select(*(f"`{c}`" for c in plain.columns), F.col("spans.low").alias("_low"), F.col("spans.high").alias("_high"))
 
+    @tidy
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import utf8_at, words
+from ._memory import tidy
 from ._store import written
 
 DIMENSIONS, BITS = 4, 10
@@ -108,6 +109,7 @@ def tokenizer_files(name: str = "byte_bpe_50k") -> tuple[str, str]:
 def tokenised(docs: DataFrame, tokenizer: str, ranks: str | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, curve key, tokens (with the closing id) and the ids, compressed."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -144,6 +146,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, le
     parts = max(1, -(-total // partition_tokens))
     sorted_rows = rows.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "tokens")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._columns import set_aside
+from ._memory import tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
@@ -182,6 +183,7 @@ def _examples(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list, tupl
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id long, toxic int")
     own = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))  # most rows at most
 
+    @tidy
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [text_words(x) for x in batch.column(2).to_pylist()]
@@ -202,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES
     vocabulary = {word: i for i, word in enumerate(sorted({w for r in rows for w in r["words"]}))}
     sent = spark.sparkContext.broadcast(vocabulary)
 
+    @tidy
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row a term and task; the term -1 counts texts."""
         known, seen, n = sent.value, np.zeros(len(sent.value), np.int64), 0
@@ -240,6 +243,7 @@ def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     base = docs.drop("toxicity", "evidence_ids", "evidence_terms")
     at = base.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, index = sent.value
         names, last = list(known), {}
