@@ -24,6 +24,8 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--ontology")
         sub.add_argument("--terms")
         sub.add_argument("--out")
+        if name == "paper-tables":
+            sub.add_argument("--expected", help="CSV with cell and value, against which the tables are held")
     sub = commands.add_parser("significance")
     sub.add_argument("--scores", required=True)
     sub.add_argument("--items", type=int, required=True, help="how many items there are in all")
@@ -85,23 +87,28 @@ def _tables(args) -> list[dict]:
     from lodewright.operators import failure_modes, metrics, report
     from lodewright.sources.files import read_terms
 
-    spark = session()
-    onto = None
+    spark, onto = session(), None
     if args.ontology:
-        from lodewright.sources.turtle import parse_turtle
+        from lodewright.functions.lineage import checkpointed
+        from lodewright.sources.graph_files import read_graphs
 
-        onto = parse_turtle(spark.read.text(args.ontology, wholetext=True).selectExpr("'ontology' AS graph_id", "value AS text")).cache()
+        onto = checkpointed(read_graphs(spark, args.ontology))
     g = evaluation.load(spark, args.index, args.texts, args.golds, args.predictions, args.domain, onto)
+    terms = read_terms(spark, args.terms) if args.terms else None
+    rows = lambda d, *by: [r.asDict(recursive=True) for r in d.orderBy(*by).collect()]  # noqa: E731 - a report's rows
     if args.command == "evaluate":
-        out = evaluation.summary(evaluation.evaluate(g, onto), g.items, g.systems)
-    elif args.command == "fm-metrics":
-        out = failure_modes.summarize(evaluation.failure_rows(g, read_terms(spark, args.terms) if args.terms else None))
-    elif args.command == "el-sensitivity":
-        out = metrics.sensitivity_summary(evaluation.link_rows(g))
-    else:
-        rows = evaluation.summary(evaluation.evaluate(g, onto), g.items, g.systems).withColumnRenamed("f1", "f1_p")
-        out = report.headline_table(rows)
-    return [r.asDict(recursive=True) for r in out.orderBy("system").collect()]  # a row a system
+        return rows(evaluation.summary(evaluation.evaluate(g, onto), g.items, g.systems), "system")
+    if args.command == "fm-metrics":
+        return rows(failure_modes.summarize(evaluation.failure_rows(g, terms)), "system")
+    if args.command == "el-sensitivity":
+        return rows(metrics.sensitivity_summary(evaluation.link_rows(g)), "system")
+    headline, cells, found = evaluation.printed_tables(g, onto, terms)
+    systems = [r["system"] for r in headline.select("system").orderBy("system").collect()]
+    out = [{"table": "headline", **r} for r in rows(headline, "system")] + [{"table": "failure modes", **r} for r in rows(report.metric_table(cells, systems), "metric")]
+    if args.expected:
+        expected = spark.read.option("header", True).csv(args.expected).select("cell", "value")
+        out += [{"table": "verification", **r} for r in rows(report.verify_cells(found, expected), "cell")]
+    return out
 
 
 if __name__ == "__main__":

@@ -12,7 +12,7 @@ from lodewright.functions.arrow import normalize_dates, stem_text, stemmed
 from lodewright.functions.lineage import checkpointed
 from lodewright.functions.text import clean_turtle, strip_fences
 from lodewright.operators import failure_modes as fm
-from lodewright.operators import graphs, matching, metrics
+from lodewright.operators import graphs, matching, metrics, report
 from lodewright.operators.ontology import ontology_meta
 from lodewright.sources import turtle
 
@@ -124,6 +124,21 @@ def link_rows(g: Graphs) -> DataFrame:
     return rows.join(counted, ["text_id", "system"], "left").join(parsed, ["text_id", "system"], "left").fillna(0, ["n_pred", "n_pred_sameas"]).fillna(False, ["parsed"])
 
 
+def failure_cells(g: Graphs, imported: DataFrame | None = None) -> DataFrame:
+    """(metric, system, value) of the failure modes' table."""
+    raw = g.outputs.select("system", F.col("text_id").alias("graph_id"), F.col("output").alias("text"))
+    links = link_rows(g).groupBy("system").agg(F.sum("n_pred_sameas").alias("n"))
+    statements = fm.same_as_statements(raw, "system").withColumnRenamed("statements", "n")
+    return report.failure_mode_cells(fm.summarize(failure_rows(g, imported)), statements, fm.parse_counts(raw, g.status), links)
+
+
+def printed_tables(g: Graphs, ontology: DataFrame | None = None, imported: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The headline table, the failure modes' cells, and both as (cell, value) for ``report.verify_cells``."""
+    headline = checkpointed(report.headline_table(summary(evaluate(g, ontology), g.items, g.systems).withColumnRenamed("f1", "f1_p")))
+    cells = checkpointed(failure_cells(g, imported))
+    return headline, cells, report.headline_cells(headline).unionByName(cells.select(F.concat_ws(" ", F.lit("T5"), "metric", "system").alias("cell"), "value"))
+
+
 def load(spark: SparkSession, index: str, texts: str, golds: str, predictions: str, domain: str | None = None, ontology: DataFrame | None = None) -> Graphs:
     """Graphs from files."""
     from lodewright.sources.files import read_items, read_predictions

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewright.functions.text import CRM, RDF_TYPE, RDFS_LABEL, SAME_AS, classify_prefix, invalid_namespace, local_name, rounded, safe_ratio, used_prefixes
@@ -83,10 +83,13 @@ def pair_substitution(gold: DataFrame, pred: DataFrame, systems: DataFrame, exam
     g = labelled_pairs(gold, "graph_id").withColumnRenamed("predicates", "gp")
     p = labelled_pairs(pred, "graph_id", "system").withColumnRenamed("predicates", "pp")
     both = p.join(g, ["graph_id", "sl", "ol"]).withColumn("swapped", ~F.arrays_overlap("gp", "pp"))
-    shown = F.when(F.col("swapped"), F.concat_ws(" | ", "sl", "ol", F.array_join("gp", ","), F.array_join("pp", ",")))
-    counted = both.groupBy("graph_id", "system").agg(F.count("*").alias("matched"), F.count_if("swapped").alias("substituted"), F.array_join(F.slice(F.array_sort(F.collect_list(shown)), 1, examples), "; ").alias("examples"))
-    out = _grid(gold, systems).join(counted, ["graph_id", "system"], "left").fillna(0, ["matched", "substituted"]).fillna("", ["examples"])
-    return out.withColumn("rate", safe_ratio(F.col("substituted"), F.col("matched")))
+    shown = F.concat_ws(" | ", "sl", "ol", F.array_join("gp", ","), F.array_join("pp", ","))
+    keys = ["graph_id", "system"]
+    first = both.where("swapped").select(*keys, shown.alias("shown")).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("shown"))).where(F.col("_n") <= examples)
+    listed = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("shown")), "; ").alias("examples"))  # a few rows a text
+    counted = both.groupBy(*keys).agg(F.count("*").alias("matched"), F.count_if("swapped").alias("substituted"))
+    out = _grid(gold, systems).join(counted, keys, "left").join(listed, keys, "left").fillna(0, ["matched", "substituted"]).fillna("", ["examples"])
+    return out.select(*keys, "matched", "substituted", "examples", safe_ratio(F.col("substituted"), F.col("matched")).alias("rate"))
 
 
 def predicate_divergence(gold: DataFrame, pred: DataFrame, systems: DataFrame) -> DataFrame:

@@ -133,7 +133,8 @@ def basic_shapes(spark: SparkSession) -> DataFrame:
 def shapes_turtle(shapes: DataFrame, onto: DataFrame | None = None) -> DataFrame:
     """(target_class, turtle): each class's node shape as a line of Turtle without prefixes; labels and names are the ontology's."""
     iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
-    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"([\\\\\"])", r"\\\\$1"), "\n", r"\\\\n"), F.lit('"'))
+    swap = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+    quoted = lambda c: F.concat(F.lit('"'), swap(swap(swap(c, "\\", "\\\\"), '"', '\\"'), "\n", "\\n"), F.lit('"'))
     sh = lambda p, value: F.concat(F.lit(f"<{SH}{p}> "), value)
     labels = best_labels(onto) if onto is not None else shapes.select(F.col("target_class").alias("s"), F.lit(None).cast("string").alias("label")).limit(0)
     rows = shapes.join(labels.withColumnsRenamed({"s": "path", "label": "name"}), "path", "left")

@@ -130,7 +130,8 @@ class _JsonLd:
 
     def iri(self, name: str, ctx: dict, term: bool = False) -> str:
         if term and name in ctx:
-            to = ctx[name]["@id"] if isinstance(ctx[name], dict) else ctx[name]
+            how = ctx[name]
+            to = how.get("@id", how.get("@reverse", name)) if isinstance(how, dict) else how
             return to if to == name or to.startswith("@") else self.iri(to, ctx)
         prefix, colon, rest = name.partition(":")
         if colon and not rest.startswith("//") and prefix in ctx and prefix != "_":
@@ -168,7 +169,8 @@ class _JsonLd:
         if isinstance(v, int):
             return ("literal", str(v)), datatype or XSD + "integer"
         if isinstance(v, float):
-            return ("literal", f"{v:E}"), datatype or XSD + "double"
+            digits, power = f"{v:.15E}".split("E")
+            return ("literal", f"{digits.rstrip('0')}{'0' * digits.rstrip('0').endswith('.')}E{int(power)}"), datatype or XSD + "double"
         return ("literal", str(v)), datatype
 
     def list(self, items: list, ctx: dict, how: dict) -> tuple[str, str]:
