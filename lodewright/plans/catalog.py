@@ -919,3 +919,6 @@ def turtle_parse_prefix(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{TURTLE_SQL} SELECT graph_id, defect NOT IN ('undeclared', 'truncated') AS valid, CAST(CASE WHEN defect IN ('undeclared', 'truncated', 'empty') THEN 0 WHEN defect = 'no_prefix' THEN 1 ELSE 3 END AS BIGINT) AS triple_count FROM tdocs")
 def turtle_validate(spark: SparkSession, sf: str) -> DataFrame:
     return turtle.turtle_status(_cleaned(spark, sf)).select("graph_id", "valid", "triple_count")
+
+
+from . import flows  # noqa: E402, F401 - its queries are registered as it is read
