@@ -296,7 +296,7 @@ def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS, near_words: i
     Lines end at a line feed; words split at ASCII white space, A-Z in lower case. Equal lines of at least
     ``least_words`` words, and near lines of at least ``near_words``, go after the earliest, by doc_id (null
     last) and line number. An earlier line counts whether or not it goes itself. Shorter lines always stay. Repeated
-    rows, equal in id and text, count as one document. Ids are whole numbers or null. Empty texts and blank lines have
+    rows, equal in id and text, count as one document. Ids are whole numbers below 2^63 - 1, or null. Empty texts and blank lines have
     no words and stay; an empty table gives an empty table; extra columns aren't read. Lines of any length take part.
 
     A key that ``hot_lines`` lines have is dealt to several tasks. ``key_bits`` is there for tests: with few bits, keys

@@ -164,8 +164,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     is whole. Slots meet rows by a join on (source, block). What the driver holds is a row a source and
     ``shards`` counts for each.
 
-    Null and empty texts have size 0 and are never drawn. A null source is a source. Repeated rows count each.
-    Extra columns aren't read; an empty table gives empty results.
+    Null and empty texts have size 0 and are never drawn. A null source is a source, a null id an id like others.
+    Repeated rows count each. Extra columns aren't read; an empty table gives empty results.
     """
     spark = docs.sparkSession
     sized, _ = written(_sized(docs, id_column, text_column, source_column), "mix-sizes")

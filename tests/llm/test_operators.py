@@ -578,6 +578,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert len(list(warc.parse(raw))) == raw.count(b"WARC-Record-ID")
 
 
+def test_warc_takes_null_ids_and_empty_tables(spark, tmp_path):
+    table = spark.createDataFrame([(None, "u", "x"), (4, None, "x"), (None, None, None), (None, "u", "y")], "page_id long, url string, html string")
+    warc.write_warc(table, str(tmp_path / "w"))
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["error"]) for r in warc.resolve(warc.reassemble(warc.read_segments(spark, str(tmp_path / "w")))).collect())
+    assert got == {(None, "revisit", 4, 1, None): 1, (4, "response", None, 1, None): 1, (None, "response", None, 0, None): 1, (None, "response", None, 1, None): 1}
+    warc.write_warc(table.where("false"), str(tmp_path / "none"))
+    assert warc.resolve(warc.reassemble(warc.read_segments(spark, str(tmp_path / "none")))).count() == 0
+
+
 def test_segments_that_are_lost_or_wrong(spark, tmp_path):
     table = spark.createDataFrame([(5, "u", "abc" * 1000)], "page_id long, url string, html string")
     warc.write_warc(table, str(tmp_path / "w"), segment_bytes=1000)
@@ -712,6 +721,13 @@ def test_entry_lists_all_queries():
     assert json.dumps(sorted(entry.oracle_sql()))
 
 
+def test_jaccard_takes_null_ids_and_very_long_texts(spark):
+    long_ = " ".join(f"w{i % 50_000}" for i in range(60_000))
+    rows = [(None, "a b c d e f", "x"), (3, "A b c d e f", "x"), (None, None, "x"), (5, long_, "x"), (9, long_ + " more", "x"), (7, "a b", "x"), (8, "a b", "x")]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_links(docs(spark, rows), 4, 85, 100).collect())
+    assert got == {(None, 3, 3, 1): 1, (3, 3, 3, 1): 1, (None, 0, None, 0): 1, (5, 50_000, 5, 1): 1, (9, 50_001, 5, 1): 1, (7, 1, 7, 1): 1, (8, 1, 7, 1): 1}
+
+
 def test_thinned_keys_connect_what_all_do():
     r = np.random.default_rng(3)
     for num, den in ((80, 100), (85, 100)):
