@@ -33,6 +33,12 @@ def text_words(text: str | None) -> Counter:
     return Counter(WORD.findall((text or "").lower()))
 
 
+def known_counts(text: str | None, known: dict[str, int]) -> dict[int, int]:
+    """How often a whole text has each term that is known, by the term's number."""
+    found = text_words(text)
+    return {known[w]: found[w] for w in found.keys() & known.keys()}
+
+
 def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The numbers low[0] to high[0], low[1] to high[1] and so on, one after the other."""
     size = high - low
@@ -88,8 +94,10 @@ class Index:
         self.bare = 0.0
 
     def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[t] for t in at.tolist()], float))) * self.weights[at] if len(at) else np.zeros(0)
+        at = np.fromiter(counts.keys(), np.int64, len(counts))
+        order = np.argsort(at)
+        at, n = at[order], np.fromiter(counts.values(), float, len(counts))[order]
+        w = (1 + np.log(n)) * self.weights[at]
         return at, w / (np.sqrt((w * w).sum()) or 1.0)
 
     def nearest(self, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES
             for text in batch.column(0).to_pylist():
                 n += 1
                 if text:
-                    seen[[known[w] for w in set(WORD.findall(text.lower())) if w in known]] += 1
+                    seen[[known[w] for w in known.keys() & set(WORD.findall(text.lower()))]] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, seen[at]])], ["term", "n"])
 
@@ -253,8 +261,7 @@ def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
                 answers = []
                 for text in batch.column(at).to_pylist():
                     if text not in last:
-                        counts = {known[w]: n for w, n in text_words(text).items() if w in known}
-                        score, ids, terms = index.score(counts)
+                        score, ids, terms = index.score(known_counts(text, known))
                         last[text] = score, ids, [names[t] for t in terms]
                     answers.append(last[text])
                 last = {}  # equal texts of a batch are scored once
