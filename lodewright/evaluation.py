@@ -67,7 +67,7 @@ def evaluate(g: Graphs, ontology: DataFrame | None = None) -> DataFrame:
     to_text = lambda d: d.withColumnRenamed("graph_id", "text_id")
     per = lambda f, *c: to_text(_by_system(f(g.prefix.withColumn("graph_id", F.concat_ws("|", "system", "graph_id")).drop("system"))).select("graph_id", "system", *c))
     entities = matching.entity_recall(to_text(graphs.labelled_entities(g.gold)).select("text_id", "label"), per(graphs.labelled_entities, "label"), g.systems)
-    types = matching.type_scores(to_text(graphs.type_sets(g.gold)), per(graphs.type_sets, "label", "types", "seq"), g.systems)
+    types = matching.type_scores(to_text(graphs.type_sets(g.gold)), per(graphs.type_sets, "label", "types", "at"), g.systems)
     cover = matching.predicate_coverage(to_text(graphs.predicate_names(g.gold)), per(graphs.predicate_names, "predicate"), g.systems)
     if ontology is None:
         relations, concepts = g.items.sparkSession.createDataFrame([("sameas",)], "relation string"), []

@@ -6,7 +6,7 @@ nodes are known within their graph.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewright.functions.text import CRM, DOMAIN, RDF_TYPE, RDFS_LABEL, SAME_AS, local_name, namespace
@@ -98,13 +98,22 @@ def labelled_entities(triples: DataFrame) -> DataFrame:
     return both.groupBy("graph_id", "label").agg(F.max_by("uri", "seq").alias("uri"), F.min("seq").alias("seq"))
 
 
+def _by_object(triples: DataFrame) -> DataFrame:
+    """Adds at: the order of a predicate's triples by their object's first place, then by their own."""
+    first = F.min("seq").over(Window.partitionBy("graph_id", "p", "o_kind", "o", "lang", "datatype"))
+    return triples.withColumn("_first", first).withColumn("at", F.struct("_first", "seq")).drop("_first")
+
+
 def type_sets(triples: DataFrame) -> DataFrame:
-    """(graph_id, label, types, seq): the type names of each label, sorted; a URI goes by its last label, or its last part."""
-    named = triples.where((F.col("p") == RDFS_LABEL) & (F.col("s_kind") == "uri")).groupBy("graph_id", F.col("s").alias("node")).agg(F.trim(F.max_by("o", "seq")).alias("label"))
-    typed = triples.where((F.col("p") == RDF_TYPE) & (F.col("s_kind") == "uri") & (F.col("o_kind") == "uri")).select("graph_id", F.col("s").alias("node"), local_name(F.col("o")).alias("type"), "seq")
+    """(graph_id, label, types, at): the type names of each label, sorted; a URI goes by its last label, or its last part.
+
+    Labels and types are taken object by object, in the order in which the objects come first; at orders labels so.
+    """
+    named = _by_object(triples.where((F.col("p") == RDFS_LABEL) & (F.col("s_kind") == "uri"))).groupBy("graph_id", F.col("s").alias("node")).agg(F.trim(F.max_by("o", "at")).alias("label"))
+    typed = _by_object(triples.where(F.col("p") == RDF_TYPE)).where((F.col("s_kind") == "uri") & (F.col("o_kind") == "uri")).select("graph_id", F.col("s").alias("node"), local_name(F.col("o")).alias("type"), "at")
     both = typed.join(named, ["graph_id", "node"], "left")
     label = F.coalesce("label", _readable(F.col("node")))
-    return both.withColumn("label", label).where("label <> ''").groupBy("graph_id", "label").agg(F.array_sort(F.collect_set("type")).alias("types"), F.min("seq").alias("seq"))
+    return both.withColumn("label", label).where("label <> ''").groupBy("graph_id", "label").agg(F.array_sort(F.collect_set("type")).alias("types"), F.min("at").alias("at"))
 
 
 def predicate_names(triples: DataFrame) -> DataFrame:

@@ -141,10 +141,10 @@ def type_scores(gold: DataFrame, pred: DataFrame, systems: DataFrame, ratio: boo
     """(text_id, system, tp, fp, fn, p, r, f1) over type sets of labels.
 
     A gold label takes the predicted label that equals it, else one that does in lower case, else a similar one;
-    the first of each. Without one, its types are missed; predicted labels that none takes count for nothing.
+    the first of each by at. Without one, its types are missed; predicted labels that none takes count for nothing.
     """
     g = gold.select("text_id", F.col("label").alias("glabel"), F.col("types").alias("gtypes")).crossJoin(F.broadcast(systems))
-    p = pred.select("text_id", "system", F.col("label").alias("plabel"), F.col("types").alias("ptypes"), F.col("seq").alias("pseq"))
+    p = pred.select("text_id", "system", F.col("label").alias("plabel"), F.col("types").alias("ptypes"), F.col("at").alias("pseq"))
     low = F.lower("glabel") == F.lower("plabel")
     exact = g.join(p.withColumn("_low", F.lower("plabel")), (g["text_id"] == p["text_id"]) & (g["system"] == p["system"]) & (F.lower("glabel") == F.col("_low"))).select(g["text_id"], g["system"], "glabel", "gtypes", "plabel", "ptypes", "pseq")
     pairs = exact.withColumn("tier", F.when(F.col("glabel") == F.col("plabel"), 0).otherwise(1))

@@ -375,9 +375,9 @@ def _entities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return g, p
 
 
-_TYPES = """{1}_tnamed AS (SELECT graph_id, {0}s AS node, arg_max(o, seq) AS label FROM {1} WHERE p = '""" + RDFS_LABEL + """' GROUP BY ALL),
-{1}_types AS (SELECT t.graph_id, {2} coalesce(n.label, regexp_replace(regexp_extract(t.s, '[^/#]*$', 0), '[_-]', ' ', 'g')) AS label, list_sort(list(DISTINCT regexp_extract(t.o, '[^/#]*$', 0))) AS types, min(t.seq) AS seq
-  FROM {1} t LEFT JOIN {1}_tnamed n ON n.graph_id = t.graph_id AND n.node = t.s {3} WHERE t.p = '""" + RDF_TYPE + """' AND t.s_kind = 'uri' GROUP BY ALL)"""
+_TYPES = """{1}_tnamed AS (SELECT graph_id, {0}s AS node, arg_max(o, [first, seq]) AS label FROM (SELECT *, min(seq) OVER (PARTITION BY graph_id, {0}o, lang) AS first FROM {1} WHERE p = '""" + RDFS_LABEL + """') GROUP BY ALL),
+{1}_types AS (SELECT t.graph_id, {2} coalesce(n.label, regexp_replace(regexp_extract(t.s, '[^/#]*$', 0), '[_-]', ' ', 'g')) AS label, list_sort(list(DISTINCT regexp_extract(t.o, '[^/#]*$', 0))) AS types, min([first, t.seq]) AS seq
+  FROM (SELECT *, min(seq) OVER (PARTITION BY graph_id, {0}o) AS first FROM {1} WHERE p = '""" + RDF_TYPE + """') t LEFT JOIN {1}_tnamed n ON n.graph_id = t.graph_id AND n.node = t.s {3} WHERE t.s_kind = 'uri' GROUP BY ALL)"""
 _TYPES_BODY = f"""{_TYPES.format("", "grdf", "", "")}, {_TYPES.format("system, ", "prdf", "t.system,", "AND n.system = t.system")},
 type_ranked AS (SELECT g.graph_id, p.system, g.label, g.types AS gt, p.types AS pt, row_number() OVER (PARTITION BY g.graph_id, p.system, g.label ORDER BY CASE WHEN g.label = p.label THEN 0 WHEN lower(g.label) = lower(p.label) THEN 1 ELSE 2 END, p.seq, p.label) AS n FROM grdf_types g JOIN prdf_types p ON p.graph_id = g.graph_id AND {_like_sql("lower(g.label)", "lower(p.label)")}),
 own AS (SELECT g.graph_id, s.system, CASE WHEN pt IS NULL THEN 0 ELSE len(list_intersect(g.types, pt)) END AS tp, CASE WHEN pt IS NULL THEN 0 ELSE len(list_filter(pt, lambda x: NOT list_contains(g.types, x))) END AS fp, len(g.types) - CASE WHEN pt IS NULL THEN 0 ELSE len(list_intersect(g.types, pt)) END AS fn FROM grdf_types g CROSS JOIN systems s LEFT JOIN type_ranked r ON r.graph_id = g.graph_id AND r.system = s.system AND r.label = g.label AND r.n = 1),
@@ -400,7 +400,7 @@ def type_f1_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 def _types(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     g = graphs.type_sets(views.gold_rdf(spark, sf)).withColumnRenamed("graph_id", "text_id")
-    p = _per_system(spark, graphs.type_sets, views.pred_rdf(spark, sf), "label", "types", "seq").withColumnRenamed("graph_id", "text_id")
+    p = _per_system(spark, graphs.type_sets, views.pred_rdf(spark, sf), "label", "types", "at").withColumnRenamed("graph_id", "text_id")
     return g, p
 
 

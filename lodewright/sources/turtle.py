@@ -155,11 +155,14 @@ class Reader:
                 if term.kind != "uri":
                     raise TurtleError("a predicate must be an IRI")
                 predicate = term.value
+            objects = []  # an error in a list of objects loses the whole list, but not what stands inside its objects
             while True:
-                yield subject, predicate, (yield from self._term())
+                objects.append((yield from self._term()))
                 if self._value != "," or self._kind != "mark":
                     break
                 self._next()
+            for value in objects:
+                yield subject, predicate, value
             if self._value != ";" or self._kind != "mark":
                 return
             while self._value == ";" and self._kind == "mark":

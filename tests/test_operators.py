@@ -69,12 +69,21 @@ def test_entity_recall_and_types_fuzzy(spark):
     assert matching.entity_recall(gold, pred, systems).first()["matched"] == 3
     pred = pred.where("label <> 'architectures'").unionByName(spark.createDataFrame([("t", "V", "architektura")], pred.schema))
     assert matching.entity_recall(gold, pred, systems, ratio=False).first()["matched"] == 2
-    g = spark.createDataFrame([("t", "Berlin", ["A", "B"], 0), ("t", "Paris", ["A"], 1)], "text_id string, label string, types array<string>, seq long")
-    p = spark.createDataFrame([("t", "V", "Berlin wall", ["C"], 0), ("t", "V", "berlin", ["A", "C"], 1)], "text_id string, system string, label string, types array<string>, seq long")
+    g = spark.createDataFrame([("t", "Berlin", ["A", "B"], 0), ("t", "Paris", ["A"], 1)], "text_id string, label string, types array<string>, at long")
+    p = spark.createDataFrame([("t", "V", "Berlin wall", ["C"], 0), ("t", "V", "berlin", ["A", "C"], 1)], "text_id string, system string, label string, types array<string>, at long")
     row = matching.type_scores(g, p, systems).first()
     assert (row["tp"], row["fp"], row["fn"]) == (1, 1, 2)
 
 
+def test_types_go_by_the_order_of_their_objects(spark):
+    text = """@prefix e: <http://e/> . @prefix r: <http://www.w3.org/2000/01/rdf-schema#> .
+    e:a a e:T . e:b a e:U , e:T ; r:label "one" , "two" . e:c r:label "two" , "one" ; a e:U ."""
+    g = turtle.parse_turtle(spark.createDataFrame([("g", text)], "graph_id string, text string"))
+    got = [(r["label"], r["types"]) for r in graphs.type_sets(g).orderBy("at").collect()]
+    # "two" comes after "one" as an object, so that both subjects are called so; of the type T all are before those of U.
+    assert got == [("a", ["T"]), ("two", ["T", "U"])]
+
+
 def test_bootstrap(spark):
     values = spark.createDataFrame([("V", i, float(i)) for i in range(10)], "system string, slot long, value double")
     row = metrics.bootstrap_by_hash(values, 100).first()

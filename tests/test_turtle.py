@@ -50,3 +50,12 @@ def test_tables(spark, tmp_path):
     assert spark.sql("SELECT s FROM docs, LATERAL parse_turtle(text, 'STRICT')").count() == 1
     (tmp_path / "a.ttl").write_text(HEAD + "ex:a ex:b 1 .")
     assert spark.read.format("turtle").option("path", str(tmp_path)).load().first()["graph_id"] == "a"
+
+
+def test_an_error_loses_its_list_of_objects():
+    head = "@prefix e: <http://e/> . e:a e:p e:b ; "
+    assert len(turtle.read(head + "e:q e:c , bare , e:d .", turtle.PREFIX)[0]) == 1
+    assert len(turtle.read(head + "e:q e:c , e:d ; e:r bare .", turtle.PREFIX)[0]) == 3
+    rows, error = turtle.read(head + "e:q [ e:r e:x , e:y ] , bare .", turtle.PREFIX)
+    assert [r[3].rsplit("/", 1)[1] for r in rows] == ["p", "r", "r"] and error
+    assert [r[3].rsplit("/", 1)[1] for r in turtle.read(head + "e:q [ e:r e:x ] , e:y .")[0]] == ["p", "r", "q", "q"]
