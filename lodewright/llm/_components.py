@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ._store import forget, written
 
+HUBS = 4096
+HUB_EDGES = 500
+
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label) for nodes that aren't the smallest of their component; label is the smallest.
@@ -16,18 +19,25 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     spark = edges.sparkSession
     now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    before = None
-    while True:
+    before, state = None, _state(now)
+    while state != before and state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+        # Nodes that very many others hang on are told to all; there are at most 2 * HUBS of them.
+        hubs = F.broadcast(least.where(F.col("n") > max(HUB_EDGES, state[0] // HUBS)).select("u", F.col("m").alias("_m")))
+        split = both.join(hubs, "u", "left")
+        near = split.where("_m is not null").select("u", "v", F.col("_m").alias("m"))
+        told = near.unionByName(split.where("_m is null").join(least, "u").select("u", "v", "m"))
+        large = told.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         paired = large.join(low, "u")
         small = paired.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after, fresh = written(small, name)
-        state = after.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         forget(spark, path)
-        now, path = after, fresh
-        if state == before or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before = state
+        now, path, before, state = after, fresh, state, _state(after)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def _state(edges: DataFrame) -> tuple:
+    """How many edges there are, and a digest of all."""
+    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())

@@ -17,7 +17,7 @@ from ._store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 256
-GROUP_ROWS = 5_000
+GROUP_ROWS = 1_000
 
 
 @dataclass(frozen=True)

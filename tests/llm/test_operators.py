@@ -63,6 +63,26 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    from lodewright.llm import _components
+
+    monkeypatch.setattr(_components, "HUB_EDGES", 10)
+    r = random.Random(4)
+    edges = [(900, i) for i in range(100, 160)] + [(160 + i, 5) for i in range(40)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(120)] + [(900, 170)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {x["node"]: x["label"] for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
 # -- 1 --------------------------------------------------------------------------------------------------------------
 
 
