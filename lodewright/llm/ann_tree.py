@@ -184,7 +184,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     width = widths[0]
     rows = rows.where(F.size("v") == width["n"])
     asked = asked.where(F.size("v") == width["n"]).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked, _ = written(asked.repartition(2 * spark.sparkContext.defaultParallelism, "vec_id"), "ann-asked")  # few bytes, but much work
+    asked, _ = written(asked, "ann-asked")
     tree, placed, sizes = _grown(rows, width["count"], sample_rows, branch, leaf_rows, most_leaves)
     trial = asked.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(trial_queries).toArrow()
     trial_ids, trial_vectors = trial["vec_id"].to_numpy(), _matrix(trial["v"])
@@ -295,7 +295,8 @@ def _nearest_of(placed: DataFrame, asked: DataFrame, sent, low: int, high: int,
                 at = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(shard).astype(np.int32)), pa.array(leaves, pa.list_(pa.int32()))], ["query_id", "q", "shard", "leaves"])
 
-    routed, routed_at = written(asked.select("vec_id", "v").mapInArrow(route, "query_id long, q array<double>, shard int, leaves array<int>"), "ann-routes")
+    tasks = 2 * spark.sparkContext.defaultParallelism  # few bytes, but much work
+    routed, _ = written(asked.select("vec_id", "v").repartition(tasks, "vec_id").mapInArrow(route, "query_id long, q array<double>, shard int, leaves array<int>"), "ann-routes")
     turns = np.zeros(int((sent.value[1] + sent.value[2]).max(initial=1)), np.int32)  # 4 bytes for each SHARD_ROWS rows
     for r in routed.groupBy("shard").count().collect():
         turns[r["shard"]] = -(-r["count"] // QUERY_BLOCK)
