@@ -1,14 +1,18 @@
 """N-gram Jaccard join: a size-aware heavy-light join on word shingles, and the components of its links.
 
 Sets of at most ``boundary`` shingles enumerate subsets of the sizes that an intersection may have: two sets
-that link share such a subset. For larger sets inverted lists are scanned; an entry of a list is the content of
-one hashed group of a set's shingles. Two sets that link differ in at most k shingles, so of more than k groups
-some are the same in both. Single shingles as entries would make the list of a passage that many documents
-share as long as those documents are many; a group's content repeats only where sets are nearly the same. The
-boundary is the size from which enumeration writes more keys than lists do, weighed over the sizes found.
-
-Both schemes lose no link. What shares a key is a candidate cluster; within clusters every pair is compared
-exactly, in blocks of bounded size, on sorted shingle hashes of 64 bits.
+that link share such a subset. Larger sets are entered in inverted lists, each under its rarest shingles, so many
+that two sets that link have SHARED of them in common at least. The lists are scanned: the sets of a list are paired,
+where their sizes allow a link, and pairs are counted over all lists. The boundary is the size from which enumeration
+writes more keys than lists do, weighed over the sizes found.
+
+A list of more than LIGHT sets is heavy: pairing its sets would be quadratic. All sets of heavy lists are entered anew,
+under the contents of hashed groups of their shingles. Two sets that link differ in at most k shingles, so of more than k
+groups some are the same in both; and a group's content repeats only where sets are nearly the same, so that its sets
+are linked by size, without pairs.
+
+No link is lost. What is connected is a candidate cluster; within clusters every pair is compared exactly, in blocks of
+bounded size, on sorted shingle hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -37,7 +41,11 @@ COMMON_SETS = 4
 MOST_COMMON = 500_000
 BUCKET_KEYS = 1_000_000
 MOST_SMALL = 24
+MOST_BROADCAST = 100_000
 SALTS = 32
+SHARED = 3
+LIGHT = 32
+DENSE = np.uint16(1 << 15)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -74,13 +82,17 @@ def set_digests(found: np.ndarray) -> tuple[int, int]:
 class Scheme:
     """Keys of a set for links of num/den; sizes over ``boundary`` fall into classes for the lists.
 
-    ``common``: sorted hashes of shingles that many sets have. A group of such shingles alone is weak. Which
-    shingles these are bears on the number of candidates only: whatever they are, no link is lost.
+    ``common``: sorted hashes of shingles that many sets have, ``often``: how many each. They come last in the order by
+    which a set's rarest shingles are chosen, and a group of them alone is weak. Which shingles these are bears on the
+    number of candidates only: whatever they are, no link is lost.
     """
 
-    def __init__(self, num: int, den: int, boundary: int, common: np.ndarray | None = None):
+    def __init__(self, num: int, den: int, boundary: int, common: np.ndarray | None = None, often: np.ndarray | None = None):
         self.num, self.den, self.boundary = num, den, boundary
         self.common = np.zeros(0, U) if common is None else common
+        self.often = np.zeros(len(self.common), np.int64) if often is None else often
+        smallest = next(n for n in range(1, 10_000) if self.largest_partner(n) > boundary)
+        self.shared = max(1, min(SHARED, self.least_common(smallest)))
         self.tops: list[int] = [boundary]
         self._groups: dict[int, tuple[int, int, int]] = {}
 
@@ -160,21 +172,40 @@ class Scheme:
         empty = np.setdiff1d(np.arange(m), at[starts].astype(np.int64))
         return [*out, all_[~good], mix(empty.astype(U) * U(0xE7037ED1A0B428DB) + salt + U(77))]
 
-    def keys(self, found: np.ndarray) -> np.ndarray:
+    def list_entries(self, n: int) -> int:
+        """How many of its rarest shingles a set of n is entered under: any intersection that makes a link has ``shared`` of them."""
+        return min(n, n - self.least_common(n) + self.shared) if self.largest_partner(n) > self.boundary else 0
+
+    def rarest(self, found: np.ndarray) -> np.ndarray:
+        """A set's first shingles in an order that is the same for all sets: those that aren't common by hash, then the others by how common they are."""
+        size = self.list_entries(len(found))
+        if not size or not len(self.common):
+            return found[:size]
+        near = np.minimum(np.searchsorted(self.common, found), len(self.common) - 1)
+        common = self.common[near] == found
+        rare = found[~common][:size]
+        often = found[common][np.argsort(self.often[near[common]], kind="stable")]
+        return np.concatenate([rare, often[: size - len(rare)]])
+
+    def subsets(self, found: np.ndarray) -> np.ndarray:
         n = len(found)
-        if not n:
-            return found
+        if n > self.boundary:
+            return np.zeros(0, U)
         mixed = mix(found ^ U(0xA0761D6478BD642F))
-        out = []
-        if n <= self.boundary:
-            total = int(mixed.sum(dtype=U))
-            each = mixed.tolist()
-            for gone in range(n - self.least_common(n) + 1):
-                out += [mix_int(total - sum(x) + (n - gone) * 0xE7037ED1A0B428DB) for x in combinations(each, gone)]
-            out = [np.array(out, U)]
-        for c in self.classes(n):
-            out += self._list_keys(found, mixed, c)
-        return np.concatenate(out)
+        total, each, out = int(mixed.sum(dtype=U)), mixed.tolist(), []
+        for gone in range(n - self.least_common(n) + 1):
+            out += [mix_int(total - sum(x) + (n - gone) * 0xE7037ED1A0B428DB) for x in combinations(each, gone)]
+        return np.array(out, U)
+
+    def group_keys(self, found: np.ndarray) -> np.ndarray:
+        """The second entries of sets of heavy lists; their lowest bit is 1, as sharing one is enough."""
+        mixed = mix(found ^ U(0xA0761D6478BD642F))
+        parts = [k for c in self.classes(len(found)) for k in self._list_keys(found, mixed, c)]
+        return (np.concatenate(parts) if parts else np.zeros(0, U)) | U(1)
+
+    def keys(self, found: np.ndarray) -> np.ndarray:
+        """Subsets, of which sharing one is enough (the lowest bit is 1), and list entries, of which ``shared`` are needed (0)."""
+        return np.concatenate([self.subsets(found) | U(1), mix(self.rarest(found) + U(0xD1342543DE82EF95)) & ~U(1)])
 
 
 def choose_boundary(sizes: dict[int, int], num: int, den: int) -> int:
@@ -185,7 +216,7 @@ def choose_boundary(sizes: dict[int, int], num: int, den: int) -> int:
 
     def cost(x: int) -> float:
         scheme = Scheme(num, den, x)
-        return sum(k * ((scheme.subset_keys(n) if n <= x else 0) + scheme.list_keys(n)) for n, k in sizes.items())
+        return sum(k * ((scheme.subset_keys(n) if n <= x else 0) + scheme.list_entries(n)) for n, k in sizes.items())
 
     floor = den // (den - num)  # up to here a link needs one set inside the other, or equal
     return min(range(floor, MOST_SMALL + 1), key=lambda x: (cost(x), x))
@@ -233,21 +264,23 @@ def _linked(sets: list[np.ndarray], left: int, num: int, den: int) -> tuple[np.n
     return i, j + left
 
 
-def thinned(key: np.ndarray, owner: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A batch's keys in ascending order with their owners, and links a-b between owners that share one.
+def thinned(key: np.ndarray, owner: np.ndarray, size: np.ndarray, num: int, den: int, light: int = LIGHT) -> tuple[np.ndarray, ...]:
+    """A batch's keys in ascending order, their owners, and whether the key's list is known to be heavy; links a-b; owners of heavy lists.
 
-    Of the owners of a key, neighbours by size whose sizes allow a link are linked at once. Then only the smallest and
-    the largest in each range of sizes, ranges in which all sizes allow a link, need meet the owners from elsewhere:
-    whoever could link with one between them can link with one of them. So a key that very many sets have is thinned out
-    before it is shuffled.
+    Where sharing one key is enough (odd ones), of the owners of a key neighbours by size whose sizes allow a link are
+    linked at once. Then only the smallest and the largest in each range of sizes, ranges in which all sizes allow a link,
+    need meet the owners from elsewhere: whoever could link with one between them can link with one of them. Of a list that
+    is heavy in this batch alone one owner goes on, to tell the others. So what very many sets have is thinned out before
+    it is shuffled.
     """
     order = np.argsort(key, kind="stable")
     key, owner = key[order], owner[order]
-    again = np.r_[False, key[1:] == key[:-1]]
-    again |= np.r_[again[1:], False]
-    at = np.flatnonzero(again)
-    by = at[np.lexsort((size[owner[at]], key[at]))]
-    owner[at] = owner[by]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    runs = np.diff(np.r_[starts, len(key)])
+    run = np.repeat(runs, runs)
+    odd = (key & U(1)).astype(bool)
+    at = np.flatnonzero(odd & (run > 1))
+    owner[at] = owner[at[np.lexsort((size[owner[at]], key[at]))]]
     n = size[owner[at]].astype(np.int64)
     same = key[at][1:] == key[at][:-1]
     link = np.flatnonzero(same & (den * n[:-1] >= num * n[1:]) & (owner[at][1:] != owner[at][:-1])) if len(at) else np.zeros(0, np.int64)
@@ -255,9 +288,11 @@ def thinned(key: np.ndarray, owner: np.ndarray, size: np.ndarray, num: int, den:
     ranges = np.floor(np.log(np.maximum(n, 1)) / (log(den / num) * (1 - 1e-9)))
     first = np.r_[True, ~same | (ranges[1:] != ranges[:-1])] if len(at) else np.zeros(0, bool)
     last = np.r_[first[1:], True] if len(at) else first
-    keep = ~again
+    heavy = ~odd & (run > light)
+    keep = ~heavy & ~(odd & (run > 1))
     keep[at[first | last]] = True
-    return key[keep], owner[keep], a, b
+    keep[starts[~odd[starts] & (runs > light)]] = True
+    return key[keep], owner[keep], heavy[keep], a, b, np.unique(owner[heavy])
 
 
 def shingle_rows(docs: DataFrame, n: int, id_column: str, text_column: str, only: str | None = None) -> DataFrame:
@@ -292,10 +327,11 @@ def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
 
-def candidate_edges(texts: DataFrame, n: int, sent, buckets: int) -> DataFrame:
-    """(a, b): digests of sets that share a key, as chains along each key's sets by size; linear in the keys. ``sent``: a Scheme, broadcast."""
+def scanned(texts: DataFrame, n: int, keys_of, sent, buckets: int, light: int) -> DataFrame:
+    """(a, b, n): digests of two sets and how many list entries they share in one bucket; n is ``shared`` where that is settled;
+    a = b: a set of a heavy list. ``sent``: a Scheme, broadcast; ``keys_of``: its keys of a set."""
 
-    num, den = sent.value.num, sent.value.den
+    num, den, shared = sent.value.num, sent.value.den, sent.value.shared
 
     @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +344,7 @@ def candidate_edges(texts: DataFrame, n: int, sent, buckets: int) -> DataFrame:
                     if not len(found) or (d := set_digests(found)[0]) in seen:
                         continue
                     seen.add(d)
-                    keys.append(scheme.keys(found))
+                    keys.append(keys_of(scheme, found))
                     digests.append(d)
                     sizes.append(len(found))
                 if not keys:
@@ -316,52 +352,106 @@ def candidate_edges(texts: DataFrame, n: int, sent, buckets: int) -> DataFrame:
                 counts = np.array([len(k) for k in keys])
                 key, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), counts)
                 head = np.array(digests, np.int64), np.array(sizes, np.int32)
-                key, owner, a, b = thinned(key, owner, head[1], num, den)
+                key, owner, heavy, a, b, crowd = thinned(key, owner, head[1], num, den, light)
                 bucket = ((key >> U(32)) * U(buckets)) >> U(32)  # ascends as the key does
-                starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(key) else np.zeros(0, np.int64)
                 out = []
-                for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+                for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=False):
                     own, place = np.unique(owner[low:high], return_inverse=True)
-                    out.append((int(bucket[low]), key[low:high].tobytes(), place.astype(np.uint16).tobytes(), head[0][own].tobytes(), head[1][own].tobytes()))
-                if len(a):
-                    root = _forest(len(digests), a, b)
-                    moved = np.flatnonzero(root != np.arange(len(root)))
-                    out.append((abs(digests[0]) % buckets, b"", b"", head[0][moved].tobytes(), head[0][root[moved]].tobytes()))  # links, not a list's entries
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], ["bucket", "key", "owner", "digest", "size"])
+                    out.append((int(bucket[low]), key[low:high].tobytes(), (place.astype(np.uint16) | np.where(heavy[low:high], DENSE, 0).astype(np.uint16)).tobytes(), head[0][own].tobytes(), head[1][own].tobytes()))
+                root = _forest(len(digests), a, b)
+                moved = np.flatnonzero(root != np.arange(len(root)))
+                if len(moved) or len(crowd):  # links, and sets of heavy lists, not a list's entries
+                    out.append((abs(digests[0]) % buckets, b"", b"", head[0][np.r_[moved, crowd]].tobytes(), head[0][np.r_[root[moved], crowd]].tobytes()))
+                columns = list(zip(*out, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 4, strict=True)], ["bucket", "key", "owner", "digest", "size"])
+
+    shape = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
 
-    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    def rows(a: np.ndarray, b: np.ndarray, count: np.ndarray | int) -> pa.Table:
+        return pa.table({"a": a, "b": b, "n": np.broadcast_to(np.asarray(count, np.int32), len(a))}, shape)
 
     def scan(_: tuple, table: pa.Table) -> pa.Table:
-        linked = pc.equal(pc.binary_length(table["key"]), 0)
-        done, table = table.filter(linked), table.filter(pc.invert(linked))
-        done = pa.table({"a": np.frombuffer(b"".join(done["digest"].to_pylist()), np.int64), "b": np.frombuffer(b"".join(done["size"].to_pylist()), np.int64)}, shape)
+        told = pc.equal(pc.binary_length(table["key"]), 0)
+        ready, table = table.filter(told), table.filter(pc.invert(told))
+        ready = [np.frombuffer(b"".join(ready[c].to_pylist()), np.int64) for c in ("digest", "size")]
+        out = [rows(*ready, shared)]
         if not table.num_rows:
-            return done
+            return out[0]
         key = np.frombuffer(b"".join(table["key"].to_pylist()), U)
-        digest, size = [], []
+        digest, size, dense = [], [], []
         for o, d, s in zip(table["owner"].to_pylist(), table["digest"].to_pylist(), table["size"].to_pylist(), strict=True):
             own = np.frombuffer(o, np.uint16)
+            dense.append(own >= DENSE)
+            own = own & ~DENSE
             digest.append(np.frombuffer(d, np.int64)[own])
             size.append(np.frombuffer(s, np.int32)[own])
-        digest, size = np.concatenate(digest), np.concatenate(size)
+        digest, size, dense = np.concatenate(digest), np.concatenate(size), np.concatenate(dense)
         order = np.argsort(key)
         sorted_key = key[order]
         again = np.r_[False, sorted_key[1:] == sorted_key[:-1]]
-        order = order[again | np.r_[again[1:], False]]
-        key, digest, size = key[order], digest[order], size[order]
+        order = order[again | np.r_[again[1:], False] | dense[order]]
+        key, digest, size, dense = key[order], digest[order], size[order], dense[order]
         order = np.lexsort((digest, size, key))
-        key, digest, size = key[order], digest[order], size[order]
-        link = np.flatnonzero((key[1:] == key[:-1]) & (digest[1:] != digest[:-1]) & (den * size[:-1].astype(np.int64) >= num * size[1:])) if len(key) else np.zeros(0, int)
+        key, digest, size, dense = key[order], digest[order], size[order], dense[order]
+        once = np.r_[True, (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])] if len(key) else np.zeros(0, bool)
+        if not once.all():  # the same set from several batches; what one of them knows of the list counts
+            known = np.unique(key[dense])
+            key, digest, size = key[once], digest[once], size[once]
+            dense = np.isin(key, known)
         names, at = np.unique(digest, return_inverse=True)
+        odd = (key & U(1)).astype(bool)
+        link = np.flatnonzero((key[1:] == key[:-1]) & odd[1:] & (den * size[:-1].astype(np.int64) >= num * size[1:])) if len(key) else np.zeros(0, int)
         root = _forest(len(names), at[link], at[link + 1])
         moved = np.flatnonzero(root != np.arange(len(names)))
-        return pa.concat_tables([done, pa.table({"a": names[moved], "b": names[root[moved]]}, shape)])
+        out.append(rows(names[moved], names[root[moved]], shared))
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        runs = np.diff(np.r_[starts, len(key)])
+        heavy = (np.logical_or.reduceat(dense, starts) | (runs > light)) & ~odd[starts] if len(starts) else np.zeros(0, bool)
+        crowd = np.unique(at[np.repeat(heavy, runs)])
+        out.append(rows(names[crowd], names[crowd], 0))
+        codes = []
+        for length in np.unique(runs[~heavy & (runs > 1) & ~odd[starts]]).tolist() if len(starts) else []:
+            list_at = starts[~heavy & (runs == length) & ~odd[starts]]
+            i, j = np.triu_indices(length, 1)
+            for low in range(0, len(list_at), 1 + 2_000_000 // len(i)):
+                member = list_at[low : low + 1 + 2_000_000 // len(i), None] + np.arange(length)
+                x, y = member[:, i].ravel(), member[:, j].ravel()  # in order of size
+                fits = den * size[x].astype(np.int64) >= num * size[y]
+                p, q = at[x[fits]], at[y[fits]]
+                codes.append(np.unique(np.minimum(p, q) << 32 | np.maximum(p, q), return_counts=True))
+        if codes:
+            code, count = (np.concatenate(c) for c in zip(*codes, strict=True))
+            code, place = np.unique(code, return_inverse=True)
+            out.append(rows(names[code >> 32], names[code & 0xFFFFFFFF], np.bincount(place, count)))
+        return pa.concat_tables(out)
 
     keyed = texts.mapInArrow(write, "bucket int, key binary, owner binary, digest binary, size binary")
-    return keyed.groupBy("bucket").applyInArrow(scan, "a long, b long")
-
-
-def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return keyed.groupBy("bucket").applyInArrow(scan, "a long, b long, n int")
+
+
+def candidate_edges(texts: DataFrame, rows: DataFrame, n: int, scheme: Scheme, common_rows: list, light: int) -> DataFrame:
+    """(a, b): digests of sets that may link, or that are connected by such."""
+    spark = texts.sparkSession
+    sent, least = spark.sparkContext.broadcast(scheme), spark.sparkContext.defaultParallelism
+    shingles = sum(r["all"] or 0 for r in common_rows)
+    found, _ = written(scanned(texts.select("text"), n, Scheme.keys, sent, max(least, int(shingles * scheme.list_entries(1000) / 1000) // BUCKET_KEYS + 1), light), "jaccard-lists")
+    edges = found.where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= scheme.shared).select("a", "b")
+    crowd, _ = written(found.where("a = b").select(F.col("a").alias("d1")).distinct(), "jaccard-heavy")
+    total = crowd.count()
+    if not total:
+        return edges
+    firsts = rows.where("d1 is not null").groupBy("d1").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"))
+    chosen = firsts.join(F.broadcast(crowd) if total <= MOST_BROADCAST else crowd, "d1", "left_semi")
+    some, _ = written(chosen, "jaccard-crowd")
+    size = some.agg(F.sum("size")).first()[0]
+    ids = some.select("first").distinct()
+    own = texts.join(F.broadcast(ids) if total <= MOST_BROADCAST else ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first"))).select("text")
+    again = scanned(own, n, Scheme.group_keys, sent, max(least, int(size * scheme.list_keys(1000) / 1000) // BUCKET_KEYS + 1), light)
+    return edges.unionByName(again.where("a <> b").select("a", "b"))
+
+
+def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block_rows: int = BLOCK_ROWS, light: int = LIGHT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, n_links.
 
     A set: the distinct n-word shingles of the whole text, A-Z in lower case, words split at ASCII white
@@ -377,12 +467,11 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     rows, _ = written(shingle_rows(docs, n, id_column, text_column), "jaccard-rows")
     counted = rows.groupBy(F.least("n_shingles", F.lit(MOST_SMALL + 1)).alias("size")).agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("all")).collect()  # at most MOST_SMALL + 2 rows
     often = rows.select(F.explode("often").alias("x")).groupBy("x").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "x").limit(MOST_COMMON).toArrow()  # 8 MB at most
-    common = np.sort(often["x"].to_numpy().astype(np.int64).view(U))
-    scheme = Scheme(num, den, choose_boundary({r["size"]: r["rows"] for r in counted if 0 < r["size"] <= MOST_SMALL}, num, den), common)
-    per_shingle = scheme.list_keys(1000) / 1000
-    buckets = max(spark.sparkContext.defaultParallelism, int(sum(r["all"] or 0 for r in counted) * per_shingle) // BUCKET_KEYS + 1)
+    common, times = often["x"].to_numpy().astype(np.int64).view(U), often["n"].to_numpy()
+    order = np.argsort(common)
+    scheme = Scheme(num, den, choose_boundary({r["size"]: r["rows"] for r in counted if 0 < r["size"] <= MOST_SMALL}, num, den), common[order], times[order])
     texts = _texts(docs, id_column, text_column)
-    edges, edges_at = written(candidate_edges(texts.select("text"), n, spark.sparkContext.broadcast(scheme), buckets), "jaccard-candidates")
+    edges, edges_at = written(candidate_edges(texts, rows, n, scheme, counted, light), "jaccard-candidates")
     clusters = connected_components(edges, "jaccard-clusters")
     members = clusters.select(F.col("node").alias("d1"), F.col("label").alias("cluster")).unionByName(clusters.select(F.col("label").alias("d1"), F.col("label").alias("cluster")).distinct())
     classes = rows.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))

@@ -695,8 +695,8 @@ def plain_jaccard(rows, n, num, den):
     return [(rows[i][0], len(sets[i]), rows[find(i)][0], links[i]) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize(("n", "num", "block"), [(4, 85, 384), (5, 80, 384), (2, 60, 3)])
-def test_jaccard(spark, n, num, block):
+@pytest.mark.parametrize(("n", "num", "block", "light"), [(4, 85, 384, 32), (5, 80, 384, 3), (2, 60, 3, 1), (3, 70, 384, 1000)])
+def test_jaccard(spark, n, num, block, light):
     r = random.Random(9)
     rows = corpus(120, 4)
     base = [f"v{i}" for i in range(40)]
@@ -706,7 +706,7 @@ def test_jaccard(spark, n, num, block):
             near[r.randrange(40)] = f"z{r.randint(0, 9)}"
         rows.append((400 + k, " ".join(near[: 40 - r.randint(0, 2)]), "a"))
     rows.append(rows[10])
-    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"], x["n_links"]) for x in jaccard_join.jaccard_links(docs(spark, rows), n, num, 100, block_rows=block).collect())
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"], x["n_links"]) for x in jaccard_join.jaccard_links(docs(spark, rows), n, num, 100, block_rows=block, light=light).collect())
     assert got == sorted(plain_jaccard(rows, n, num, 100))
 
 
@@ -721,8 +721,12 @@ def test_linked_sets_share_a_key(num, boundary):
         for _ in range(int(r.integers(0, 1 + n // 4))):
             b = np.delete(b, r.integers(0, len(b))) if r.random() < 0.5 and len(b) > 1 else np.unique(np.append(b, r.integers(0, 2**63).astype(np.uint64)))
         common = len(np.intersect1d(a, b))
+        often = np.sort(r.choice(a, len(a) // 3, replace=False))
+        scheme = jaccard_join.Scheme(num, 100, boundary, often, r.integers(1, 9, len(often)))
         if 100 * common >= num * (len(a) + len(b) - common):
-            assert np.intersect1d(scheme.keys(a), scheme.keys(b)).size
+            assert np.intersect1d(np.r_[scheme.subsets(a) | np.uint64(1), scheme.group_keys(a)], np.r_[scheme.subsets(b) | np.uint64(1), scheme.group_keys(b)]).size
+            same = np.intersect1d(scheme.keys(a), scheme.keys(b))
+            assert (same & np.uint64(1)).any() or len(same) >= scheme.shared > 0
 
 
 def test_keep_one(spark):
@@ -753,7 +757,7 @@ def test_thinned_keys_connect_what_all_do():
     for num, den in ((80, 100), (85, 100)):
         for _ in range(30):
             size = r.integers(20, 90, 120)
-            batches = [(r.integers(0, 4, 60).astype(np.uint64), r.integers(0, 120, 60)) for _ in range(4)]
+            batches = [(r.integers(0, 4, 60).astype(np.uint64) * 2 + 1, r.integers(0, 120, 60)) for _ in range(4)]
 
             def chained(parts):
                 key, owner = (np.concatenate(x) for x in zip(*parts))
@@ -763,6 +767,13 @@ def test_thinned_keys_connect_what_all_do():
                 return owner[link], owner[link + 1]
 
             few = [jaccard_join.thinned(k, o, size, num, den) for k, o in batches]
-            assert sum(len(k) for k, *_ in few) < sum(len(k) for k, _ in batches)
-            links = [np.concatenate(x) for x in zip(chained([x[:2] for x in few]), *(x[2:] for x in few))]
+            assert sum(len(k) for k, *_ in few) < sum(len(k) for k, _ in batches) and not any(x[2].any() or len(x[5]) for x in few)
+            links = [np.concatenate(x) for x in zip(chained([x[:2] for x in few]), *(x[3:5] for x in few))]
             assert (jaccard_join._forest(120, *links) == jaccard_join._forest(120, *chained(batches))).all()
+
+
+def test_heavy_lists_are_thinned_and_told():
+    key, owner = np.array([4, 4, 4, 8, 8, 7], np.uint64), np.array([0, 1, 2, 0, 3, 4])
+    key, owner, heavy, a, b, crowd = jaccard_join.thinned(key, owner, np.full(5, 30), 85, 100, light=2)
+    assert key.tolist() == [4, 7, 8, 8] and heavy.tolist() == [True, False, False, False]
+    assert crowd.tolist() == [0, 1, 2] and not len(a) and sorted(owner[2:].tolist()) == [0, 3]
