@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,30 +25,41 @@ STAGES = {
 }
 
 
-def generate(docs: DataFrame, stage: str, generator: Callable[[str, dict], str]) -> DataFrame:
-    """Adds the column ``stage`` and sets status: the generator gets a stage's name and the row; an error gives 'error: ...'."""
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in (stage, "status")]
+TRACE = "array<struct<stage:string,status:string,chars:int>>"
+
+
+def generate(docs: DataFrame, stage: str, generator: Callable[[str, dict], str], calls: int = 1) -> DataFrame:
+    """Adds the column ``stage``, sets status and lengthens trace: the generator gets a stage's name and the row.
+
+    An error gives 'error: ...', and a text with one takes part in no later stage. Up to ``calls`` rows of a batch are
+    asked for at once. trace: of each stage that was asked its name, its status and the answer's length.
+    """
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in (stage, "status", "trace")]
+
+    def answer(row: dict) -> tuple[str | None, str, list]:
+        before, trace = row.get("status") or "ok", [dict(x) for x in (row["trace"] if row.get("trace") is not None else [])]
+        if before.startswith("error"):
+            return None, before, trace
+        try:
+            found, state = generator(stage, row), before
+        except Exception as e:  # a text's failure is its own
+            found, state = None, f"error: {e}"
+        return found, state, [*trace, {"stage": stage, "status": state, "chars": len(found or "")}]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            answers, states = [], []
-            for row in batch.to_dict("records"):
-                try:
-                    answers.append(None if str(row.get("status", "ok")).startswith("error") else generator(stage, row))
-                    states.append(row.get("status", "ok"))
-                except Exception as e:  # a text's failure is its own
-                    answers.append(None)
-                    states.append(f"error: {e}")
-            yield batch.drop(columns=[c for c in (stage, "status") if c in batch]).assign(**{stage: answers, "status": states})
-
-    return docs.mapInPandas(run, ", ".join([*fields, f"`{stage}` string", "status string"]))
-
-
-def run_variant(docs: DataFrame, variant: str, generator: Callable[[str, dict], str]) -> DataFrame:
-    """(docs' columns, a column a stage, status, output): the stages of a variant in turn; the last one's answer is the output."""
+        with ThreadPoolExecutor(calls) as pool:
+            for batch in batches:
+                answers, states, traces = (list(x) for x in zip(*pool.map(answer, batch.to_dict("records")), strict=True)) if len(batch) else ([], [], [])
+                yield batch.drop(columns=[c for c in (stage, "status", "trace") if c in batch]).assign(**{stage: answers, "status": states, "trace": traces})
+
+    return docs.mapInPandas(run, ", ".join([*fields, f"`{stage}` string", "status string", f"trace {TRACE}"]))
+
+
+def run_variant(docs: DataFrame, variant: str, generator: Callable[[str, dict], str], calls: int = 1) -> DataFrame:
+    """(docs' columns, a column a stage, status, trace, output): the stages of a variant in turn; the last one's answer is the output."""
     out = docs.withColumn("status", F.lit("ok"))
     for stage in STAGES[variant]:
-        out = generate(out, stage, generator)
+        out = generate(out, stage, generator, calls)
     return out.withColumn("output", dedupe_prefixes(F.col("rdf_kg")))
 
 
