@@ -44,7 +44,7 @@ MOST_SMALL = 24
 MOST_BROADCAST = 100_000
 SALTS = 32
 SHARED = 3
-LIGHT = 32
+LIGHT = 16
 DENSE = np.uint16(1 << 15)
 
 
