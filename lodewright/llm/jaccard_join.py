@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ._columns import set_aside
 from ._components import connected_components
 from ._hashing import SQL_WORDS, U, mix, mix_int, utf8_at, words
-from ._memory import tidy
+from ._memory import give_back, tidy
 from ._store import forget, written
 
 BLOCK_ROWS = 384
@@ -464,6 +464,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     read; an empty table gives an empty table.
     """
     spark = docs.sparkSession
+    give_back()
     rows, _ = written(shingle_rows(docs, n, id_column, text_column), "jaccard-rows")
     counted = rows.groupBy(F.least("n_shingles", F.lit(MOST_SMALL + 1)).alias("size")).agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("all")).collect()  # at most MOST_SMALL + 2 rows
     often = rows.select(F.explode("often").alias("x")).groupBy("x").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "x").limit(MOST_COMMON).toArrow()  # 8 MB at most
@@ -472,6 +473,8 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     scheme = Scheme(num, den, choose_boundary({r["size"]: r["rows"] for r in counted if 0 < r["size"] <= MOST_SMALL}, num, den), common[order], times[order])
     texts = _texts(docs, id_column, text_column)
     edges, edges_at = written(candidate_edges(texts, rows, n, scheme, counted, light), "jaccard-candidates")
+    del often, common, times, order, scheme
+    give_back()
     clusters = connected_components(edges, "jaccard-clusters")
     members = clusters.select(F.col("node").alias("d1"), F.col("label").alias("cluster")).unionByName(clusters.select(F.col("label").alias("d1"), F.col("label").alias("cluster")).distinct())
     classes = rows.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._columns import set_aside
-from ._memory import tidy
+from ._memory import give_back, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
@@ -177,8 +178,8 @@ def fit_index(vectors: list[dict[int, int]], labels: np.ndarray, ids: np.ndarray
     return index
 
 
-def _examples(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list, tuple[float, float]]:
-    """(doc_id, toxic, words, counts) of at most ``most`` labelled rows of the learning part, by hash of their id.
+def _examples(docs: DataFrame, labels: DataFrame, most: int) -> tuple[pa.Table, tuple[float, float]]:
+    """doc_id, toxic, words and counts of at most ``most`` labelled rows of the learning part, by hash of their id.
 
     A third of them have label 1 if there are so many. A doc_id counts once, with its least text.
     """
@@ -197,7 +198,7 @@ def _examples(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list, tupl
             found = [text_words(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["doc_id", "toxic", "words", "counts"])
 
-    return sorted(own.mapInArrow(words, "doc_id long, toxic int, words array<string>, counts array<long>").collect(), key=lambda r: r["doc_id"]), weights
+    return own.mapInArrow(words, "doc_id long, toxic int, words array<string>, counts array<long>").toArrow().combine_chunks().sort_by("doc_id"), weights
 
 
 def train(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES) -> tuple[dict[str, int], Index]:
@@ -209,7 +210,9 @@ def train(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, class_weights = _examples(texts, labels.select("doc_id", "toxic"), most_examples)
-    vocabulary = {word: i for i, word in enumerate(sorted({w for r in rows for w in r["words"]}))}
+    words, counts = (pa.concat_arrays(rows[c].chunks) if rows.num_rows else pa.array([], rows[c].type) for c in ("words", "counts"))
+    names = pc.unique(words.flatten()).sort()
+    vocabulary = {word: i for i, word in enumerate(names.to_pylist())}
     sent = spark.sparkContext.broadcast(vocabulary)
 
     @tidy
@@ -229,9 +232,14 @@ def train(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES
     df, total = np.zeros(len(vocabulary)), float(n[term == -1].sum())
     df[term[term >= 0]] = n[term >= 0]
     idf = np.log((1.0 + total) / (1.0 + df)) + 1e-3  # a word of every text says nearly nothing
-    vectors = [{vocabulary[w]: c for w, c in zip(r["words"], r["counts"], strict=True)} for r in rows]
-    y, ids = np.array([r["toxic"] for r in rows], np.int64), np.array([r["doc_id"] for r in rows], np.int64)
-    return vocabulary, fit_index(vectors, y, ids, class_weights, idf)
+    sent.destroy()
+    terms, times, cuts = pc.index_in(words.flatten(), names).to_numpy(zero_copy_only=False), counts.flatten().to_numpy(), words.offsets.to_numpy()
+    vectors = [dict(zip(terms[a:b].tolist(), times[a:b].tolist(), strict=True)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    y, ids = rows["toxic"].to_numpy().astype(np.int64), rows["doc_id"].to_numpy()
+    index = fit_index(vectors, y, ids, class_weights, idf)
+    del vectors, terms, times, words, counts, rows
+    give_back()
+    return vocabulary, index
 
 
 _ANSWERS = "toxicity double, evidence_ids array<long>, evidence_terms array<string>"
