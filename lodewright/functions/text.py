@@ -109,16 +109,20 @@ def is_same_as(relation: Column) -> Column:
     return F.regexp_replace(F.lower(relation), "[ _]", "").isin("sameas", "owl:sameas")
 
 
-def word_overlap(a: Column, b: Column) -> Column:
-    """Common distinct words over the smaller number of distinct words; 0 if one has none."""
-    x, y = (F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != "")) for c in (a, b))
+def distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+
+
+def word_overlap(a: Column, b: Column, a_words: Column | None = None, b_words: Column | None = None) -> Column:
+    """Common distinct words over the smaller number of distinct words; 0 if one has none. The words may be given."""
+    x, y = distinct_words(a) if a_words is None else a_words, distinct_words(b) if b_words is None else b_words
     least = F.least(F.size(x), F.size(y))
     return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(F.lit(0.0))
 
 
-def similar_native(a: Column, b: Column) -> Column:
+def similar_native(a: Column, b: Column, a_words: Column | None = None, b_words: Column | None = None) -> Column:
     """Equal, one inside the other (an empty string is inside any), or words overlapping by over 0.66."""
-    return (a == b) | a.contains(b) | b.contains(a) | (word_overlap(a, b) > 0.66)
+    return (a == b) | a.contains(b) | b.contains(a) | (word_overlap(a, b, a_words, b_words) > 0.66)
 
 
 def may_match_by_ratio(a: Column, b: Column) -> Column:

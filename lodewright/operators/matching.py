@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewright.functions.arrow import sequence_ratio, smart_similarity
-from lodewright.functions.text import may_match_by_ratio, normalize, safe_ratio, similar_native
+from lodewright.functions.text import distinct_words, may_match_by_ratio, normalize, safe_ratio, similar_native
 
 TRIPLE = ["sub", "rel", "obj"]
 
@@ -35,9 +35,9 @@ def on_schema(pred: DataFrame, gold: DataFrame) -> DataFrame:
     return pred.where(~F.col("nrel").rlike(r"^p[0-9]+$")).join(relations, ["text_id", "nrel"], "left_semi")
 
 
-def similar(a: Column, b: Column) -> Column:
+def similar(a: Column, b: Column, a_words: Column | None = None, b_words: Column | None = None) -> Column:
     """Native tiers, then the sequence ratio where lengths allow it."""
-    return similar_native(a, b) | (may_match_by_ratio(a, b) & (sequence_ratio(a, b) > 0.85))
+    return similar_native(a, b, a_words, b_words) | (may_match_by_ratio(a, b) & (sequence_ratio(a, b) > 0.85))
 
 
 def exact_scores(gold: DataFrame, pred: DataFrame, systems: DataFrame) -> DataFrame:
@@ -126,8 +126,10 @@ def entity_recall(gold: DataFrame, pred: DataFrame, systems: DataFrame, ratio: b
     grid = gold.select("text_id", "label", F.lower("label").alias("low")).distinct().crossJoin(F.broadcast(systems))
     lows = pred.select("text_id", "system", F.lower("label").alias("low")).distinct()
     hit = grid.join(lows.withColumn("_hit", F.lit(1)), ["text_id", "system", "low"], "left")
-    rest = hit.where("_hit is null").select("text_id", "system", "label", F.col("low").alias("glow"))
-    native = rest.join(lows, ["text_id", "system"]).withColumn("_native", similar_native(F.col("glow"), F.col("low")))
+    # Words are taken apart before the pairs are made.
+    rest = hit.where("_hit is null").select("text_id", "system", "label", F.col("low").alias("glow"), distinct_words(F.col("low")).alias("gw"))
+    worded = lows.withColumn("lw", distinct_words(F.col("low")))
+    native = rest.join(worded, ["text_id", "system"]).withColumn("_native", similar_native(F.col("glow"), F.col("low"), F.col("gw"), F.col("lw")))
     found = native.where("_native").select("text_id", "system", "label")
     if ratio:
         close = native.where(~F.col("_native") & may_match_by_ratio(F.col("glow"), F.col("low")))
@@ -149,8 +151,8 @@ def type_scores(gold: DataFrame, pred: DataFrame, systems: DataFrame, ratio: boo
     exact = g.join(p.withColumn("_low", F.lower("plabel")), (g["text_id"] == p["text_id"]) & (g["system"] == p["system"]) & (F.lower("glabel") == F.col("_low"))).select(g["text_id"], g["system"], "glabel", "gtypes", "plabel", "ptypes", "pseq")
     pairs = exact.withColumn("tier", F.when(F.col("glabel") == F.col("plabel"), 0).otherwise(1))
     rest = g.join(exact.select("text_id", "system", "glabel").distinct(), ["text_id", "system", "glabel"], "left_anti")
-    a, b = F.lower("glabel"), F.lower("plabel")
-    near = rest.join(p, ["text_id", "system"]).where(~low & (similar if ratio else similar_native)(a, b)).withColumn("tier", F.lit(2))
+    worded = lambda d, c, to: d.withColumns({f"{to}low": F.lower(c), f"{to}words": distinct_words(F.lower(c))})
+    near = worded(rest, "glabel", "g").join(worded(p, "plabel", "p"), ["text_id", "system"]).where(~low & (similar if ratio else similar_native)(F.col("glow"), F.col("plow"), F.col("gwords"), F.col("pwords"))).withColumn("tier", F.lit(2))
     pairs = pairs.unionByName(near.select(*pairs.columns))
     best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("text_id", "system", "glabel").orderBy("tier", "pseq", "plabel"))).where("_n = 1")
     both = g.join(best.select("text_id", "system", "glabel", "ptypes"), ["text_id", "system", "glabel"], "left")
