@@ -83,6 +83,21 @@ def test_components_of_hubs(spark, monkeypatch):
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
+def test_rounds_of_components_have_small_plans(spark, monkeypatch):
+    from lodewright.llm import _components
+
+    leaves, write = [], _components.written
+
+    def noted(df, name):
+        leaves.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return write(df, name)
+
+    monkeypatch.setattr(_components, "written", noted)
+    got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")).collect()
+    assert {(r["node"], r["label"]) for r in got} == {(i, 0) for i in range(1, 10)}
+    assert len(leaves) > 2 and max(leaves) <= 6  # the driver holds what a plan names again for each time
+
+
 # -- 1 --------------------------------------------------------------------------------------------------------------
 
 
