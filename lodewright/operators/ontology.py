@@ -111,7 +111,7 @@ def shapes_from_schema(onto: DataFrame) -> DataFrame:
     def properties(kind: str, to: str) -> DataFrame:
         domain = value(RDFS + "domain", "domain").where("domain_kind = 'uri'")
         ranges = value(RDFS + "range", "range").where("range_kind = 'uri'")
-        both = named(kind).join(domain, "s").join(ranges, "s", "left")
+        both = named(kind).join(domain.hint("merge"), "s").join(ranges.hint("merge"), "s", "left")  # as large as the ontology
         of = F.col("range")
         return both.select(F.col("domain").alias("target_class"), F.col("s").alias("path"), (of if to == "class" else null("string")).alias("class"), (of if to == "datatype" else null("string")).alias("datatype"), null("int").alias("min_count"), null("int").alias("max_count"))
 
@@ -208,16 +208,22 @@ def rdfs_types(data: DataFrame, schema: DataFrame) -> DataFrame:
     return types.unionByName(types.join(parents, "class").select("graph_id", "node", F.col("sup").alias("class"))).distinct()
 
 
-def _targets(types: DataFrame, shapes: DataFrame) -> DataFrame:
-    return types.withColumnRenamed("class", "target_class").join(shapes.where("path is not null"), "target_class")
+def _constrained(values: DataFrame, shapes: DataFrame, types: DataFrame) -> DataFrame:
+    """Values (graph_id, node, path, ...) with the shapes of their path for each class of their node.
+
+    A node's classes come first, so that a class's shapes meet only the paths that its nodes have. All three tables
+    grow with the data: they are merged, as Spark's guess of their sizes may be far too low for what it broadcasts.
+    """
+    of = values.join(types.withColumnRenamed("class", "target_class").hint("merge"), ["graph_id", "node"])
+    return of.join(shapes.where("path is not null").hint("merge"), ["target_class", "path"])
 
 
 def class_violations(data: DataFrame, shapes: DataFrame, types: DataFrame) -> DataFrame:
     """Values of a path that haven't its class: (graph_id, focus_node, path, value, message)."""
-    of = _targets(types, shapes.where("class is not null").select("target_class", "path", F.col("class").alias("wanted")))
-    values = of.join(data.select("graph_id", F.col("s").alias("node"), F.col("p").alias("path"), F.col("o").alias("value")), ["graph_id", "node", "path"])
+    wanted = shapes.where("class is not null").select("target_class", "path", F.col("class").alias("wanted"))
+    values = _constrained(data.select("graph_id", F.col("s").alias("node"), F.col("p").alias("path"), F.col("o").alias("value")), wanted, types)
     have = types.select("graph_id", F.col("node").alias("value"), F.col("class").alias("wanted"))
-    bad = values.join(have, ["graph_id", "value", "wanted"], "left_anti")
+    bad = values.join(have.hint("merge"), ["graph_id", "value", "wanted"], "left_anti")
     return bad.select("graph_id", F.col("node").alias("focus_node"), "path", "value", F.concat(F.lit("value is not a "), local_name(F.col("wanted"))).alias("message")).distinct()
 
 
@@ -229,6 +235,10 @@ def datatype_violations(data: DataFrame, shapes: DataFrame, types: DataFrame) ->
     return bad.select("graph_id", F.col("node").alias("focus_node"), "path", "value", F.concat(F.lit("value is not of "), local_name(F.col("wanted"))).alias("message")).distinct()
 
 
+def _targets(types: DataFrame, shapes: DataFrame) -> DataFrame:
+    return types.withColumnRenamed("class", "target_class").join(shapes.where("path is not null"), "target_class")
+
+
 def count_violations(data: DataFrame, shapes: DataFrame, types: DataFrame) -> DataFrame:
     """Nodes with too few or too many values of a path."""
     of = _targets(types, shapes.where("min_count is not null or max_count is not null").select("target_class", "path", "min_count", "max_count"))
