@@ -229,8 +229,8 @@ def class_violations(data: DataFrame, shapes: DataFrame, types: DataFrame) -> Da
 
 def datatype_violations(data: DataFrame, shapes: DataFrame, types: DataFrame) -> DataFrame:
     """Values of a path that aren't literals of its datatype."""
-    of = _targets(types, shapes.where("datatype is not null").select("target_class", "path", F.col("datatype").alias("wanted")))
-    values = of.join(data.select("graph_id", F.col("s").alias("node"), F.col("p").alias("path"), F.col("o").alias("value"), "o_kind", F.coalesce("datatype", F.when(F.col("lang").isNull(), "http://www.w3.org/2001/XMLSchema#string")).alias("has")), ["graph_id", "node", "path"])
+    wanted = shapes.where("datatype is not null").select("target_class", "path", F.col("datatype").alias("wanted"))
+    values = _constrained(data.select("graph_id", F.col("s").alias("node"), F.col("p").alias("path"), F.col("o").alias("value"), "o_kind", F.coalesce("datatype", F.when(F.col("lang").isNull(), "http://www.w3.org/2001/XMLSchema#string")).alias("has")), wanted, types)
     bad = values.where((F.col("o_kind") != "literal") | ~F.col("has").eqNullSafe(F.col("wanted")))
     return bad.select("graph_id", F.col("node").alias("focus_node"), "path", "value", F.concat(F.lit("value is not of "), local_name(F.col("wanted"))).alias("message")).distinct()
 

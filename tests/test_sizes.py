@@ -26,3 +26,10 @@ def test_class_violations_meet_only_the_paths_that_nodes_have(many):
     found = ontology.class_violations(data, shape("http://e/D", None), types)
     assert most_rows(found, "Join") <= 600
     assert {(r["focus_node"], r["path"]) for r in found.collect()} == {(f"http://e/n{i}", f"http://e/p{i}") for i in range(300)}
+
+
+def test_datatype_violations_meet_only_the_paths_that_nodes_have(many):
+    data, shape, types = many
+    found = ontology.datatype_violations(data, shape(None, "http://e/int"), types)
+    assert most_rows(found, "Join") <= 600
+    assert {(r["focus_node"], r["path"]) for r in found.collect()} == {(f"http://e/n{i}", f"http://e/p{i}") for i in range(300)}
