@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodewright.functions.lineage import checkpointed
 from lodewright.functions.text import is_same_as, rounded
 
 from .matching import match_counts
@@ -75,19 +76,30 @@ def sensitivity_summary(rows: DataFrame, parsed: Column | None = None) -> DataFr
     return out.withColumns({"delta_p": rounded(F.col("f1_p_no_sameas") - F.col("f1_p_full"), 4), "delta_all": rounded(F.col("f1_all_no_sameas") - F.col("f1_all_full"), 4)})
 
 
+#: At most so many scores are told to all executors.
+MOST_BROADCAST = 500_000
+#: About so many draws are made in a task.
+TASK_DRAWS = 4_000_000
+
+
 def bootstrap_by_hash(values: DataFrame, iterations: int = 10_000, alpha: float = 0.05, seed: int = 20260507) -> DataFrame:
     """(system, n, mean, ci_lo, ci_hi) from resamples drawn by hash: slot = md5(seed|system|iteration|k) mod n.
 
     values: system, slot (from 0, gapless), value. Bounds are order statistics of the sorted means, not
-    interpolated. The draws are rows of a join on (system, slot), so that no task holds them all; a mean is a sum over a
-    count of its own, and doesn't depend on the order of its rows beyond 12 places.
+    interpolated. The draws are never told to all executors nor, up to ``MOST_BROADCAST`` scores, shuffled: the scores
+    are told to all then, a row a text and system, and each resample is averaged where it is drawn; beyond that both
+    are merged. A mean is a sum over a count of its own, and doesn't depend on the order of its rows beyond 12 places.
     """
     spark = values.sparkSession
+    values = checkpointed(values.select("system", "slot", "value"))  # read by three branches; what made it leaves the plan
+    total = values.count()
     sizes = values.groupBy("system").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    grid = spark.range(iterations).withColumnRenamed("id", "it").crossJoin(F.broadcast(sizes))  # a row a system
+    tasks = max(spark.sparkContext.defaultParallelism, min(iterations, iterations * total // TASK_DRAWS))
+    grid = spark.range(0, iterations, 1, tasks).withColumnRenamed("id", "it").crossJoin(F.broadcast(sizes))  # a row a system
     draws = grid.select("system", "n", "it", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     name = F.concat_ws("|", F.lit(str(seed)), "system", F.col("it").cast("string"), F.col("k").cast("string"))
     drawn = draws.select("system", "n", "it", (F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("long") % F.col("n")).alias("slot"))
+    values = F.broadcast(values) if total <= MOST_BROADCAST else values.hint("merge")
     means = drawn.join(values, ["system", "slot"]).groupBy("system", "n", "it").agg(F.round(F.avg("value"), 12).alias("m"))
     placed = means.withColumn("at", F.row_number().over(Window.partitionBy("system").orderBy("m", "it")) - 1)
     low, high = int(iterations * alpha / 2), min(iterations - 1, int(iterations * (1 - alpha / 2)))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodewright.functions import arrow
-from lodewright.operators import matching, ontology
+from lodewright.operators import matching, metrics, ontology
 
 from .plans import most_rows
 
@@ -60,3 +60,16 @@ def test_types_by_ratio_make_no_rows_of_pairs(spark):
     scores = matching.type_scores(rows("a").drop("system"), rows("b"), systems)
     assert most_rows(scores, "Join", "Eval") <= 400
     assert [r["tp"] for r in scores.collect()] == [100, 100]  # each is like the first prediction of its text
+
+
+def test_draws_stay_where_they_are_made(spark, monkeypatch):
+    values = spark.createDataFrame([("V", i, float(i)) for i in range(50)] + [("W", i, i / 7) for i in range(20)], "system string, slot long, value double")
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # whatever Spark guesses of sizes
+    try:
+        found = metrics.bootstrap_by_hash(values, 200)
+        assert most_rows(found, "Exchange") <= 2 * 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    monkeypatch.setattr(metrics, "MOST_BROADCAST", 0)
+    assert sorted(metrics.bootstrap_by_hash(values, 200).collect()) == sorted(found.collect())
