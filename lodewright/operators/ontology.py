@@ -90,7 +90,7 @@ def closure(edges: DataFrame) -> DataFrame:
     found = checkpointed(edges.unionByName(nodes.select("sub", F.col("sub").alias("sup"))).distinct())
     size = found.count()
     while True:
-        longer = found.join(found.select(F.col("sub").alias("sup"), F.col("sup").alias("above")), "sup").select("sub", F.col("above").alias("sup"))
+        longer = found.join(found.select(F.col("sub").alias("sup"), F.col("sup").alias("above")).hint("merge"), "sup").select("sub", F.col("above").alias("sup"))
         found, before = checkpointed(longer.distinct()), size  # each pair is its own path with a loop, so none is lost
         size = found.count()
         if size == before:
@@ -193,19 +193,20 @@ def inferred_types(data: DataFrame, subclasses: DataFrame | None = None) -> Data
 def rdfs_types(data: DataFrame, schema: DataFrame) -> DataFrame:
     """(graph_id, node, class): types by RDFS: stated, by domains and ranges of properties and of those above them, and by subclasses.
 
-    ``schema``: triples (s, p, o, o_kind) with subClassOf, subPropertyOf, domain and range.
+    ``schema``: triples (s, p, o, o_kind) with subClassOf, subPropertyOf, domain and range. It may be large, and Spark's
+    guess of its size far too low, so that it is merged and never sent to the driver.
     """
     edges = lambda p: schema.where((F.col("p") == RDFS + p) & (F.col("o_kind") == "uri")).select(F.col("s").alias("sub"), F.col("o").alias("sup"))
     ends = lambda p: edges(p).select(F.col("sub").alias("p"), F.col("sup").alias("class"))
     above = closure(edges("subPropertyOf")).select(F.col("sub").alias("p"), "sup")
     own = data.select("graph_id", "s", "p", "o_kind", "o")
-    wider = own.unionByName(own.join(above, "p").select("graph_id", "s", F.col("sup").alias("p"), "o_kind", "o"))
-    by_domain = wider.join(ends("domain"), "p").select("graph_id", F.col("s").alias("node"), "class")
-    by_range = wider.where("o_kind <> 'literal'").join(ends("range"), "p").select("graph_id", F.col("o").alias("node"), "class")
+    wider = own.unionByName(own.join(above.hint("merge"), "p").select("graph_id", "s", F.col("sup").alias("p"), "o_kind", "o"))
+    by_domain = wider.join(ends("domain").hint("merge"), "p").select("graph_id", F.col("s").alias("node"), "class")
+    by_range = wider.where("o_kind <> 'literal'").join(ends("range").hint("merge"), "p").select("graph_id", F.col("o").alias("node"), "class")
     stated = data.where(F.col("p") == RDF_TYPE).select("graph_id", F.col("s").alias("node"), F.col("o").alias("class"))
     types = stated.unionByName(by_domain).unionByName(by_range).distinct()
     parents = closure(edges("subClassOf")).select(F.col("sub").alias("class"), "sup")
-    return types.unionByName(types.join(parents, "class").select("graph_id", "node", F.col("sup").alias("class"))).distinct()
+    return types.unionByName(types.join(parents.hint("merge"), "class").select("graph_id", "node", F.col("sup").alias("class"))).distinct()
 
 
 def _constrained(values: DataFrame, shapes: DataFrame, types: DataFrame) -> DataFrame:

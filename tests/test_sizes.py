@@ -73,3 +73,13 @@ def test_draws_stay_where_they_are_made(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
     monkeypatch.setattr(metrics, "MOST_BROADCAST", 0)
     assert sorted(metrics.bootstrap_by_hash(values, 200).collect()) == sorted(found.collect())
+
+
+def test_schemas_are_not_sent_to_the_driver(spark):
+    e = lambda c, n: F.concat(F.lit(f"http://e/{c}"), F.col("id").cast("string") if n else F.lit(""))
+    row = lambda p, o: spark.range(50).select(e("p", 1).alias("s"), F.lit(p).alias("p"), F.lit("uri").alias("o_kind"), o.alias("o"))
+    schema = row(ontology.RDFS + "domain", e("C", 1)).unionByName(row(ontology.RDFS + "subPropertyOf", e("q", 0)))
+    data = spark.range(50).select(F.lit("g").alias("graph_id"), e("n", 1).alias("s"), e("p", 1).alias("p"), F.lit("uri").alias("o_kind"), e("x", 0).alias("o"))
+    found = ontology.rdfs_types(data, schema)
+    assert most_rows(found, "BroadcastExchange") == 0
+    assert {(r["node"], r["class"]) for r in found.collect()} == {(f"http://e/n{i}", f"http://e/C{i}") for i in range(50)}
