@@ -83,3 +83,10 @@ def test_schemas_are_not_sent_to_the_driver(spark):
     found = ontology.rdfs_types(data, schema)
     assert most_rows(found, "BroadcastExchange") == 0
     assert {(r["node"], r["class"]) for r in found.collect()} == {(f"http://e/n{i}", f"http://e/C{i}") for i in range(50)}
+
+
+def test_counts_shuffle_no_row_of_the_result(many):
+    data, shape, types = many
+    found = ontology.count_violations(data, shape(None, None), types)
+    assert most_rows(found, "Exchange") <= 600
+    assert found.count() == found.distinct().count() == 2 * 150 * 149  # of its class's paths each node has one
